@@ -136,17 +136,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
     out = None
     for shared in _per_block(docs, benchmark, item_col, bench_text, rate, min_piece):
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(*shared.value)
-            for batch in batches:
-                found = [(doc, *hit) for doc, text in zip(batch["doc_id"], batch["__text"], strict=True) for hit in matcher.matches(text)]
-                frame = pd.DataFrame(found, columns=["doc_id", "item_id", "start", "end", "distance"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                frame["item_id"] = frame["item_id"].astype("Int64")
-                yield frame
-
-        found = rows.mapInPandas(scan, SCHEMA)
+        found = rows.mapInPandas(_scan(shared), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -155,11 +145,25 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """Rows whose text contains no test item; columns as they came."""
     out = docs
     for shared in _per_block(docs, benchmark, item_col, bench_text, rate, min_piece):
+        out = out.filter(F.pandas_udf(_clean(shared), "boolean")(F.col(text_col)))
+    return out
 
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher(*shared.value)
-            for texts in batches:
-                yield pd.Series([not matcher.matches(t) for t in texts], dtype="bool")
 
-        out = out.filter(F.pandas_udf(clean, "boolean")(F.col(text_col)))
-    return out
+def _clean(shared):
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(*shared.value)
+        for texts in batches:
+            yield pd.Series([not matcher.matches(t) for t in texts], dtype="bool")
+
+    return clean
+
+
+def _scan(shared):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(*shared.value)
+        for batch in batches:
+            found = [(doc, *hit) for doc, text in zip(batch["doc_id"], batch["__text"], strict=True) for hit in matcher.matches(text)]
+            frame = pd.DataFrame(found, columns=["doc_id", "item_id", "start", "end", "distance"])
+            yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+
+    return scan
