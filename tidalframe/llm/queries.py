@@ -1,9 +1,8 @@
 """Thin queries over the operators, with production parameters, and their SQL."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, pieces, pii, quality
+from . import cross_entropy, decontaminate, fingerprint, jaccard_join, language, licenses, pieces, pii, quality, templates
 from .common import table
 
 
@@ -11,10 +10,20 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cross_entropy.scores(docs, cross_entropy.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -23,11 +32,23 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op3_sentencepiece, op5_jaccard_join, op6_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_language, op3_sentencepiece, op4_cross_entropy, op5_jaccard_join, op6_decontaminate, op7_fingerprint, op8_main_text, op9_license_scan, op10_quality)}
 
 ORACLE: dict[str, str] = {}
