@@ -1,0 +1,193 @@
+"""Numpy kernels of one small graph: paths, communities, roles and four-node motifs."""
+
+from __future__ import annotations
+
+from collections import Counter, deque
+from itertools import combinations
+
+import numpy as np
+
+
+def neighbours(n: int, src, dst) -> list[set[int]]:
+    out = [set() for _ in range(n)]
+    for a, b in zip(src, dst, strict=True):
+        if a != b:
+            out[int(a)].add(int(b))
+            out[int(b)].add(int(a))
+    return out
+
+
+def reach(nb: list[set[int]], start: int) -> dict[int, int]:
+    seen, queue = {start: 0}, deque([start])
+    while queue:
+        v = queue.popleft()
+        for w in nb[v]:
+            if w not in seen:
+                seen[w] = seen[v] + 1
+                queue.append(w)
+    return seen
+
+
+def path_lengths(nb: list[set[int]]) -> dict[str, float]:
+    """Average path, diameter, radius and eccentricity spread of the largest component."""
+    left, best = set(range(len(nb))), set()
+    while left:
+        part = set(reach(nb, next(iter(left))))
+        left -= part
+        best = part if len(part) > len(best) else best
+    if len(best) < 2:
+        return {"avg_path": float("nan"), "diameter": float("nan"), "radius": float("nan"), "eccentricity_std": float("nan")}
+    hops = [reach(nb, v) for v in best]
+    far = [max(h.values()) for h in hops]
+    return {"avg_path": sum(sum(h.values()) for h in hops) / (len(best) * (len(best) - 1)), "diameter": float(max(far)), "radius": float(min(far)), "eccentricity_std": float(np.std(far))}
+
+
+def modularity(nb: list[set[int]], label: list[int], resolution: float = 1.0) -> float:
+    m = sum(map(len, nb)) / 2
+    if not m:
+        return 0.0
+    inside, degree = Counter(), Counter()
+    for v, own in enumerate(nb):
+        degree[label[v]] += len(own)
+        inside[label[v]] += sum(label[w] == label[v] for w in own) / 2
+    return sum(inside[c] / m - resolution * (degree[c] / (2 * m)) ** 2 for c in degree)
+
+
+def communities(nb: list[set[int]], method: str = "louvain", resolution: float = 1.0, seed: int = 0) -> list[int]:
+    """Labels by repeated local moves (louvain, leiden, greedy) or by label propagation."""
+    random, n = np.random.default_rng(seed), len(nb)
+    label = list(range(n))
+    if method == "label_propagation":
+        for _ in range(100):
+            moved = False
+            for v in random.permutation(n):
+                if nb[v]:
+                    count = Counter(label[w] for w in nb[v])
+                    top = max(count.values())
+                    new = min(c for c, k in count.items() if k == top)
+                    moved |= count[label[v]] < top
+                    label[v] = new if count[label[v]] < top else label[v]
+            if not moved:
+                break
+        return label
+    links = [Counter({w: 1.0 for w in own}) for own in nb]
+    member = [[v] for v in range(n)]
+    total = sum(map(len, nb)) or 1
+    while True:
+        own, degree = list(range(len(links))), [sum(x.values()) for x in links]
+        weight, improved = list(degree), False
+        for _ in range(50):
+            moved = False
+            for v in random.permutation(len(links)):
+                toward = Counter()
+                for w, x in links[v].items():
+                    if w != v:
+                        toward[own[w]] += x
+                weight[own[v]] -= degree[v]
+                gain = {c: x - resolution * degree[v] * weight[c] / total for c, x in toward.items()}
+                stay = gain.get(own[v], -resolution * degree[v] * weight[own[v]] / total)
+                best = max(gain, key=lambda c: (gain[c], -c), default=own[v])
+                if gain.get(best, stay) > stay + 1e-12:
+                    own[v], moved, improved = best, True, True
+                weight[own[v]] += degree[v]
+            if not moved:
+                break
+        if not improved:
+            break
+        names = {c: k for k, c in enumerate(sorted(set(own)))}
+        merged, links2 = [[] for _ in names], [Counter() for _ in names]
+        for v, c in enumerate(own):
+            merged[names[c]] += member[v]
+            for w, x in links[v].items():
+                links2[names[c]][names[own[w]]] += x
+        member, links = merged, links2
+    for k, group in enumerate(member):
+        for v in group:
+            label[v] = k
+    return label
+
+
+def centralities(nb: list[set[int]]) -> np.ndarray:
+    """Degree, clustering, pagerank, eigenvector, core, betweenness and closeness of each node."""
+    n = len(nb)
+    a = np.zeros((n, n))
+    for v, own in enumerate(nb):
+        a[v, list(own)] = 1
+    degree = a.sum(axis=1)
+    tri = np.einsum("ij,jk,ki->i", a, a, a) / 2
+    clustering = np.divide(2 * tri, degree * (degree - 1), out=np.zeros(n), where=degree > 1)
+    rank, vector = np.full(n, 1 / n), np.full(n, 1 / np.sqrt(n))
+    flow = np.divide(a, degree[:, None], out=np.full((n, n), 1 / n), where=degree[:, None] > 0)
+    for _ in range(100):
+        rank = 0.15 / n + 0.85 * rank @ flow
+        vector = (a + np.eye(n)) @ vector
+        vector /= np.linalg.norm(vector) or 1
+    core, left = np.zeros(n), {v: len(nb[v]) for v in range(n)}
+    level = 0
+    while left:
+        v = min(left, key=lambda u: (left[u], u))
+        level = max(level, left.pop(v))
+        core[v] = level
+        for w in nb[v]:
+            if w in left:
+                left[w] -= 1
+    between, close = np.zeros(n), np.zeros(n)
+    for s in range(n):
+        order, before, sigma, dist = [], [[] for _ in range(n)], np.zeros(n), {s: 0}
+        sigma[s], queue = 1, deque([s])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for w in nb[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+                    before[w].append(v)
+        reached = sum(dist.values())
+        close[s] = (len(dist) - 1) ** 2 / (reached * max(1, n - 1)) if reached else 0
+        delta = np.zeros(n)
+        for w in reversed(order):
+            for v in before[w]:
+                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                between[w] += delta[w] / 2
+    return np.column_stack([degree, clustering, rank, vector, core, between, close])
+
+
+def roles(nb: list[set[int]], k: int = 4, runs: int = 10, seed: int = 3363) -> np.ndarray:
+    """k-means labels over standardised centralities, the best of several starts."""
+    x = centralities(nb)
+    sd = x.std(axis=0, ddof=1) if len(x) > 1 else np.ones(x.shape[1])
+    x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
+    random, best, k = np.random.default_rng(seed), None, min(k, len(x))
+    for _ in range(runs):
+        centre = x[random.choice(len(x), k, replace=False)]
+        for _ in range(50):
+            label = ((x[:, None] - centre[None]) ** 2).sum(-1).argmin(1)
+            new = np.stack([x[label == c].mean(0) if (label == c).any() else centre[c] for c in range(k)])
+            if np.allclose(new, centre):
+                break
+            centre = new
+        loss = ((x - centre[label]) ** 2).sum()
+        if best is None or loss < best[0]:
+            best = (loss, label)
+    return best[1]
+
+
+def motifs4(nb: list[set[int]]) -> dict[str, int]:
+    """Counts of all four-node subgraphs by number of edges and degrees."""
+    names = {(6,): "clique", (5,): "diamond", (4, 2): "square", (4, 3): "triangle_tail", (3, 3): "star", (3, 2): "chain"}
+    out = Counter()
+    for four in combinations(range(len(nb)), 4):
+        degree = sorted(sum(w in nb[v] for w in four) for v in four)
+        m = sum(degree) // 2
+        if m >= 5:
+            name = names[(m,)]
+        elif m == 3 and degree[0] == 0:
+            name = "triangle_isolated"
+        else:
+            name = names.get((m, degree[-1]), "other")
+        out[name] += 1
+    return dict(out)
