@@ -34,21 +34,22 @@ _WORD = r"\p{Lu}[\p{Ll}'’]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(t.replace(".", r"\.") for g in TITLES.values() for t in g)
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
-#: (type, pattern), tried in this order at each place of the text.
+#: (type, pattern), tried in this order at each place of the text; each begins with a look at
+#: the first sign, so that most places fail at once.
 PATTERNS = [
-    ("secret", r"""(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_\-]{6,}+={0,2}"""),
-    ("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|ghs)_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b"),
+    ("secret", r"""(?=[pstaPSTA])(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_\-]{6,}+={0,2}"""),
+    ("access_key", r"(?=[Ags])(?:\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|ghs)_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b)"),
     ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"),
-    ("ip", rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"),
-    ("card", r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"),
-    ("name", rf"(?<![\p{{L}}\d])(?:{_TITLE}) {_WORD}(?:[ -]{_WORD}){{0,2}}|(?<![\p{{L}}\d])(?:{_GIVEN}) {_WORD}"),
+    ("ip", rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"),
+    ("iban", r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("ssn", r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("phone", r"(?=[+(\d])(?:(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))"),
+    ("card", r"(?=\d)(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"),
+    ("name", rf"(?=[\p{{Lu}}г])(?<![\p{{L}}\d])(?:(?:{_TITLE}) {_WORD}(?:[ -]{_WORD}){{0,2}}|(?:{_GIVEN}) {_WORD})"),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: Cheap test that any entity has to pass: a digit, or a name's beginning.
-GATE = rf"\d|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)|@|(?:{_TITLE}) \p{{Lu}}|(?:{_GIVEN}) \p{{Lu}}"
+#: Every text with an entity has one of these signs, or a name.
+GATE = r"[\d@=:]"
 DRAWN = ("secret", "access_key", "email", "name")
 KEY, ROUNDS = "surrogates-1", 6
 DEFAULT_WIDTH = 8
@@ -176,7 +177,7 @@ def surrogate(e: str, kind: str, key: str, widths: dict[str, int]) -> str:
 def occurrences(text: str) -> Column:
     """All entities of a text in order of their places; an empty array for null."""
     found = f"regexp_extract_all({text}, {lit(ANY)}, 0)"
-    return F.expr(f"CASE WHEN {text} RLIKE {lit(GATE)} THEN {found} ELSE cast(array() AS array<string>) END")
+    return F.expr(f"CASE WHEN {text} RLIKE {lit(GATE)} OR {text} RLIKE {lit(dict(PATTERNS)['name'])} THEN {found} ELSE cast(array() AS array<string>) END")
 
 
 def collision_free_width(docs: DataFrame, text_col: str = "text", key: str = KEY, limit: int = 32) -> dict[str, int]:
