@@ -47,27 +47,27 @@ class _Reader(DataSourceReader):
             yield partition.name, day, float(value)
 
 
-class RemoteSeries(DataSource):
-    """One input partition for each named series."""
+def remote_source(kind: str, fetch: Callable) -> type[DataSource]:
+    """A data source bound to ``fetch``, which travels with it; one input partition a named series."""
 
-    @classmethod
-    def name(cls):
-        return "remote_series"
+    class RemoteSeries(DataSource):
+        @classmethod
+        def name(cls):
+            return f"remote_{kind}"
 
-    def schema(self):
-        return "series string, day string, value double"
+        def schema(self):
+            return "series string, day string, value double"
 
-    def reader(self, schema):
-        kind = self.options["kind"]
-        if kind not in _FETCHERS:
-            raise DataError("no fetcher is registered", {"kind": kind})
-        return _Reader(_FETCHERS[kind], self.options)
+        def reader(self, schema):
+            return _Reader(fetch, dict(self.options))
+
+    return RemoteSeries
 
 
 def _remote(spark: SparkSession, kind: str, name: str, start: str | None, end: str | None, root: str | None) -> DataFrame:
     if kind in _FETCHERS:
-        spark.dataSource.register(RemoteSeries)
-        reader = spark.read.format("remote_series").option("kind", kind).option("names", name)
+        spark.dataSource.register(remote_source(kind, _FETCHERS[kind]))
+        reader = spark.read.format(f"remote_{kind}").option("names", name)
         reader = reader.option("start", start) if start else reader
         rows = (reader.option("end", end) if end else reader).load().select(F.to_timestamp("day").cast("timestamp_ntz").alias("ts"), F.col("value").alias("v"))
     elif root:
