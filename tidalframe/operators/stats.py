@@ -54,24 +54,23 @@ def autocorrelation_plot_data(df: DataFrame, max_lag: int = 40) -> DataFrame:
 def centred_mean(df: DataFrame, window: int | Column, out: str = "trend") -> DataFrame:
     """Centred moving mean with the ends of the series repeated beyond them.
 
-    ``window`` may be a column: a running sum then gives every frame as a difference of two
-    values, and rows beyond the ends count as copies of the end values.
+    A fixed window is a frame. A window given as a column (one that depends on the series'
+    length) is a difference of two running sums, fetched by two equi-joins on position.
     """
-    size = F.lit(window) if isinstance(window, int) else window
-    n = F.count(F.lit(1)).over(WHOLE)
-    rows = df.withColumn("__n", n).withColumn("__w", size.cast("int")).withColumn("__s", F.sum(value()).over(W.rowsBetween(Window.unboundedPreceding, 0)))
-    first, last = F.min_by(value(), position()).over(WHOLE), F.max_by(value(), position()).over(WHOLE)
-    rows = rows.withColumn("__f", first).withColumn("__l", last).withColumn("__sums", F.array_sort(F.collect_list(F.struct(position().alias("t"), F.col("__s").alias("s"))).over(WHOLE))) if not isinstance(window, int) else rows.withColumn("__f", first).withColumn("__l", last)
-    lo, hi = position() - F.floor(F.col("__w") / 2), position() + F.col("__w") - 1 - F.floor(F.col("__w") / 2)
+    rows = df.withColumn("__n", F.count(F.lit(1)).over(WHOLE)).withColumn("__w", (F.lit(window) if isinstance(window, int) else window).cast("int"))
+    rows = rows.withColumn("__f", F.min_by(value(), position()).over(WHOLE)).withColumn("__l", F.max_by(value(), position()).over(WHOLE))
+    half = F.floor(F.col("__w") / 2)
+    rows = rows.withColumn("__lo", position() - half).withColumn("__hi", position() + F.col("__w") - 1 - half)
     if isinstance(window, int):
-        before, after = window // 2, window - 1 - window // 2
-        inner = F.sum(value()).over(W.rowsBetween(-before, after))
+        rows = rows.withColumn("__in", F.sum(value()).over(W.rowsBetween(-(window // 2), window - 1 - window // 2)))
     else:
-        at = lambda k: F.col("__sums")[k.cast("int")]["s"]
-        top, bottom = F.least(hi, F.col("__n") - 1), F.greatest(lo, F.lit(0))
-        inner = at(top) - F.when(bottom > 0, at(F.greatest(bottom - 1, F.lit(0)))).otherwise(0.0)
-    missing = F.greatest(-lo, F.lit(0)) * F.col("__f") + F.greatest(hi - F.col("__n") + 1, F.lit(0)) * F.col("__l")
-    return rows.withColumn(out, (inner + missing) / F.col("__w")).drop("__n", "__w", "__s", "__f", "__l", "__sums")
+        sums = df.select(ID, position().alias("__k"), F.sum(value()).over(W.rowsBetween(Window.unboundedPreceding, 0)).alias("__s"))
+        top = sums.select(ID, F.col("__k").alias("__top"), F.col("__s").alias("__a"))
+        low = sums.select(ID, (F.col("__k") + 1).alias("__bottom"), F.col("__s").alias("__b"))
+        rows = rows.withColumn("__top", F.least("__hi", F.col("__n") - 1)).withColumn("__bottom", F.greatest("__lo", F.lit(0).cast("long")))
+        rows = rows.join(top, [ID, "__top"]).join(low, [ID, "__bottom"], "left").withColumn("__in", F.col("__a") - F.coalesce("__b", F.lit(0.0)))
+    beyond = F.greatest(-F.col("__lo"), F.lit(0)) * F.col("__f") + F.greatest(F.col("__hi") - F.col("__n") + 1, F.lit(0)) * F.col("__l")
+    return rows.withColumn(out, (F.col("__in") + beyond) / F.col("__w")).select(*df.columns, out)
 
 
 def trend_window() -> Column:

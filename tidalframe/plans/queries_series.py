@@ -161,7 +161,7 @@ def autocorrelation(spark, d):
     return stats.autocorrelation(frame.orders_by_day(spark, d), 20).select("lag", "acf")
 
 
-@query(f"WITH RECURSIVE {_ACF}, l AS (SELECT list(CAST(acf AS DOUBLE) ORDER BY lag) AS r FROM r), p AS (SELECT 1 AS k, [r[2]] AS phi FROM l UNION ALL SELECT k + 1, list_append(phi, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1])))) FROM p, l WHERE k < 20) SELECT CAST(k AS INT) AS lag, round(phi[k], 6) AS pacf FROM p UNION ALL SELECT 0, CAST(1 AS DOUBLE)")
+@query(f"WITH {_ACF}, l AS (SELECT list(CAST(acf AS DOUBLE) ORDER BY lag) AS q FROM r), f AS (SELECT list_reduce(list_transform(range(1, 21), lambda k: [CAST(k AS DOUBLE)]), lambda a, x: list_append(a, (q[len(a) + 2] - list_dot_product(a, list_reverse(q[2:len(a) + 1]))) / (1 - list_dot_product(a, q[2:len(a) + 1]))), [q[2]]) AS phi FROM l) SELECT CAST(k AS INT) AS lag, round(phi[k], 6) AS pacf FROM f, range(1, 21) x(k) UNION ALL SELECT 0, CAST(1 AS DOUBLE)")
 def partial_autocorrelation(spark, d):
     return stats.partial_autocorrelation(frame.orders_by_day(spark, d), 20).select("lag", "pacf")
 
