@@ -379,3 +379,25 @@ def test_pipeline_against_stages(spark):
     got = cp.run(spark, DATA)
     assert {r["doc_id"] for r in got.collect()} == clean and len(cp.STAGES) == 5
     assert got.filter("not round_trip").count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Every stage on nulls in any column, empty and long texts, repeated rows, and no rows at all."""
+    import corpus_pipeline as cp
+
+    rows = [(i, t, None, None, None if t is None else len(t)) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, (_, stage) in enumerate(cp.STAGES):
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, DATA)
+            assert (out.columns == docs.columns) == (k < 4)
+            n = out.count()
+            assert n == 0 if df is not docs else 0 < n <= len(ODD)
+
+
+def test_operators_take_empty_tables(spark, docs):
+    none, pages = docs.limit(0), common.table(spark, DATA, "pages").limit(0)
+    model = language.train([("uno dos " * 40, "es"), ("one two " * 40, "en")], steps=2)
+    for out in (pii.replace(none), pieces.encode(none), templates.extract(pages), licenses.scan(none), language.predict(none, model), quality.scores(none, quality.train([]))):
+        assert out.count() == 0
+    assert language.fit(none).labels == [] and quality.fit(none, common.table(spark, DATA, "labels")).bias == 0

@@ -25,7 +25,7 @@ def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"), n=3, percent=90).drop("class_id")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,4 +51,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_language, op3_sentencepiece, op4_cross_entropy, op5_jaccard_join, op6_decontaminate, op7_fingerprint, op8_main_text, op9_license_scan, op10_quality)}
 
-ORACLE: dict[str, str] = {}
+#: Trained scores, tokenizer ids, edit matching, keyed surrogates, trees of pages, ICU forms and
+#: rules with look-ahead have no SQL twin; tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op5_jaccard_join": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) END AS g FROM words
+), tokens AS (
+    SELECT doc_id, len(g) AS n, unnest(g) AS t FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), pairs AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS v, doc_id AS root FROM documents UNION SELECT p.b, c.root FROM reach c JOIN pairs p ON p.a = c.v WHERE c.root < p.b
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id FROM sets s JOIN (SELECT v, min(root) AS component_id FROM reach GROUP BY v) c ON c.v = s.doc_id
+""",
+}
