@@ -255,3 +255,16 @@ def test_streams(make, spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() >= 18
+
+
+def test_api_and_graph(make):
+    from tidalframe import api
+
+    df = make({"a": [3.0, 1.0, 2.0, 5.0, 4.0]})
+    g = api.Graph(api.build_nvg(df), graph.nodes_of(df))
+    assert g.summary().first()["n_nodes"] == 5 and g.n_edges().first()["n_edges"] == g.edges.count()
+    dense = {r["i"]: r["row"] for r in g.adjacency_matrix(dense=True).collect()}
+    assert all(dense[i][j] == dense[j][i] for i in range(5) for j in range(5)) and sum(map(sum, dense.values())) == 2 * g.edges.count()
+    assert api.network_metrics(g.edges, g.nodes).count() == 1 and api.graph_summary(g.edges, g.nodes, motifs=True).first()["motifs_3"]
+    d = api.Graph(api.build_transition_network(df, 3), graph.nodes_of(df), directed=True)
+    assert d.summary().first()["irreversibility"] >= 0 and d.in_degree_sequence().count() == 5

@@ -239,3 +239,43 @@ def small_world(edges: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFra
     c_er, l_er = F.col("density"), F.log("n_nodes") / F.nullif(F.when(k > 1, F.log(k)), F.lit(0.0))
     sigma = (F.col("average") / F.nullif(c_er, F.lit(0.0))) / F.nullif(F.col("avg_path") / l_er, F.lit(0.0))
     return f.withColumn("c_er", c_er).withColumn("l_er", l_er).withColumn("sigma", sigma)
+
+
+class Graph:
+    """One or many graphs with their measures: edges (g, src, dst, weight) and nodes (g, n)."""
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame, directed: bool = False, weighted: bool = False):
+        self.edges, self.nodes, self.directed, self.weighted = edges, nodes, directed, weighted
+
+    def n_edges(self) -> DataFrame:
+        return self.edges.groupBy("g").agg(F.count(F.lit(1)).alias("n_edges"))
+
+    def degree_sequence(self) -> DataFrame:
+        return degrees(self.edges, self.nodes)
+
+    def in_degree_sequence(self) -> DataFrame:
+        return directed_degrees(self.edges, self.nodes).select("g", "node", "in_degree")
+
+    def out_degree_sequence(self) -> DataFrame:
+        return directed_degrees(self.edges, self.nodes).select("g", "node", "out_degree")
+
+    def adjacency_matrix(self, dense: bool = False, limit: int = 50_000) -> DataFrame:
+        """(g, i, j, w), both directions of undirected edges; rows as arrays if dense, up to ``limit`` nodes."""
+        one = self.edges.select("g", F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("w"))
+        long = one if self.directed else one.unionByName(one.select("g", F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+        if not dense:
+            return long
+        if not self.nodes.filter(F.col("n") > limit).isEmpty():
+            raise ValidationError("too many nodes for a dense matrix", {"limit": limit})
+        rows = long.groupBy("g", "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "w"))).alias("m"))
+        cells = self.nodes.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).join(rows, ["g", "i"], "left")
+        return cells.select("g", "i", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.coalesce(F.try_element_at(F.coalesce("m", F.create_map().cast("map<bigint,double>")), k), F.lit(0.0))).alias("row"))
+
+    def summary(self) -> DataFrame:
+        """Features, with irreversibility of directed graphs and triangles of undirected ones."""
+        out = features(self.edges, self.nodes)
+        return out.join(irreversibility(self.edges, self.nodes), "g") if self.directed else out.join(self.triangle_counts(), "g")
+
+    def triangle_counts(self) -> DataFrame:
+        found = triangles(self.edges).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+        return self.nodes.join(found, "g", "left").select("g", F.coalesce("c", F.lit(0)).alias("triangles"))
