@@ -45,11 +45,12 @@ def bucket_of(doc_id: str, modulus: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_chars: int = 200_000) -> DataFrame:
     """At most ``max_rows`` labelled rows with their text, picked by a hash of the id.
 
     The sample of labels is bounded by ``max_rows``, which is what makes its broadcast safe;
-    the documents are scanned once and are not shuffled.
+    the documents are scanned once and are not shuffled. Longer texts than ``max_chars`` do
+    not train, which bounds what the driver holds.
     """
     picked = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -58,5 +59,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(max_rows)
     )
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).filter(F.length("__text") <= max_chars)
     return rows.join(F.broadcast(picked), rows["__doc"] == picked["__id"]).select(F.col("__doc").alias("id"), F.col("__text").alias("text"), F.col("__label").alias("label"))
