@@ -337,7 +337,10 @@ def test_pii_widens_on_collision(spark):
     assert widths["secret"] >= 8 and out.distinct().count() == 6000
 
 
-def test_templates(spark):
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_templates(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(templates, "BROADCAST_DIGESTS", broadcast)
+
     def page(k, host="h.org"):
         return f'<html><body class="has-sidebar"><div class="promo-x"><p>Join our club today</p></div><nav><a>Menu</a></nav><article><header><h1>Title {k}</h1></header><p>Body {k} &amp; more<br>line<p>Second {k}<div class="share">tw</div><section><p>Boilerplate inside</p></section></article><section id="comments"><p>Reader {k}</p></section><footer>f</footer><script>if(a<b)x</script></body></html>'
 

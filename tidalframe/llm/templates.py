@@ -26,6 +26,8 @@ from . import common
 
 #: A subtree is template if at least MIN_PAGES different pages of the host have it, and SHARE of all.
 MIN_PAGES, SHARE = 5, 0.2
+#: Digests of all hosts that are broadcast at most, and parts of a host's pages in the join beyond.
+BROADCAST_DIGESTS, SALTS = 2_000_000, 64
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -270,10 +272,20 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return often.groupBy("host").agg(F.collect_set("subtree").alias("template"))
 
 
+def _with_template(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages with their host's template: broadcast after a check of its size, else a salted join,
+    in which a hot host's pages are dealt over SALTS tasks."""
+    if (found.agg(F.sum(F.size("__template"))).first()[0] or 0) <= BROADCAST_DIGESTS:
+        return rows.join(F.broadcast(found), rows["__host"] == found["__h"], "left")
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("__html", "__id"), F.lit(SALTS)).cast("int"))
+    copies = found.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, (dealt["__host"] == copies["__h"]) & (dealt["__salt"] == copies["__s"]), "left")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
-    found = templates(pages, url_col, html_col).select(F.col("host").alias("__h"), F.col("template").alias("__template"))
+    found = common.checkpoint(templates(pages, url_col, html_col).select(F.col("host").alias("__h"), F.col("template").alias("__template")))
     rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"), host_of(url_col).alias("__host"))
-    joined = rows.join(found, rows["__host"] == found["__h"], "left").select("__id", "__url", "__html", "__template")
+    joined = _with_template(rows, found).select("__id", "__url", "__html", "__template")
     out = joined.mapInPandas(_extract, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
