@@ -230,7 +230,7 @@ def test_unigram_model():
     assert pieces.verify(tok, data, ["ab", "ab  c", "cab", ""]) == []
 
 
-def test_cross_entropy(spark, docs, odd):
+def test_cross_entropy(spark, docs, odd, monkeypatch):
     labels = common.table(spark, DATA, "labels")
     models = cross_entropy.fit(docs, labels, size=40)
     for table in (models.target, models.background):
@@ -241,6 +241,8 @@ def test_cross_entropy(spark, docs, odd):
     grams = [models.words.grams(t, 3) for i, t in rows.items() if i in good]
     counts = np.bincount(np.concatenate(grams), minlength=len(models.words) ** 3)
     assert np.allclose(cross_entropy.log_model(counts, len(models.words), 3), models.target)
+    monkeypatch.setattr(cross_entropy, "BROADCAST_IDS", 0)
+    assert np.array_equal(cross_entropy.fit(docs, labels, size=40).target, models.target)
     by = {r["doc_id"]: r for r in cross_entropy.scores(docs, models).collect()}
     t = next(iter(rows))
     g = models.words.grams(rows[t], 3)
