@@ -146,6 +146,26 @@ def test_decontaminate_against_edit_distance(spark):
     assert {r["doc_id"] for r in decontaminate.keep_clean(df, bench).collect()} == set(rows) - {i for i, _ in want}
 
 
+def test_decontaminate_reaches_a_tenth():
+    """Each item with exactly a tenth of edits, spread evenly, and with one more; the budget is written out here."""
+    random = np.random.default_rng(5)
+    for length in (10, 19, 20, 31, 32, 50, 81, 100, 159, 160, 233, 394, 1000):
+        item = "".join(random.choice(list("abcdefghij"), length))
+        matcher, allowed = decontaminate.Matcher([(1, item)], 0.1, 16), length // 10
+        for kind in ("put", "drop", "swap"):
+            for edits in (0, allowed, allowed + 1):
+                own = list(item)
+                for j in range(edits):
+                    at = (2 * j + 1) * length // (2 * edits)
+                    own[at] = {"put": own[at] + "z", "drop": "", "swap": "z"}[kind]
+                got = matcher.matches("xy " + "".join(own) + " wv")
+                # Each sign put in or swapped costs one edit; dropped signs can cost less than one each.
+                if edits <= allowed or kind != "drop":
+                    assert [h[3] <= edits for h in got] == ([True] if edits <= allowed else []), (length, kind, edits)
+                    assert kind == "drop" or edits > allowed or got[0][3] == edits
+    assert decontaminate.Matcher([(1, "abcdefghi")], 0.1, 16).matches("abcdzfghi") == []
+
+
 def test_decontaminate_blocks_and_odd(odd, spark, monkeypatch):
     bench = spark.createDataFrame([(1, "same text here"), (2, "no id at all"), (3, "nothing of it")], "item_id long, text string")
     one = sorted(map(tuple, decontaminate.find_matches(odd, bench).collect()), key=str)

@@ -3,11 +3,12 @@
 A test item of m code points may be hit with up to k edits. It is split into k + 1 pieces, so
 that a passage within k edits contains one piece unchanged. One Aho-Corasick automaton finds
 all piece hits of a text in one pass, hits of an item are merged into windows, and each window
-is verified with Myers' bit-parallel distance.
+is verified with Myers' bit-parallel distance. Where pieces are shorter than ``min_piece``, an
+item is split into k + 2, of which a passage contains two unchanged, moved apart by k at most.
 
 Texts and items are compared after lower-casing and folding every run of white space to one
-space. The budget is ``rate`` of the item's length, less if pieces would get shorter than
-``min_piece``. The test set is the stated query set: it is read in blocks of bounded size,
+space. The budget k is ``rate`` of the item's length, rounded down; ``min_piece`` never lowers
+it. The test set is the stated query set: it is read in blocks of bounded size,
 each broadcast and run against all rows. Null, empty and white-space texts and items match
 nothing; repeated rows and items each give their own results; empty tables give none.
 """
@@ -29,8 +30,21 @@ def normal(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
-def budget(length: int, rate: float, min_piece: int) -> int:
-    return max(0, min(int(length * rate), length // min_piece - 1))
+def budget(length: int, rate: float, min_piece: int = 1) -> int:
+    """Edits allowed; ``min_piece`` has no say in it, see ``unchanged``."""
+    return int(length * rate)
+
+
+def unchanged(length: int, k: int, min_piece: int) -> int:
+    """Unchanged pieces asked for before a window is verified; the item has k more pieces."""
+    return 1 if k == 0 or k + 2 > length or length // (k + 1) >= min_piece else 2
+
+
+def anchors(hits: set[tuple[int, int]], asked: int, k: int) -> list[int]:
+    """Places of an item, from hits (place, offset), where ``asked`` hits lie at most k apart."""
+    at = sorted(hits)
+    near = {j + i for j in range(len(at) - asked + 1) if at[j + asked - 1][0] - at[j][0] <= k for i in range(asked)}
+    return sorted({at[j][0] for j in near})
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -73,15 +87,18 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int):
         import ahocorasick
 
+        if not 0 <= rate < 1:
+            raise ValueError(f"rate {rate}; pieces need 0 <= rate < 1")
         self.items, self.tree = [], ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             item = normal(text)
             if item:
                 k = budget(len(item), rate, min_piece)
-                for offset, piece in pieces(item, k):
+                asked = unchanged(len(item), k, min_piece)
+                for offset, piece in pieces(item, k + asked - 1):
                     found.setdefault(piece, []).append((len(self.items), offset))
-                self.items.append((item_id, item, k, bits(item)))
+                self.items.append((item_id, item, k, asked, bits(item)))
         for piece, owners in found.items():
             self.tree.add_word(piece, (len(piece), owners))
         self.tree.make_automaton()
@@ -93,12 +110,12 @@ class Matcher:
             return []
         for last, (length, owners) in self.tree.iter(text):
             for item, offset in owners:
-                starts.setdefault(item, set()).add(last - length + 1 - offset)
+                starts.setdefault(item, set()).add((last - length + 1 - offset, offset))
         out = []
         for item in sorted(starts):
-            item_id, pattern, k, peq = self.items[item]
+            item_id, pattern, k, asked, peq = self.items[item]
             m, windows = len(pattern), []
-            for s in sorted(starts[item]):
+            for s in anchors(starts[item], asked, k):
                 lo, hi = max(0, s - k), min(len(text), s + m + k)
                 if windows and lo <= windows[-1][1] and s - windows[-1][2] <= 2 * k:
                     windows[-1][1], windows[-1][2] = hi, s
@@ -107,8 +124,9 @@ class Matcher:
             for lo, hi, _ in windows:
                 if hi - lo >= m - k:
                     distance, end = (0, text.find(pattern, lo, hi) - lo + m) if text.find(pattern, lo, hi) >= 0 else myers(peq, m, text[lo:hi])
-                    if distance <= k:
-                        out.append((item_id, max(0, lo + end - m), lo + end, distance))
+                    hit = (item_id, max(0, lo + end - m), lo + end, distance)
+                    if distance <= k and (not out or hit != out[-1]):
+                        out.append(hit)
         return out
 
 
