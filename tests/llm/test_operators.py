@@ -316,6 +316,51 @@ def test_licenses_base(docs, odd):
             assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"], g["base_labels"]) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
 
 
+def alternatives(pattern):
+    """Strings a pattern matches, which take every branch and option of it at least once."""
+
+    def walk(tree):
+        out = [""]
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                parts = [chr(arg)]
+            elif op == "IN":
+                parts = [chr(v) if str(o) == "LITERAL" else "7" if "DIGIT" in str(v) else "x" for o, v in arg]
+            elif op == "BRANCH":
+                parts = [p for t in arg[1] for p in walk(t)]
+            elif op == "MAX_REPEAT":
+                parts = ([""] if arg[0] == 0 else []) + walk(arg[2])
+            else:
+                assert op == "SUBPATTERN"
+                parts = walk(arg[3])
+            n = max(len(out), len(parts))
+            out = [out[k % len(out)] + parts[(k + k // len(out)) % len(parts)] for k in range(n * (1 if min(len(out), len(parts)) == 1 else 2))]
+        return list(dict.fromkeys(out))
+
+    return walk(re._parser.parse(pattern))
+
+
+def test_license_prefilter_drops_nothing(spark, monkeypatch):
+    seen = set()
+    for _, _, label, words, p in licenses.rules():
+        for v in alternatives(p.replace("\\\\", "\\")):
+            if "," not in v:
+                assert any(k in f" {v} " for k in words), (label, v)
+                assert any(k in f" {v} " for k in licenses.KEYWORDS) or re.search(licenses.TAGGED, f" {v} "), (label, v)
+                seen.add(v)
+    named = ["Released under MIT", "Distributed under GPL-3.0", "Available under Apache 2.0", "MIT No Attribution", "Zero Clause BSD", "Creative Commons Attribution 4.0", "Provided by ISC"]
+    some = sorted(seen)[:: len(seen) // 80 + 1]
+    df = spark.createDataFrame(list(enumerate([*named, *some])), "doc_id long, text string").repartition(3).cache()
+    kept = {tuple(r) for r in licenses.scan(df).collect()}
+    rules = licenses.rules()
+    monkeypatch.setattr(licenses, "rules", lambda: [(k, p, label, ("",), x) for k, p, label, _, x in rules])
+    monkeypatch.setattr(licenses, "gate", lambda norm: "TRUE")
+    assert kept == {tuple(r) for r in licenses.scan(df).collect()}
+    got = {r[0]: r[6] for r in kept}
+    assert [got[k] for k in range(len(named))] == ["mit", "gpl-3.0", "apache-2.0", "mit-0", "0bsd", "cc-by-4.0", "isc"]
+
+
 def test_license_rules(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0. MIT license mit license"), (2, "SPDX-License-Identifier: GPL-2.0-only"), (3, "Licensed under CC BY-NC 4.0."), (4, "GNU Lesser General Public License v2.1"), (5, "a licensed doctor")]
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -1,7 +1,8 @@
 r"""License scan by ordered signature rules, in Spark SQL.
 
 Rules are regular expressions over the folded text: A-Z lower-cased, words apart by one space.
-A text is scanned only if it has a keyword, and by a rule only if it has that rule's keyword.
+A text is scanned only if it passes a gate, and by a rule only if it has one of the rule's keywords.
+Both are derived from the rules and are necessary for a match, so that they drop no detection.
 Rules have four priorities: SPDX tags, notices ("licensed under ..."), full names with version,
 bare family names. A detection whose interval lies in one of a better priority, or in a longer
 one of its own, is suppressed. The rules are built from a table of licences and templates.
@@ -10,6 +11,8 @@ Beside them stands the base: places where the words of a phrase follow each othe
 as the empty text, which has no words, no labels and the score 0. Repeated rows score alike.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,28 +79,74 @@ PHRASES = [
     ("public-domain", 2, "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("public-domain", 4, "public domain", "public domain"),
     ("proprietary", 2, "all rights reserved", "all rights reserved"),
-    ("proprietary", 3, "proprietary", "proprietary and confidential"),
+    ("proprietary", 3, "proprietary and", "proprietary and confidential"),
     ("mit", 4, "mit license", "mit license"),
     ("apache", 4, "apache license", "apache license"),
     ("gpl", 4, "general public license", "(?:gnu )?general public license"),
     ("creative-commons", 4, "creative commons", "creative commons(?: licen[cs]e)?"),
     ("copyright", 4, "copyright", "copyright (?:c )?(?:19|20)\\d\\d"),
 ]
-KEYWORDS = ["licens", "licenc", "all rights reserved", "public domain", "copyright", "creative commons", "proprietary and", "spdx", " cc by ", "cc0", "permission ", "redistribution and use", "free software"]
+# Fixed value: what stands before the name or tag in a notice.
+NOTICE = "(?:licen[cs]ed|released|distributed|published|available|provided|made available|covered) (?:by|under)(?: the)?(?: terms of)?(?: the)?"
 SCORES = {1: 1.0, 2: 0.95, 3: 0.8, 4: 0.5}
 
 
-def rules() -> list[tuple[int, int, str, str, str]]:
-    """(order, priority, label, keyword, pattern) of all rules."""
+def variants(pattern: str) -> list[str]:
+    """What a pattern of the tables matches, with a line feed for each class of signs."""
+    out, at = [], 0
+
+    def sequence() -> list[str]:
+        nonlocal at
+        done, now = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                done, now, at = done + now, [""], at + 1
+                continue
+            if pattern.startswith("(?:", at):
+                at += 3
+                parts = sequence()
+                at += 1
+            elif m := re.compile(r"\[([a-z]+)\]").match(pattern, at):
+                parts, at = list(m[1]), m.end()
+            elif m := re.compile(r"\\.(?:\{[^}]*\})?").match(pattern, at):
+                parts, at = ["\n"], m.end()
+            else:
+                parts, at = [pattern[at]], at + 1
+            if pattern.startswith("?", at):
+                parts, at = ["", *parts], at + 1
+            now = [a + b for a in now for b in parts]
+        return done + now
+
+    while at < len(pattern):
+        out += sequence()
+    return out
+
+
+def shortest(keys) -> tuple[str, ...]:
+    """Keys without those that contain another."""
+    return tuple(sorted(k for k in set(keys) if not any(o != k and o in k for o in keys)))
+
+
+def keywords(pattern: str) -> tuple[str, ...]:
+    """The first two words of all variants: folded text that matches has one of them."""
+    return shortest({f" {' '.join(v.split(' ')[:2])} ".partition("\n")[0] for v in variants(pattern) if "," not in v})
+
+
+def rules() -> list[tuple[int, int, str, tuple[str, ...], str]]:
+    """(order, priority, label, keywords, pattern) of all rules."""
     out = []
     for label, name, tag in LICENSES:
-        out.append((1, label, "spdx", f"spdx licen[cs]e identifier {tag}"))
-        notice = f"(?:licen[cs]ed|released|distributed|published|available|provided|made available|covered) (?:by|under)(?: the)?(?: terms of)?(?: the)? (?:{name}|{tag})"
-        out.append((2, label, "licensed under" if label.startswith("cc-") else "under", notice))
-        out.append((2, label, "subject to", f"subject to(?: the)?(?: terms (?:and conditions )?of)?(?: the)? (?:{name})"))
-        out.append((3, label, "cc" if label.startswith("cc-by") else "licen" if "licen" in name else label.split("-")[0], name))
-    out += [(priority, label, keyword, pattern) for label, priority, keyword, pattern in PHRASES]
-    return [(k, priority, label, keyword, pattern) for k, (priority, label, keyword, pattern) in enumerate(sorted(out, key=lambda r: r[0]))]
+        out.append((1, label, ("spdx",), f"spdx licen[cs]e identifier {tag}"))
+        out.append((2, label, keywords(f"{name}|{tag}"), f"{NOTICE} (?:{name}|{tag})"))
+        out.append((2, label, ("subject to",), f"subject to(?: the)?(?: terms (?:and conditions )?of)?(?: the)? (?:{name})"))
+        out.append((3, label, keywords(name), name))
+    out += [(priority, label, (keyword,), pattern) for label, priority, keyword, pattern in PHRASES]
+    return [(k, priority, label, words, pattern) for k, (priority, label, words, pattern) in enumerate(sorted(out, key=lambda r: r[0]))]
+
+
+#: What a text has if a rule matches, but for notices with a tag, which TAGGED finds.
+KEYWORDS = shortest({"spdx", *(k for _, _, k, _ in PHRASES), *(next((w for w in ("licens", "licenc") if w in v), k) for _, name, _ in LICENSES for v in variants(name) for k in keywords(name) if "," not in v and f" {v} ".startswith(k))})
+TAGGED = f" {NOTICE} (?:{'|'.join(tag for _, _, tag in LICENSES)})(?= )"
 
 
 WORD = r"0-9a-z\x{80}-\x{10FFFF}"
@@ -127,14 +176,14 @@ def base_columns(norm: str) -> dict[str, str]:
 
 
 def detections(norm: str) -> str:
-    """SQL of struct(labels, score): rules whose keyword occurs, then suppression.
+    """SQL of struct(labels, score): rules of which a keyword occurs, then suppression.
 
     Detections are sorted by start, longer first, better priority first, so whatever contains
     a detection comes before it; a fold keeps the farthest end of each priority.
     """
     q = lambda s: "r'" + s + "'"
-    table = "array(" + ", ".join(f"named_struct('p', {p}, 'l', '{label}', 'k', '{keyword}', 'x', {q(f' (?:{pattern})(?= )')})" for _, p, label, keyword, pattern in rules()) + ")"
-    active = f"filter({table}, r -> contains({norm}, r.k))"
+    table = "array(" + ", ".join(f"named_struct('p', {p}, 'l', '{label}', 'k', array({', '.join(map(q, words))}), 'x', {q(f' (?:{pattern})(?= )')})" for _, p, label, words, pattern in rules()) + ")"
+    active = f"filter({table}, r -> exists(r.k, k -> contains({norm}, k)))"
     places = f"""aggregate(zip_with(split({norm}, r.x, -1), regexp_extract_all({norm}, r.x, 0), (s, m) -> named_struct('s', length(s), 'm', coalesce(length(m), 0))),
         named_struct('at', 0, 'out', cast(array() AS array<struct<s: int, e: int>>)),
         (a, d) -> named_struct('at', a.at + d.s + d.m, 'out', CASE WHEN d.m > 0 THEN concat(a.out, array(named_struct('s', a.at + d.s, 'e', a.at + d.s + d.m))) ELSE a.out END), a -> a.out)"""
@@ -148,15 +197,20 @@ def detections(norm: str) -> str:
         a -> named_struct('labels', a.labels, 'score', a.score))"""
 
 
+def gate(norm: str) -> str:
+    """SQL of a condition that holds wherever a rule matches."""
+    return " OR ".join([*(f"contains({norm}, '{k}')" for k in KEYWORDS), f"{norm} RLIKE r'{TAGGED}'"])
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), folded(common.text_or_empty(text_col)).alias("__t"))
-    gate = " OR ".join(f"contains(__t, '{k}')" for k in KEYWORDS)
+    passes = gate("__t")
     base = base_columns("__t")
     none = "named_struct('labels', cast(array() AS array<string>), 'score', 0.0D)"
     empty = "named_struct('n', 0, 'f', cast(null AS int), 'l', cast(null AS int), 'b', cast(array() AS array<string>))"
     seen = f"named_struct('n', {base['n_base']}, 'f', {base['first_word']}, 'l', {base['last_word']}, 'b', {base['base']})"
-    rows = rows.select("doc_id", F.expr(f"CASE WHEN __t = '  ' THEN 0 ELSE {_spaces('__t')} - 1 END").cast("long").alias("n_words"), F.expr(f"CASE WHEN contains(__t, ' license ') THEN {seen} ELSE {empty} END").alias("__b"), F.expr(f"CASE WHEN {gate} THEN {detections('__t')} ELSE {none} END").alias("__d"))
+    rows = rows.select("doc_id", F.expr(f"CASE WHEN __t = '  ' THEN 0 ELSE {_spaces('__t')} - 1 END").cast("long").alias("n_words"), F.expr(f"CASE WHEN contains(__t, ' license ') THEN {seen} ELSE {empty} END").alias("__b"), F.expr(f"CASE WHEN {passes} THEN {detections('__t')} ELSE {none} END").alias("__d"))
     return rows.select(
         "doc_id",
         "n_words",
