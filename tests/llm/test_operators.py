@@ -87,17 +87,69 @@ def test_jaccard_join_large_groups(spark, monkeypatch):
     assert got == brute_components(rows, 3, 80)
 
 
-def test_part_keys_lose_no_link():
-    rows = near_copies(9, 40, 8, words=45, edits=6)
-    for n, percent in ((3, 90), (5, 80), (1, 70)):
-        cache = jaccard_join._Words()
-        sets = [jaccard_join.shingles(t, n, cache) for t in rows.values()]
-        at, keys = jaccard_join.part_keys(sets, percent)
-        own = [set(keys[at == k]) for k in range(len(sets))]
-        for a in range(len(sets)):
-            for b in range(a):
-                if jaccard_join.links(sets[a], sets[b], percent) and not np.array_equal(sets[a], sets[b]):
-                    assert own[a] & own[b]
+def test_heads_lose_no_link():
+    """Heads of linking sets share the tokens that the screen asks for, for sizes from 1 up."""
+    random = np.random.default_rng(1)
+    for percent in (50, 70, 80, 90, 99):
+        for _ in range(600):
+            n = int(random.integers(1, 120))
+            a = np.unique(random.integers(0, 2**63, n).astype(np.uint64))
+            drop = int(random.integers(0, max(1, n * (100 - percent) // 100) + 1))
+            b = np.unique(np.concatenate([random.permutation(a)[drop:], random.integers(0, 2**63, int(random.integers(0, drop + 2))).astype(np.uint64)]))
+            if jaccard_join.links(a, b, percent):
+                both = len(np.intersect1d(a[: jaccard_join.head_size(len(a), percent)], b[: jaccard_join.head_size(len(b), percent)]))
+                assert both >= max(jaccard_join.head_needed(len(a), percent), jaccard_join.head_needed(len(b), percent))
+
+
+def test_sizes_agree_with_sql(spark):
+    for percent in (80, 90):
+        rows = spark.range(1, 400).select("id", F.expr(jaccard_join._sql_head_size("id", percent)).alias("s"), F.expr(jaccard_join._sql_head_needed("id", percent)).alias("n")).collect()
+        assert all(r["s"] == jaccard_join.head_size(r["id"], percent) and r["n"] == jaccard_join.head_needed(r["id"], percent) for r in rows)
+
+
+def chains_of_passages(seed, count=160):
+    """Texts of two passages each, in a ring, with few own words: neighbours share half of their texts and never link, but for planted copies."""
+    random = np.random.default_rng(seed)
+    passages = [" ".join(f"p{k}x{j}" for j in range(40)) for k in range(count // 4)]
+    out = {}
+    for k in range(count):
+        own = " ".join(f"o{random.integers(10**6)}" for _ in range(4))
+        out[k] = f"{passages[k % len(passages)]} {own} {passages[(k * 7 + 1) % len(passages)]}"
+    for k in range(0, count, 9):
+        w = out[k].split()
+        w[3] = "edited"
+        out[count + k] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "ids"), [(400, 1_000_000), (5, 0)])
+def test_jaccard_join_percolating_passages(spark, monkeypatch, chunk, ids):
+    """Shared passages tie all texts together without linking them; small chunks and shuffled ids give the same."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(common, "BROADCAST_IDS", ids)
+    rows = chains_of_passages(2)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(df, n=5, percent=80).collect()}
+    assert got == brute_components(rows, 5, 80) and len({c for _, c in got.values()}) < len(rows)
+
+
+def test_jaccard_join_needs_the_matrix(spark, monkeypatch):
+    """With group keys that bring no similar texts together, the token-group matrix alone finds every link."""
+    monkeypatch.setattr(jaccard_join, "_groups", lambda alive, percent: alive.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 6)
+    rows = near_copies(8, 8, 20, edits=5)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(df, n=3, percent=80).collect()}
+    assert got == brute_components(rows, 3, 80)
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    df = spark.createDataFrame([(7, a, "y"), (7, b, "x"), (3, a, "z"), (9, b, "w"), (7, b, "v"), (None, a, "u")], "doc_id long, text string, label string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(df).collect()}
+    assert got == {(7, 28, 3), (3, 28, 3), (9, 28, 3), (None, 28, None)}
+    kept = sorted(((r["doc_id"], r["label"]) for r in jaccard_join.keep_one(df.filter("doc_id <> 3 OR doc_id IS NULL").repartition(3)).collect()), key=str)
+    assert kept == [(7, "y"), (None, "u")]
 
 
 def test_jaccard_join_odd(odd, spark):
@@ -112,9 +164,10 @@ def test_jaccard_join_odd(odd, spark):
 
 
 def test_components(spark):
-    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)]
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)] + [(k, 500) for k in range(501, 1800)]
     got = {r["v"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, **{k: 500 for k in range(500, 1800)}}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_decontaminate_against_edit_distance(spark):

@@ -8,6 +8,7 @@ extra input columns cannot clash with them.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,36 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there, and later reads take single columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of ids that are broadcast at most; beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def matching(rows: DataFrame, key: str, ids: DataFrame, id_col: str, keep: list[str] | None = None, how: str | None = None) -> DataFrame:
+    """Rows whose ``key`` is an id of ``ids`` (``how="left_anti"``: is none), with the columns ``keep`` of ids.
+
+    ids are distinct and already stored. They are broadcast up to ``BROADCAST_IDS``.
+    """
+    ids = ids.select(F.col(id_col).alias("__match"), *(keep or []))
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    out = rows.join(ids, F.col(key).cast("long") == F.col("__match"), how or ("inner" if keep else "left_semi"))
+    return out.drop("__match") if keep else out
+
+
+def looked_up(rows: DataFrame, hot: DataFrame, cold: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with hot and cold, which hold each key once; ``hot`` is small and is broadcast, so hot keys stay where they are."""
+    by_hot = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return by_hot.unionByName(rest.join(cold, keys))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder of the cluster."""
     shared_folder(df.sparkSession)

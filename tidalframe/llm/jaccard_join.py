@@ -3,34 +3,42 @@
 A document's set holds its distinct word n-grams. Two documents link when
 ``100 * intersection >= percent * union``; the result names every document's component.
 
-1. Documents with equal sets fall into one class (128-bit digest of the sorted set).
-2. Candidate groups. If sizes n <= m link, their sets differ in at most
-   ``(n + m) * (100 - percent) / (100 + percent)`` tokens. Tokens are dealt by hash into one
-   part more than that bound, so some part must agree exactly (pigeonhole). A part's digest is
-   a join key that two documents share only if a whole part agrees, so frequent passages,
-   lines and words do not make candidates. Every map task first folds equal keys into stars,
-   so that a hot key sends one row per task.
-3. Components of those stars are the groups of similar documents. Groups of any size are cut
-   into chunks bounded in rows and tokens, and each chunk builds its token-group matrix: a row
-   per leader with the union of its members' tokens. A query's overlap with a row bounds its
-   overlap with every member, and only groups that reach the needed overlap are opened.
-4. Chunks of a large group are joined level by level through their leaders; pairs of clusters
-   that are still apart, yet near enough by the triangle inequality to hide a link, are opened
-   member by member. No pair within a connected group is ever listed.
+1. Documents with equal sets fall into one class (128-bit digest of the sorted set); a class is
+   a vertex named by its smallest id.
+2. Screen. A set of n tokens misses at most e(n) = n * (100 - percent) / 100 tokens of a linking
+   partner. Of the tokens in the order of their hashes, the first e(n) + half(n), half(n) =
+   e(n) / 2, are the head. Two linking sets share at least half(the smaller) tokens of their
+   heads: the j-th token in common stands at most e(n) places later in either set. A set whose
+   head has fewer tokens in any other class's head links with nothing and goes no further.
+3. Groups. The sets left are dealt into groups of similar documents by the smallest shared token
+   of their heads, under two hashes in turn. Sorted runs of one key are cut into bounded chunks;
+   each chunk is clustered exactly with a matrix of token unions (``Chunk``), and only one
+   leader of each cluster takes part in the next pass. Connected clusters are the groups.
+4. Token-group matrix. Stored as rows (token, group), it is the union of the head tokens of each
+   group's members. Tokens of one group only cannot link across groups, so documents whose
+   tokens in other groups are too few drop out, again and again. Each document left queries
+   the matrix with its rarest tokens (all but the overlap needed, less one); its overlap with a
+   candidate group's union bounds the overlap with every member, and only groups that reach the
+   needed overlap are opened, in bounded blocks. Of two groups the one with fewer members asks.
+
+No pair within a group is ever listed, a passage that many documents share makes no candidates
+unless it is most of them, and nothing is left out: steps 2 and 4 drop only what cannot link.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words than n make one token of
 the whole sequence; null, empty and white-space texts have an empty set and link with nothing.
-Repeated rows share a component. Tokens are compared by 64-bit hashes in candidate search and
-by the same hashes in verification.
+Repeated rows share a component; rows of one id with different texts are one document, so their
+texts' components are one. A null id has a null component and links with nothing. Very long
+texts are sets like any other: memory holds a batch of texts, then a chunk's sets. Ties between
+groups fall to the smaller id; an empty table gives an empty result; extra columns are not read.
+Tokens are compared by 64-bit hashes in candidate search and in verification.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,8 +49,10 @@ CACHE_WORDS = 400_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bounds of one chunk: sets, and tokens in all of them (a single set may exceed the latter).
 CHUNK_ROWS, CHUNK_TOKENS = 400, 400_000
-#: A broadcast of document ids is tried up to this many (16 bytes each); beyond, they are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Passes over the group keys at most, and the share of leaders a pass must save to go on.
+PASSES, SAVED = 6, 0.05
+#: Rounds of dropping documents with too few tokens in other groups.
+ROUNDS = 4
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,66 +82,6 @@ def shingles(text: str | None, n: int, cache: dict) -> np.ndarray:
     return np.unique(gram)
 
 
-@lru_cache(maxsize=8)
-def bands(percent: int, limit: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """Size bands such that sizes that can link lie in one band or in neighbours.
-
-    Returns each band's first size and the parts for (band, next band): the largest symmetric
-    difference of a linking pair with the smaller set in the band, plus one.
-    """
-    low, parts, lo = [], [], 1
-    while lo < limit:
-        hi = max(lo, lo * 100 // percent)
-        low.append(lo)
-        parts.append((hi + hi * 100 // percent) * (100 - percent) // (100 + percent) + 1)
-        lo = hi + 1
-    return np.array(low), np.array(parts)
-
-
-SPARE = 2
-
-
-def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the set, part key) for both bands that each set takes part in.
-
-    Empty parts agree with each other without telling anything. They are left out as long as
-    the parts with tokens still outnumber the differences allowed, and kept otherwise.
-    """
-    low, parts = bands(percent)
-    sizes = np.array([len(s) for s in sets])
-    where, keys = [], []
-    band = np.searchsorted(low, sizes, side="right") - 1
-    for step in (0, 1):
-        group = band - step
-        use = np.flatnonzero((sizes > 0) & (group >= 0))
-        use = use[parts[group[use]] > 1]
-        if not len(use):
-            continue
-        count = parts[group[use]] + SPARE
-        h = np.concatenate([sets[i] for i in use])
-        of = np.repeat(np.arange(len(use)), sizes[use])
-        slot = (mix(h ^ K1) >> np.uint64(11)).astype(np.int64) % count[of]
-        start = np.concatenate(([0], np.cumsum(count)))
-        flat = start[of] + slot
-        order = np.argsort(flat, kind="stable")
-        flat, value = flat[order], mix(h[order] + K2)
-        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        digest = np.add.reduceat(value, first)
-        at = flat[first]
-        owner = of[order][first]
-        salt = mix((group[use].astype(np.uint64)[owner] << np.uint64(32)) + (at - start[owner]).astype(np.uint64) + K3)
-        where.append(use[owner])
-        keys.append(mix(digest ^ salt))
-        filled = np.bincount(owner, minlength=len(use))
-        for k in np.flatnonzero(filled < parts[group[use]]):
-            empty = np.setdiff1d(np.arange(count[k]), at[owner == k] - start[k])
-            where.append(np.full(len(empty), use[k]))
-            keys.append(mix(empty.astype(np.uint64) * K1 ^ np.uint64(group[use[k]])))
-    if not where:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(where), np.concatenate(keys)
-
-
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact test on two sorted sets."""
     n, m = len(a), len(b)
@@ -144,7 +94,8 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 class Chunk:
     """Token-group matrix over one bounded chunk of sets; clusters its sets by their links.
 
-    ``distance`` keeps, for each leader, the largest distance of a member, for later levels.
+    A row of the matrix is the union of a group's tokens. A set's overlap with it bounds the
+    overlap with every member, and only groups that reach the needed overlap are opened.
     """
 
     def __init__(self, sets: list[np.ndarray], percent: int):
@@ -164,10 +115,6 @@ class Chunk:
 
     def run(self) -> list[int]:
         sets, percent = self.sets, self.percent
-        if len(sets) == 2:
-            if links(*sets, percent):
-                self.join(0, 1)
-            return [self.find(k) for k in range(2)]
         tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
         bounds = np.cumsum([0, *map(len, sets)])
         own = [inverse[bounds[k] : bounds[k + 1]] for k in range(len(sets))]
@@ -202,74 +149,168 @@ class Chunk:
         return [self.find(k) for k in range(len(sets))]
 
 
+def _allowed(n, percent: int):
+    """e(n): tokens that a set of n can miss of a partner; like its peers for ints and arrays."""
+    return n * (100 - percent) // 100
+
+
+def head_size(n, percent: int):
+    e = _allowed(n, percent)
+    return np.minimum(n, e + np.maximum(1, (e + 1) // 2))
+
+
+def head_needed(n, percent: int):
+    """Tokens that the heads of a set of n and of any linking partner share at least."""
+    small = (percent * n + 99) // 100
+    return np.minimum(small, np.maximum(1, (_allowed(small, percent) + 1) // 2))
+
+
+def _sql_head_size(n: str, percent: int) -> str:
+    e = f"({n} * {100 - percent} div 100)"
+    return f"least({n}, {e} + greatest(1L, ({e} + 1) div 2))"
+
+
+def _sql_head_needed(n: str, percent: int) -> str:
+    small = f"(({percent} * {n} + 99) div 100)"
+    return f"least({small}, greatest(1L, ({small} * {100 - percent} div 100 + 1) div 2))"
+
+
+def _digest(tokens: np.ndarray) -> np.ndarray:
+    """128 bits of a sorted set as two longs; the first is its short name in the screen."""
+    return np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64)
+
+
 def _sets(n: int):
+    """(doc_id, n_shingles, both halves of the set's digest) of every row."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Words()
         for batch in batches:
             sets = [shingles(t, n, cache) for t in batch["__text"]]
-            digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["__id"], "n_shingles": np.array([len(s) for s in sets], np.int64), "__set": digest})
+            halves = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": batch["__id"], "n_shingles": np.array([len(s) for s in sets], np.int64), "s1": halves[:, 0], "s2": halves[:, 1]})
 
     return scan
 
 
-def _fold(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest document of each key, and distinct pairs of the others with it."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = key[1:] != key[:-1]
-    head = doc[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
-    rest = doc != head
-    return key[fresh], doc[fresh], np.unique(np.stack([doc[rest], head[rest]], 1), axis=0)
+#: What a row of the screen says of its token: one set of the batch has it; the named set is one
+#: of several that share it in the batch; several share it, told to the other batches once.
+ALONE, TOGETHER, TOLD = 0, 1, 2
 
 
-def _pieces(key: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int = 200_000) -> Iterator[pd.DataFrame]:
-    for k in range(0, len(key), rows):
-        yield pd.DataFrame({"key": key[k : k + rows], "a": a[k : k + rows], "b": b[k : k + rows]})
+def _heads(n: int, percent: int):
+    """(token, class, state) of the heads of a batch; a token goes to the other batches once.
 
+    Copies of a class within the batch count once.
+    """
 
-def _keys_of_task(n: int, percent: int):
-    """Part keys of a whole map task; keys that several of its documents have become pairs.
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _Words()
+        for batch in batches:
+            sets = {}
+            for text in batch["__text"]:
+                s = shingles(text, n, cache)
+                if len(s):
+                    sets.setdefault(int(_digest(s)[0]), s[: head_size(len(s), percent)])
+            if not sets:
+                continue
+            token = np.concatenate(list(sets.values()))
+            of = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sets.values()])
+            order = np.argsort(token, kind="stable")
+            token, of = token[order].view(np.int64), of[order]
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            count = np.diff(np.append(start, len(token)))
+            several = np.repeat(count > 1, count)
+            yield pd.DataFrame(
+                {
+                    "token": np.concatenate((token[start], token[several])),
+                    "of": np.concatenate((of[start], of[several])),
+                    "state": np.concatenate((np.where(count > 1, TOLD, ALONE), np.full(several.sum(), TOGETHER))).astype(np.int32),
+                }
+            )
 
-    Rows (key, a, b): document a has the key and b is a, or documents a and b share a key.
-    """
+    return scan
+
+
+def _screen(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(v, key1, key2) of the classes whose heads share enough tokens with other classes."""
+    seen = rows.mapInPandas(_heads(n, percent), "token long, of long, state int")
+    # Rows already known to be shared are spread, so a hot token has a row from each batch at most.
+    seen = seen.withColumn("__k", F.when(F.col("state") == TOGETHER, F.xxhash64("of", "token")).otherwise(F.col("token")))
+    w = Window.partitionBy("__k")
+    seen = seen.select("token", "of", "state", F.min("of").over(w).alias("__a"), F.max("of").over(w).alias("__z"), F.max("state").over(w).alias("__s"))
+    shared = seen.filter((F.col("state") == TOGETHER) | ((F.col("state") == ALONE) & ((F.col("__a") != F.col("__z")) | (F.col("__s") == TOLD))))
+    counts = shared.select("of", "token").distinct().groupBy("of").agg(F.count(F.lit(1)).alias("__c"), F.min("token").alias("key1"), F.min(F.xxhash64("token")).alias("key2"))
+    kept = classes.join(counts, classes["s1"] == counts["of"]).filter(F.expr(f"__c >= {_sql_head_needed('n_shingles', percent)}"))
+    return kept.groupBy("v").agg(F.min("key1").alias("key1"), F.min("key2").alias("key2"))
+
+
+def _tokens(n: int):
+    """(v, key1, key2, n, tokens): the sorted set of each row, with what came with it."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, docs, keys = _Words(), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        cache = _Words()
         for batch in batches:
-            own = batch["__id"].to_numpy(np.int64)
-            at, key = part_keys([shingles(t, n, cache) for t in batch["__text"]], percent)
-            docs.append(own[at])
-            keys.append(key)
-        key, doc, pairs = _fold(np.concatenate(keys).view(np.int64), np.concatenate(docs))
-        yield from _pieces(key, doc, doc)
-        spread = mix(pairs[:, 0].astype(np.uint64) * K1 + pairs[:, 1].astype(np.uint64)).view(np.int64)
-        yield from _pieces(spread, pairs[:, 0], pairs[:, 1])
+            sets = [shingles(t, n, cache) for t in batch["text"]]
+            keep = [k for k, s in enumerate(sets) if len(s)]
+            out = batch[["v", "key1", "key2"]].iloc[keep]
+            yield out.assign(n=np.array([len(sets[k]) for k in keep], np.int64), tokens=[sets[k].view(np.int64) for k in keep])
 
     return scan
 
 
-def _stars_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All rows of a key are in this task, one at most from each map task: stars around the smallest."""
-    key, a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for batch in batches:
-        for to, name in ((key, "key"), (a, "a"), (b, "b")):
-            to.append(batch[name].to_numpy(np.int64))
-    key, a, b = np.concatenate(key), np.concatenate(a), np.concatenate(b)
-    single = a == b
-    _, _, pairs = _fold(key[single], a[single])
-    for x in (pairs, np.stack([a[~single], b[~single]], 1)):
-        yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1]})
+def _cluster_runs(percent: int):
+    """(v, leader) of rows sorted by key: runs of one key in chunks of bounded size, each clustered."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, names, sets, held = None, [], [], 0
+
+        def close() -> pd.DataFrame:
+            leaders = [names[k] for k in Chunk(sets, percent).run()] if len(names) > 1 else names
+            return pd.DataFrame({"v": names, "leader": leaders}, dtype=np.int64)
+
+        for batch in batches:
+            for own, v, tokens in zip(batch["key"], batch["v"], batch["tokens"], strict=True):
+                if names and (own != key or len(names) >= CHUNK_ROWS or held + len(tokens) > CHUNK_TOKENS):
+                    yield close()
+                    names, sets, held = [], [], 0
+                key = own
+                names.append(v)
+                sets.append(np.asarray(tokens, np.int64).view(np.uint64))
+                held += len(tokens)
+        if names:
+            yield close()
+
+    return scan
+
+
+def _groups(alive: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found inside chunks: all members, then the leaders of clusters, by both keys in turn."""
+    level, edges, left = alive, [], None
+    for k in range(PASSES):
+        rows = level.select(F.col(("key1", "key2")[k % 2]).alias("key"), "v", "tokens")
+        rows = rows.repartitionByRange("key", "v").sortWithinPartitions("key", "v")
+        done = common.stored(rows.mapInPandas(_cluster_runs(percent), "v long, leader long"))
+        edges.append(done.filter("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")))
+        leaders = done.filter("v = leader").select("v").distinct()
+        now = leaders.count()
+        if k and now > left * (1 - SAVED):
+            break
+        left = now
+        level = common.matching(alive, "v", leaders, "v")
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out
 
 
-def _cluster(n: int, percent: int):
-    """Clusters one chunk; rows of one ``label`` are known to be connected."""
+def _open(percent: int):
+    """(v, leader) of one block of a group: its members and the documents that asked for it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("v", kind="stable")
-        cache, v = _Words(), rows["v"].to_numpy(np.int64)
-        chunk, first = Chunk([shingles(t, n, cache) for t in rows["text"]], percent), {}
+        v = rows["v"].to_numpy(np.int64)
+        chunk, first = Chunk([np.asarray(t, np.int64).view(np.uint64) for t in rows["tokens"]], percent), {}
         for k, label in enumerate(rows["label"].to_numpy(np.int64)):
             chunk.join(k, first.setdefault(label, k))
         return pd.DataFrame({"v": v, "leader": v[chunk.run()]})
@@ -277,68 +318,61 @@ def _cluster(n: int, percent: int):
     return run
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """(v, root, n_shingles, chunk, chunks): members of a root dealt by hash into bounded chunks."""
-    sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("__c"), F.sum("n_shingles").alias("__t"))
-    wanted = F.greatest(F.ceil(F.col("__c") / CHUNK_ROWS), F.ceil(F.col("__t") / CHUNK_TOKENS))
-    sizes = sizes.select(F.col("root").alias("__root"), F.least(F.col("__c"), wanted).alias("chunks"))
-    out = rows.join(sizes, rows["root"] == sizes["__root"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")))
-    return common.checkpoint(out.select("v", "root", "n_shingles", "chunk", "chunks"))
-
-
-def _with_text(docs: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:
-    """members with their text; the ids are broadcast after a check of their number, else both sides are shuffled."""
-    text = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__v"), F.col(text_col).alias("text"))
-    small = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    return text.join(small, text["__v"] == members["v"]).drop("__v")
-
-
-def _only_shared(rows: DataFrame, column: str) -> DataFrame:
-    """Rows whose value of ``column`` occurs more than once."""
-    often = rows.groupBy(column).agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > 1).select(F.col(column).alias("__o"))
-    return rows.join(often, rows[column] == often["__o"]).drop("__o")
-
-
-def link_classes(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(v, root) of the class representatives ``reps`` (v, n_shingles) that link with another."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    keyed = rows.mapInPandas(_keys_of_task(n, percent), "key long, a long, b long")
-    candidates = components(keyed.repartition("key").mapInPandas(_stars_of_task, "a long, b long"))
-    level = common.checkpoint(_only_shared(candidates.join(reps, "v").select("v", "root", "n_shingles"), "root"))
-    run, edges, split = _cluster(n, percent), None, None
-    while count := level.count():
-        parts = _chunked(level)
-        texts = _with_text(docs, id_col, text_col, parts.select("v", "root", "chunk", F.col("v").alias("label")))
-        done = common.checkpoint(texts.groupBy("root", "chunk").applyInPandas(run, "v long, leader long"))
-        found = done.filter(F.col("v") != F.col("leader")).select(F.col("v").alias("a"), F.col("leader").alias("b"))
-        edges = found if edges is None else edges.unionByName(found)
-        large = parts.filter(F.col("chunks") > 1)
-        split = large if split is None else split
-        leaders = large.join(done.filter(F.col("v") == F.col("leader")).select("v").distinct(), "v").select("v", "root", "n_shingles")
-        level = common.checkpoint(_only_shared(leaders, "root"))
-        if level.count() == count:
+def _across(alive: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """Links (v, leader) between groups, found over the token-group matrix; None without any candidate."""
+    head = F.slice("tokens", 1, F.expr(_sql_head_size("n", percent)).cast("int"))
+    named = alive.join(labels.select(F.col("v").alias("__v"), F.col("root").alias("__l")), F.col("v") == F.col("__v"), "left")
+    needed = F.expr(_sql_head_needed("n", percent))
+    rows = named.select("v", F.coalesce("__l", "v").alias("label"), "n", needed.alias("need"), F.explode(head).alias("token"))
+    before = None
+    for _ in range(ROUNDS):
+        foreign = rows.groupBy("token").agg(F.min("label").alias("__a"), F.max("label").alias("__z")).filter("__a < __z")
+        foreign = common.stored(foreign.select(F.col("token").alias("__t")))
+        rows = rows.join(foreign, F.col("token") == F.col("__t"), "left_semi")
+        enough = rows.groupBy("v").agg(F.count(F.lit(1)).alias("__c"), F.min("need").alias("__n")).filter("__c >= __n")
+        rows = common.stored(rows.join(enough.select(F.col("v").alias("__v")), F.col("v") == F.col("__v"), "left_semi"))
+        now = rows.count()
+        if not now:
+            return None
+        if before is not None and now > 0.9 * before:
             break
-    if edges is None:
-        return candidates.limit(0)
-    linked = components(edges)
-    if split.isEmpty():
-        return linked
-    # Clusters of a large group that are not its largest, against every chunk of the group.
-    labels = linked.select(F.col("v").alias("__l"), F.col("root").alias("label"))
-    named = common.checkpoint(split.join(labels, split["v"] == labels["__l"], "left").withColumn("label", F.coalesce("label", "v")).drop("__l"))
-    clusters = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("size"))
-    top = clusters.groupBy("root").agg(F.max_by("label", F.struct("size", "label")).alias("top")).withColumnRenamed("root", "__r")
-    apart = common.checkpoint(named.join(top, named["root"] == top["__r"]).filter(F.col("label") != F.col("top")).select("v", "root", "label", "chunk", "chunks"))
-    if apart.isEmpty():
-        return linked
-    queries = apart.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).filter(F.col("at") != F.col("chunk"))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("v", F.lit(1)), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("chunks") / 2))))
-    blocks = queries.select("root", F.col("at").alias("chunk"), "block").distinct()
-    members = named.select("v", "label", "root", "chunk").join(blocks, ["root", "chunk"]).select("v", "label", "root", "chunk", "block")
-    both = common.checkpoint(members.unionByName(queries.select("v", "label", "root", F.col("at").alias("chunk"), "block")))
-    opened = _with_text(docs, id_col, text_col, both).groupBy("root", "chunk", "block").applyInPandas(run, "v long, leader long")
-    late = opened.filter(F.col("v") != F.col("leader")).select(F.col("v").alias("a"), F.col("leader").alias("b"))
-    return components(linked.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(late))
+        before = now
+    members = common.stored(rows.groupBy("v", "label").agg(F.max("n").alias("n")))
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"))
+    sizes = common.stored(sizes.withColumn("chunks", F.greatest(F.ceil(F.col("size") / CHUNK_ROWS), F.least("size", F.ceil(F.col("held") / CHUNK_TOKENS)))))
+    # The matrix, and how many groups have each token.
+    matrix = common.stored(rows.select("token", "label").distinct().join(sizes.select("label", "size"), "label"))
+    often = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
+    asked = rows.join(often, "token").join(sizes.select("label", "size"), "label")
+    by_rarity, whole = Window.partitionBy("v").orderBy("groups", "token"), Window.partitionBy("v")
+    asked = asked.withColumn("__r", F.row_number().over(by_rarity)).withColumn("__c", F.count(F.lit(1)).over(whole)).withColumn("need", F.min("need").over(whole)).filter("__r <= __c - need + 1")
+    asked = asked.select("token", "v", F.struct("size", "label").alias("__own"))
+    candidates = matrix.select("token", F.col("label").alias("at"), F.struct("size", "label").alias("__other"))
+    candidates = common.stored(asked.join(candidates, "token").filter(F.col("__own") < F.col("__other")).select("v", "at").distinct())
+    # The overlap with the group's union bounds the overlap with each of its members.
+    overlap = candidates.join(rows.select("v", "token", "need"), "v").join(matrix.select("token", F.col("label").alias("at")), ["token", "at"])
+    queries = common.stored(overlap.groupBy("v", "at").agg(F.count(F.lit(1)).alias("__c"), F.min("need").alias("need")).filter("__c >= need").select("v", "at"))
+    per_group = queries.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("blocks"))
+    per_group = common.stored(per_group.join(sizes.select(F.col("label").alias("at"), "chunks"), "at"))
+    to = lambda of, n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(name)
+    inside = members.select("v", "label", F.col("label").alias("at")).join(per_group, "at")
+    inside = inside.withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks"))).select("v", "label", "at", "chunk", to("v", "blocks", "block"))
+    outside = queries.join(members.select("v", "label"), "v").join(per_group, "at")
+    outside = outside.withColumn("block", F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks"))).select("v", "label", "at", to("v", "chunks", "chunk"), "block")
+    blocks = inside.unionByName(outside).join(alive.select("v", "tokens"), "v")
+    return common.stored(blocks.groupBy("at", "chunk", "block").applyInPandas(_open(percent), "v long, leader long").filter("v != leader").distinct())
+
+
+def link_classes(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect the classes (v, s1, n_shingles) as far as they link; ``rows`` has __id and __text."""
+    screened = common.stored(_screen(rows, classes, n, percent))
+    texts = common.matching(rows.select(F.col("__id").alias("v"), F.col("__text").alias("text")), "v", screened, "v", keep=["key1", "key2"])
+    alive = common.stored(texts.mapInPandas(_tokens(n), "v long, key1 long, key2 long, n long, tokens array<long>"))
+    edges = _groups(alive, percent)
+    labels = components(edges)
+    late = _across(alive, labels, percent)
+    found = labels.select(F.col("v").alias("a"), F.col("root").alias("b"))
+    return found if late is None else found.unionByName(late.select(F.col("v").alias("a"), F.col("leader").alias("b")))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -349,23 +383,34 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     common.tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    own = common.checkpoint(rows.mapInPandas(_sets(n), "doc_id long, n_shingles long, __set binary"))
+    own = common.stored(rows.mapInPandas(_sets(n), "doc_id long, n_shingles long, s1 long, s2 long"))
     filled = own.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    sets = filled.groupBy("__set").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    reps = common.checkpoint(sets.groupBy(F.col("rep").alias("v")).agg(F.max("n_shingles").alias("n_shingles")))
-    roots = link_classes(docs, reps, id_col, text_col, n, percent)
-    heads = sets.select(F.col("__set").alias("__s"), "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left")
-    heads = heads.select("__s", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("__c"))
-    joined = own.join(heads, (own["__set"] == heads["__s"]) & (own["n_shingles"] > 0), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("__c")), "doc_id").alias("component_id"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), "doc_id").alias("class_id"))
+    sets = common.stored(filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")))
+    edges = link_classes(rows.filter(F.col("__id").isNotNull()), sets, n, percent)
+    split = common.stored(filled.groupBy("doc_id").agg(F.min("s1").alias("__a"), F.max("s1").alias("__z")).filter("__a < __z").select("doc_id"))
+    if not split.isEmpty():
+        edges = edges.unionByName(filled.join(split, "doc_id").join(sets.select("s1", "s2", "v"), ["s1", "s2"]).select(F.col("v").alias("a"), F.col("doc_id").alias("b")))
+    roots = components(edges)
+    heads = sets.join(roots.select(F.col("v").alias("__v"), "root"), F.col("v") == F.col("__v"), "left")
+    heads = common.stored(heads.select("s1", "s2", "copies", F.col("v").alias("class_id"), F.coalesce("root", "v").alias("component_id")))
+    # Sets that very many rows share are looked up by a broadcast that cannot exceed 100,000 of them.
+    hot = F.col("copies") > max(1000, own.count() // 100_000)
+    found = common.looked_up(filled, heads.filter(hot).drop("copies"), heads.filter(~hot).drop("copies"), ["s1", "s2"])
+    rest = own.filter(F.col("doc_id").isNull() | (F.col("n_shingles") <= 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    return found.select("doc_id", "n_shingles", "component_id", "class_id").unionByName(rest)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row of every component: the row with its smallest id; columns as they came.
 
-    Rows with a null id are kept; repeated rows of one id leave one row.
+    Rows with a null id are kept. Of rows that repeat the kept id, the one with the smallest
+    text stays (nulls first), and of equal texts the one whose other columns hash least.
     """
-    ids = join_components(docs, id_col, text_col, n, percent).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(ids, named[id_col].cast("long") == ids["__keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    ids = common.stored(join_components(docs, id_col, text_col, n, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("__c"), F.count(F.lit(1)).alias("__n")))
+    kept = common.matching(docs, id_col, ids.filter("__c < doc_id").select("doc_id"), "doc_id", how="left_anti")
+    again = ids.filter("__c = doc_id AND __n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    order = Window.partitionBy(id_col).orderBy(F.col(text_col), F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    several = common.matching(kept, id_col, again, "doc_id").withColumn("__r", F.row_number().over(order)).filter("__r = 1")
+    return common.matching(kept, id_col, again, "doc_id", how="left_anti").unionByName(several.select(*docs.columns))
