@@ -135,7 +135,7 @@ def test_jaccard_join_percolating_passages(spark, monkeypatch, chunk, ids):
 
 def test_jaccard_join_needs_the_matrix(spark, monkeypatch):
     """With group keys that bring no similar texts together, the token-group matrix alone finds every link."""
-    monkeypatch.setattr(jaccard_join, "_groups", lambda alive, percent: alive.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard_join, "_groups", lambda alive, percent: (alive.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0), alive.select("v", F.col("v").alias("chunk"))))
     monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 6)
     rows = near_copies(8, 8, 20, edits=5)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")

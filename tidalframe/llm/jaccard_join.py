@@ -10,19 +10,21 @@ A document's set holds its distinct word n-grams. Two documents link when
    e(n) / 2, are the head. Two linking sets share at least half(the smaller) tokens of their
    heads: the j-th token in common stands at most e(n) places later in either set. A set whose
    head has fewer tokens in any other class's head links with nothing and goes no further.
-3. Groups. The sets left are dealt into groups of similar documents by the smallest shared token
-   of their heads, under two hashes in turn. Sorted runs of one key are cut into bounded chunks;
-   each chunk is clustered exactly with a matrix of token unions (``Chunk``), and only one
-   leader of each cluster takes part in the next pass. Connected clusters are the groups.
+3. Groups. The sets left are partitioned by the smallest shared token of their heads. Sorted runs
+   of one key are cut into groups bounded in rows and tokens; each is clustered exactly by a
+   matrix of token unions (``Chunk``). One leader of each cluster takes part in further passes,
+   keyed by another hash and the first in turn, which connect clusters across groups.
 4. Token-group matrix. Stored as rows (token, group), it is the union of the head tokens of each
-   group's members. Tokens of one group only cannot link across groups, so documents whose
-   tokens in other groups are too few drop out, again and again. Each document left queries
-   the matrix with its rarest tokens (all but the overlap needed, less one); its overlap with a
-   candidate group's union bounds the overlap with every member, and only groups that reach the
-   needed overlap are opened, in bounded blocks. Of two groups the one with fewer members asks.
+   group's members. A link that is still open joins two clusters, so tokens that one cluster
+   alone has are no part of it, and documents that have too few others drop out, again and
+   again. Each document left queries the matrix with its rarest tokens (all but the overlap
+   needed, less one); its overlap with a candidate group's union bounds the overlap with every
+   member, and only groups that reach the needed overlap are opened, in bounded blocks. Of two
+   clusters the one with fewer members asks.
 
-No pair within a group is ever listed, a passage that many documents share makes no candidates
-unless it is most of them, and nothing is left out: steps 2 and 4 drop only what cannot link.
+Pairs are never listed as rows; documents meet in bounded blocks. A passage that many documents
+share makes no candidates unless it is most of them, and nothing is left out: steps 2 and 4
+drop only what cannot link.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words than n make one token of
 the whole sequence; null, empty and white-space texts have an empty set and link with nothing.
@@ -91,15 +93,37 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common_tokens >= percent * (n + m - common_tokens)
 
 
+class _Group:
+    """Members of one row of a matrix. Their tokens lie in one array, rebuilt when it has grown by half."""
+
+    def __init__(self):
+        self.members, self.ready, self.tokens, self.starts, self.lengths = [], 0, None, None, None
+
+    def overlaps(self, own: list[np.ndarray], mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(overlap with the marked set, size) of every member."""
+        if len(self.members) > self.ready + self.ready // 2 + 8:
+            self.ready = len(self.members)
+            self.tokens = np.concatenate([own[s] for s in self.members])
+            self.lengths = np.array([len(own[s]) for s in self.members])
+            self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        late = self.members[self.ready :]
+        both = np.array([mark[own[s]].sum() for s in late], np.int64)
+        sizes = np.array([len(own[s]) for s in late], np.int64)
+        if not self.ready:
+            return both, sizes
+        return np.concatenate((np.add.reduceat(mark[self.tokens], self.starts, dtype=np.int64), both)), np.concatenate((self.lengths, sizes))
+
+
 class Chunk:
     """Token-group matrix over one bounded chunk of sets; clusters its sets by their links.
 
     A row of the matrix is the union of a group's tokens. A set's overlap with it bounds the
-    overlap with every member, and only groups that reach the needed overlap are opened.
+    overlap with every member, and only groups that reach the needed overlap are opened. With
+    ``asking``, those sets are compared with the others only, and the others not at all.
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, sets: list[np.ndarray], percent: int, asking: np.ndarray | None = None):
+        self.sets, self.percent, self.asking = sets, percent, asking
         self.parent = list(range(len(sets)))
 
     def find(self, k: int) -> int:
@@ -114,38 +138,37 @@ class Chunk:
             self.parent[max(a, b)] = min(a, b)
 
     def run(self) -> list[int]:
-        sets, percent = self.sets, self.percent
+        sets, percent, asking = self.sets, self.percent, self.asking
         tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
         bounds = np.cumsum([0, *map(len, sets)])
         own = [inverse[bounds[k] : bounds[k + 1]] for k in range(len(sets))]
+        sizes = np.array([len(s) for s in sets])
         rows = max(1, min(64, 32_000_000 // max(1, len(tokens))))
         matrix = np.zeros((min(rows, len(sets)), len(tokens)), bool)
-        members: list[list[int]] = []
+        groups: list[_Group] = []
         mark = np.zeros(len(tokens), bool)
-        for q in np.argsort([len(s) for s in sets], kind="stable"):
-            q, size = int(q), len(own[q])
+        for q in np.lexsort((sizes, asking)) if asking is not None else np.argsort(sizes, kind="stable"):
+            q, size = int(q), int(sizes[q])
             if not size:
                 continue
             need = -(-percent * size // 100)
-            bound = matrix[: len(members), own[q]].sum(axis=1) if members else np.empty(0, int)
-            mark[own[q]] = True
-            for g in np.argsort(-bound, kind="stable"):
-                if bound[g] < need:
-                    break
-                for s in reversed(members[g]):
-                    if self.find(s) == self.find(q) or 100 * len(own[s]) < percent * size:
-                        continue
-                    both = int(mark[own[s]].sum())
-                    if 100 * both >= percent * (size + len(own[s]) - both):
-                        self.join(q, s)
-            mark[own[q]] = False
-            if len(members) < len(matrix) and (not len(bound) or bound.max() < need):
-                members.append([q])
-                matrix[len(members) - 1, own[q]] = True
+            bound = matrix[: len(groups), own[q]].sum(axis=1) if groups else np.empty(0, int)
+            if asking is None or asking[q]:
+                mark[own[q]] = True
+                for g in np.flatnonzero(bound >= need):
+                    both, lengths = groups[g].overlaps(own, mark)
+                    for k in np.flatnonzero(100 * both >= percent * (size + lengths - both)):
+                        self.join(q, groups[g].members[k])
+                mark[own[q]] = False
+            if asking is not None and asking[q]:
+                continue
+            if len(groups) < len(matrix) and (not len(bound) or bound.max() < need):
+                groups.append(_Group())
+                g = len(groups) - 1
             else:
                 g = int(np.argmax(bound))
-                members[g].append(q)
-                matrix[g, own[q]] = True
+            groups[g].members.append(q)
+            matrix[g, own[q]] = True
         return [self.find(k) for k in range(len(sets))]
 
 
@@ -260,14 +283,14 @@ def _tokens(n: int):
 
 
 def _cluster_runs(percent: int):
-    """(v, leader) of rows sorted by key: runs of one key in chunks of bounded size, each clustered."""
+    """(v, leader, chunk) of rows sorted by key: runs of one key in chunks of bounded size, each clustered."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, names, sets, held = None, [], [], 0
 
         def close() -> pd.DataFrame:
             leaders = [names[k] for k in Chunk(sets, percent).run()] if len(names) > 1 else names
-            return pd.DataFrame({"v": names, "leader": leaders}, dtype=np.int64)
+            return pd.DataFrame({"v": names, "leader": leaders, "chunk": names[:1] * len(names)}, dtype=np.int64)
 
         for batch in batches:
             for own, v, tokens in zip(batch["key"], batch["v"], batch["tokens"], strict=True):
@@ -284,13 +307,17 @@ def _cluster_runs(percent: int):
     return scan
 
 
-def _groups(alive: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found inside chunks: all members, then the leaders of clusters, by both keys in turn."""
-    level, edges, left = alive, [], None
+def _groups(alive: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) found inside chunks, and the chunks (v, chunk) of the first pass, which are the groups.
+
+    The first pass holds all documents, later ones the leaders of clusters, by both keys in turn.
+    """
+    level, edges, groups, left = alive, [], None, None
     for k in range(PASSES):
         rows = level.select(F.col(("key1", "key2")[k % 2]).alias("key"), "v", "tokens")
         rows = rows.repartitionByRange("key", "v").sortWithinPartitions("key", "v")
-        done = common.stored(rows.mapInPandas(_cluster_runs(percent), "v long, leader long"))
+        done = common.stored(rows.mapInPandas(_cluster_runs(percent), "v long, leader long, chunk long"))
+        groups = groups or done.select("v", "chunk")
         edges.append(done.filter("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")))
         leaders = done.filter("v = leader").select("v").distinct()
         now = leaders.count()
@@ -301,16 +328,16 @@ def _groups(alive: DataFrame, percent: int) -> DataFrame:
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return out
+    return out, groups
 
 
 def _open(percent: int):
-    """(v, leader) of one block of a group: its members and the documents that asked for it."""
+    """(v, leader) of one block of a group: its members, and the documents that asked for it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("v", kind="stable")
         v = rows["v"].to_numpy(np.int64)
-        chunk, first = Chunk([np.asarray(t, np.int64).view(np.uint64) for t in rows["tokens"]], percent), {}
+        chunk, first = Chunk([np.asarray(t, np.int64).view(np.uint64) for t in rows["tokens"]], percent, rows["asks"].to_numpy(bool)), {}
         for k, label in enumerate(rows["label"].to_numpy(np.int64)):
             chunk.join(k, first.setdefault(label, k))
         return pd.DataFrame({"v": v, "leader": v[chunk.run()]})
@@ -318,49 +345,60 @@ def _open(percent: int):
     return run
 
 
-def _across(alive: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
-    """Links (v, leader) between groups, found over the token-group matrix; None without any candidate."""
-    head = F.slice("tokens", 1, F.expr(_sql_head_size("n", percent)).cast("int"))
+def _foreign(rows: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (v, label, token) whose token other labels have too, and the documents that have enough of them."""
+    foreign = rows.groupBy("token").agg(F.min("label").alias("__a"), F.max("label").alias("__z")).filter("__a < __z")
+    foreign = common.stored(foreign.select("token"))
+    shared = rows.join(foreign, "token", "left_semi")
+    counts = shared.groupBy("v").agg(F.count(F.lit(1)).alias("__c"))
+    needs = needs.groupBy("v").agg(F.min("need").alias("__n"))
+    return shared, common.stored(counts.join(needs, "v").filter("__c >= __n").select("v"))
+
+
+def _across(alive: DataFrame, groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """Links (v, leader) between groups, found over the token-group matrix; None without any candidate.
+
+    ``labels`` names the cluster that a document is known to belong to.
+    """
     named = alive.join(labels.select(F.col("v").alias("__v"), F.col("root").alias("__l")), F.col("v") == F.col("__v"), "left")
-    needed = F.expr(_sql_head_needed("n", percent))
-    rows = named.select("v", F.coalesce("__l", "v").alias("label"), "n", needed.alias("need"), F.explode(head).alias("token"))
+    named = named.select("v", F.coalesce("__l", "v").alias("label"), "n", "tokens")
+    head = F.slice("tokens", 1, F.expr(_sql_head_size("n", percent)).cast("int"))
+    # Whole sets first: a link takes percent of a set's tokens, all of them in other clusters.
+    _, enough = _foreign(named.select("v", "label", F.explode("tokens").alias("token")), named.select("v", F.expr(f"({percent} * n + 99) div 100").alias("need")))
     before = None
     for _ in range(ROUNDS):
-        foreign = rows.groupBy("token").agg(F.min("label").alias("__a"), F.max("label").alias("__z")).filter("__a < __z")
-        foreign = common.stored(foreign.select(F.col("token").alias("__t")))
-        rows = rows.join(foreign, F.col("token") == F.col("__t"), "left_semi")
-        enough = rows.groupBy("v").agg(F.count(F.lit(1)).alias("__c"), F.min("need").alias("__n")).filter("__c >= __n")
-        rows = common.stored(rows.join(enough.select(F.col("v").alias("__v")), F.col("v") == F.col("__v"), "left_semi"))
-        now = rows.count()
+        named = named.join(enough, "v", "left_semi")
+        needs = named.select("v", F.expr(_sql_head_needed("n", percent)).alias("need"))
+        shared, enough = _foreign(named.select("v", "label", F.explode(head).alias("token")), needs)
+        now = enough.count()
         if not now:
             return None
         if before is not None and now > 0.9 * before:
             break
         before = now
-    members = common.stored(rows.groupBy("v", "label").agg(F.max("n").alias("n")))
-    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held"))
-    sizes = common.stored(sizes.withColumn("chunks", F.greatest(F.ceil(F.col("size") / CHUNK_ROWS), F.least("size", F.ceil(F.col("held") / CHUNK_TOKENS)))))
-    # The matrix, and how many groups have each token.
-    matrix = common.stored(rows.select("token", "label").distinct().join(sizes.select("label", "size"), "label"))
-    often = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
-    asked = rows.join(often, "token").join(sizes.select("label", "size"), "label")
-    by_rarity, whole = Window.partitionBy("v").orderBy("groups", "token"), Window.partitionBy("v")
-    asked = asked.withColumn("__r", F.row_number().over(by_rarity)).withColumn("__c", F.count(F.lit(1)).over(whole)).withColumn("need", F.min("need").over(whole)).filter("__r <= __c - need + 1")
-    asked = asked.select("token", "v", F.struct("size", "label").alias("__own"))
-    candidates = matrix.select("token", F.col("label").alias("at"), F.struct("size", "label").alias("__other"))
-    candidates = common.stored(asked.join(candidates, "token").filter(F.col("__own") < F.col("__other")).select("v", "at").distinct())
+    needs = needs.groupBy("v").agg(F.min("need").alias("need"))
+    named = named.select("v", "label").distinct().join(enough, "v").join(needs, "v")
+    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    members = common.stored(named.join(sizes, "label").join(groups, "v").select("v", "label", "chunk", "need", F.struct("size", "label").alias("rank")))
+    # The matrix: each group's union of tokens, with the largest cluster that has the token there.
+    rows = common.stored(shared.select("v", "token").join(members, "v").select("v", "chunk", "rank", "need", "token"))
+    matrix = common.stored(rows.groupBy("token", "chunk").agg(F.max("rank").alias("top")))
+    rarity = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
+    whole = Window.partitionBy("v")
+    asked = rows.join(rarity, "token").withColumn("__r", F.row_number().over(whole.orderBy("groups", "token"))).withColumn("__c", F.count(F.lit(1)).over(whole))
+    asked = asked.filter("__r <= __c - need + 1").select("token", "v", F.col("chunk").alias("__own"), "rank")
+    candidates = matrix.select("token", F.col("chunk").alias("at"), "top")
+    candidates = common.stored(asked.join(candidates, "token").filter((F.col("__own") != F.col("at")) & (F.col("rank") < F.col("top"))).select("v", "at").distinct())
     # The overlap with the group's union bounds the overlap with each of its members.
-    overlap = candidates.join(rows.select("v", "token", "need"), "v").join(matrix.select("token", F.col("label").alias("at")), ["token", "at"])
+    overlap = candidates.join(rows.select("v", "token", "need"), "v").join(matrix.select("token", F.col("chunk").alias("at")), ["token", "at"])
     queries = common.stored(overlap.groupBy("v", "at").agg(F.count(F.lit(1)).alias("__c"), F.min("need").alias("need")).filter("__c >= need").select("v", "at"))
-    per_group = queries.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("blocks"))
-    per_group = common.stored(per_group.join(sizes.select(F.col("label").alias("at"), "chunks"), "at"))
-    to = lambda of, n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(name)
-    inside = members.select("v", "label", F.col("label").alias("at")).join(per_group, "at")
-    inside = inside.withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks"))).select("v", "label", "at", "chunk", to("v", "blocks", "block"))
-    outside = queries.join(members.select("v", "label"), "v").join(per_group, "at")
-    outside = outside.withColumn("block", F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks"))).select("v", "label", "at", to("v", "chunks", "chunk"), "block")
-    blocks = inside.unionByName(outside).join(alive.select("v", "tokens"), "v")
-    return common.stored(blocks.groupBy("at", "chunk", "block").applyInPandas(_open(percent), "v long, leader long").filter("v != leader").distinct())
+    blocks = common.stored(queries.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("blocks")))
+    inside = members.select("v", "label", F.col("chunk").alias("at")).join(blocks, "at")
+    inside = inside.select("v", "label", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"))
+    outside = queries.join(members.select("v", "label"), "v").join(blocks, "at")
+    outside = outside.select("v", "label", "at", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), F.lit(True).alias("asks"))
+    opened = inside.unionByName(outside).join(alive.select("v", "tokens"), "v")
+    return common.stored(opened.groupBy("at", "block").applyInPandas(_open(percent), "v long, leader long").filter("v != leader").distinct())
 
 
 def link_classes(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -368,9 +406,9 @@ def link_classes(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> D
     screened = common.stored(_screen(rows, classes, n, percent))
     texts = common.matching(rows.select(F.col("__id").alias("v"), F.col("__text").alias("text")), "v", screened, "v", keep=["key1", "key2"])
     alive = common.stored(texts.mapInPandas(_tokens(n), "v long, key1 long, key2 long, n long, tokens array<long>"))
-    edges = _groups(alive, percent)
+    edges, groups = _groups(alive, percent)
     labels = components(edges)
-    late = _across(alive, labels, percent)
+    late = _across(alive, groups, labels, percent)
     found = labels.select(F.col("v").alias("a"), F.col("root").alias("b"))
     return found if late is None else found.unionByName(late.select(F.col("v").alias("a"), F.col("leader").alias("b")))
 
