@@ -473,6 +473,65 @@ def test_templates(spark, monkeypatch, broadcast):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_templates_do_the_work(spark):
+    """No article, nav or known class: only recurrence tells menus, banners and footers from text.
+
+    The host is large, and each of its 12 menus is on a twelfth of the pages.
+    """
+
+    def page(k):
+        menu = "".join(f"<tr><td><a href=/{j}>Link {k % 12} {j}</a></td></tr>" for j in range(4))
+        own = f"<p>Own text {k} goes on</p><p>and ends {k}</p>"
+        return f"<html><body><table>{menu}</table><div><h2>Section {k % 12}</h2></div>{own if k % 2 else f'<div class=x>{own}</div>'}<blockquote>All rights {k % 5}</blockquote></body></html>"
+
+    pages = spark.createDataFrame([(k, "http://big.org/x", page(k)) for k in range(120)] + [(200, "http://small.org/", page(0)), (201, "http://big.org/y", page(0).split("<div class=x>")[0])], "page_id long, url string, html string")
+    by = {r["page_id"]: r["text"] for r in templates.extract(pages).collect()}
+    assert all(by[k] == f"Own text {k} goes on\nand ends {k}" for k in range(120))
+    assert "Link 0 3" in by[200] and "Link 0 3" in by[201]  # too few pages; nothing else on the page
+
+
+def test_template_counts_against_brute_force(spark):
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages")
+    seen = templates.page_subtrees(pages)
+    found = {tuple(r) for r in templates.templates(seen).collect()}
+    of = {}
+    for r in pages.collect():
+        root = templates.parse(r["html"])
+        templates.measure(root)
+        for d in templates.subtrees(root):
+            of.setdefault((re.match(r"https?://([^/?#:]*)", r["url"])[1].lower(), d), set()).add(r["html"])
+    assert found == {k for k, v in of.items() if len(v) >= templates.MIN_PAGES}
+
+
+def test_templates_leave_the_article_alone(spark):
+    """Names that may be content need evidence; a copied article and repeated sentences stay."""
+    names = '<section id="related-work"><p>rw</p></section><div class="discussion"><p>disc</p></div><p class="notice">note</p><div class="comments"><p>c</p></div>'
+    one = f"<article><h1>T</h1><p>First</p>{names}</article>"
+    rows = [(1, "http://a.org/", one)]
+    rows += [(10 + k, "http://b.org/", f'<nav>n{k}</nav><article><h1>T{k}</h1><p>Own {k}</p><p>Same sentence</p><div class="discussion"><p>talk {k}</p></div></article>') for k in range(6)]
+    rows += [(20 + k, "http://c.org/", f"<nav>n{k}</nav><article><div><p>Syndicated</p><p>text</p></div></article>") for k in range(6)]
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "page_id long, url string, html string, host string, content long, text string")
+    by = {r["page_id"]: r["text"] for r in templates.extract(df).collect()}
+    assert by[1] == "T\nFirst\nrw\ndisc\nnote"
+    assert all(by[10 + k] == f"T{k}\nOwn {k}\nSame sentence" for k in range(6))
+    assert all(by[20 + k] == "Syndicated\ntext" for k in range(6))
+
+
+def test_odd_pages():
+    """Stray quotes, open tags and quotes, and hostile pages in time linear in their length."""
+    import time
+
+    text = lambda page: templates.text_of(page, set())
+    assert text("<p title=it's>Hello there</p><p>It isn't so</p><p>end</p>") == "Hello there\nIt isn't so\nend"
+    assert text('<a href="x>open <p>text</p> more <b>x</b>') == "open\ntext\nmore x"
+    assert text('<p title="a>b" lang=c>ok</p><p>1 < 2 &amp; 3') == "ok\n1 < 2 & 3"
+    assert text("<p>kept</p><div class=") == "kept"
+    start = time.time()
+    assert text("<a " * 300_000) == "" and text("<p>x</p>" + "</b>" * 100_000) == "x" and len(text("<p>a b</p>" * 100_000)) == 399_999
+    assert len(text("<b>" * 5_000 + "<p>y</p>" * 5_000)) == 9_999 and text("<a =" + "= " * 100_000 + ">z") == "z"
+    assert time.time() - start < 60
+
+
 def test_queries_have_contract_columns(spark):
     columns = {
         "op2_language": ["doc_id", "held_out", "lang_pred", "score"],

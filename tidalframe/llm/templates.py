@@ -1,16 +1,25 @@
 """HTML main text by site template removal.
 
-Every element subtree that holds blocks is hashed, the hashes are counted per host in Spark
-over pages of different content, and subtrees that recur across many pages of their host are
-deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are also known by their elements, classes, ids and roles, which covers hosts with few
-pages. What remains of the article (else of the main part, else of the body) is the text.
+Element subtrees are hashed, the hashes are counted per host in Spark over pages of different
+content, and subtrees that ``MIN_PAGES`` pages of their host have are deleted, whatever they are
+called and however large the host is. The article is then looked for in what remains: article
+elements, else the main part, else a content division, else the whole body.
+
+* Outside the article every block element counts. A subtree that holds the article stays.
+* Inside the article only containers (sections, divisions, lists, tables) are deleted, as a
+  sentence or heading may recur by right, and none if they hold half of its text, so that
+  copies of an article on a host stay whole. A body is kept whole if nothing else would be left.
+* Menus, headers, footers, sidebars, adverts, forms, scripts, styles and reader comments are
+  also known by element, role, class and id, which covers hosts with few pages. Inside the
+  article a class or id counts only if a whole name of a container is beyond doubt
+  (``STRONG``), or if containers of that element, class and id recur on the host as well.
 
 Blocks are joined in page order by one line feed; white space inside a block, line breaks
-included, becomes one space; character references are decoded. A recurring subtree is kept if
-it is a single text block of the article or holds half of the article's text, so that copies
-of an article on a host stay whole. A null or empty page has an empty text; a null url counts
-as one host; repeated rows give equal texts; an empty table gives an empty result.
+included, becomes one space; character references are decoded. A null or empty page has an
+empty text; a null url counts as one host; repeated rows give equal texts; an empty table gives
+an empty result; extra columns are not read. The time of a page is linear in its length: tags
+are read in one pass and elements nest ``MAX_DEPTH`` deep at most, deeper ones become
+neighbours. Ties do not arise.
 """
 
 import html
@@ -24,13 +33,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A subtree is template if at least MIN_PAGES different pages of the host have it, and SHARE of all.
-MIN_PAGES, SHARE = 5, 0.2
-#: Digests of all hosts that are broadcast at most, and parts of a host's pages in the join beyond.
-BROADCAST_DIGESTS, SALTS = 2_000_000, 64
+#: A subtree is template if at least so many pages of different content on the host have it.
+MIN_PAGES = 5
+#: Digests of all hosts that are broadcast at most; beyond, each page gets its own by a join.
+BROADCAST_DIGESTS = 2_000_000
+MAX_DEPTH = 512
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+# Inside a tag a quote opens a value only after an equals sign; elsewhere it is an ordinary sign.
+REST = re.compile(r"""((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*'|))*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 # Fixed values of the HTML standard: elements without content, with raw text, of blocks, and
 # the start tags that close an open paragraph.
@@ -44,7 +56,8 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 # What is never main text, by element, role and word of a class or id.
 DROP = set("nav footer aside form script style noscript template iframe svg canvas button select input textarea dialog menu object embed head title video audio map link meta".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form status toolbar".split())
-WORDS = set("ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts sidebar sidebars menu menus nav navbar navigation topnav breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay login signup searchbox footer masthead toolbar pagination pager paywall".split())
+STRONG = set("ad ads adv advert adverts advertisement advertisements advertising adsense sponsored promo cookie cookies gdpr sidebar sidebars navbar topnav breadcrumb breadcrumbs comments commentlist comment-list disqus share sharing newsletter subscribe subscription popup modal login signup searchbox pagination pager paywall".split())
+WORDS = STRONG | set("banner banners sponsor promotion consent notice notices alert alerts menu menus nav navigation comment reply replies respond discussion social related recommended recommendations overlay footer masthead toolbar".split())
 PAGE_WORDS = set("header topbar site-header page-header".split())
 GUARDED = set("html body main article p h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = set("div section nav aside ul ol dl table form header footer figure details span center".split())
@@ -52,30 +65,53 @@ MAIN_WORDS = {"content", "main", "article", "post", "entry", "story"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "digest", "size")
+    __slots__ = ("tag", "attrs", "kids", "parent", "digest", "size", "depth", "holds")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None"):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
-        self.digest, self.size = 0, 0
+        self.digest, self.size, self.holds = 0, 0, False
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def parse(page: str) -> Node:
-    """A forgiving tree: implied ends of paragraphs, items and cells; stray end tags are ignored."""
+    """A forgiving tree: implied ends of paragraphs, items and cells; stray end tags are ignored.
+
+    One pass: the first tag with an open quote up to the end of the page turns quotes off for
+    the rest, and a tag without an end takes the rest with it, as in browsers.
+    """
     root = node = Node("html", {}, None)
-    at, end = 0, len(page)
+    at, end, quoted = 0, len(page), True
     while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
-            node.kids.append(html.unescape(page[at:]))
+        start = page.find("<", at)
+        if start < 0:
+            start = end
+        if start > at:
+            node.kids.append(html.unescape(page[at:start]))
+        if start == end:
             break
-        if m.start() > at:
-            node.kids.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), start):
+            close = page.find(">", start)
+            at = close + 1 if close >= 0 else end
+            continue
+        name = NAME.match(page, start)
+        if not name:
+            node.kids.append("<")
+            at = start + 1
             continue
-        tag, rest = tag.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
+        tag, at = name[2].lower(), name.end()
+        rest = REST.match(page, at) if quoted else None
+        if rest:
+            at, rest = rest.end(), rest[1]
+        else:
+            quoted, close = False, page.find(">", at)
+            if close < 0:
+                break
+            at, rest = close + 1, page[at:close]
+        if name[1]:
             up = node
             while up and up.tag != tag:
                 up = None if up.tag in SCOPE and tag not in BLOCK else up.parent
@@ -95,7 +131,7 @@ def parse(page: str) -> Node:
         if tag in RAW:
             close = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
-        elif tag not in VOID and not rest.endswith("/"):
+        elif tag not in VOID and not rest.endswith("/") and child.depth < MAX_DEPTH:
             node = child
     return root
 
@@ -120,25 +156,36 @@ def marks(node: Node) -> set[str]:
     return set(re.split(r"[\s_]+|(?<=[a-z])(?=[A-Z])", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".strip())) if node.attrs else set()
 
 
-def junk(node: Node, inside: bool) -> bool:
+def words_of(names: set[str]) -> set[str]:
+    return {w.lower() for name in names for w in (name, *name.split("-"))}
+
+
+def shape(node: Node) -> int:
+    """Digest of element, class and id, without the content."""
+    return xxhash.xxh3_64_intdigest("\x1e".join(("shape", node.tag, node.attrs.get("class", ""), node.attrs.get("id", "")))) - (1 << 63)
+
+
+def junk(node: Node, inside: bool, template: set[int]) -> bool:
     """Whether the element is known to be no main text; ``inside``: it lies in the article."""
     a = node.attrs
     if node.tag in DROP or (node.tag == "header" and not inside):
         return True
-    if a:
-        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-            return True
-        if a.get("role", "").lower() in ROLES:
-            return True
-        if node.tag not in GUARDED or (node.tag == "article" and inside) or node.tag == "p":
-            words = {w.lower() for name in marks(node) for w in (name, *name.split("-"))}
-            if words & WORDS or (not inside and words & PAGE_WORDS):
-                return True
-    return False
+    if not a:
+        return False
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*+:\s*+none", a.get("style", ""), re.I):
+        return True
+    if a.get("role", "").lower() in ROLES:
+        return True
+    names = marks(node)
+    if not inside:
+        return (node.tag not in GUARDED or node.tag == "p") and bool(words_of(names) & (WORDS | PAGE_WORDS))
+    if node.tag in GUARDED and node.tag != "article":
+        return False
+    return bool({n.lower() for n in names} & STRONG) or bool(words_of(names) & WORDS) and shape(node) in template
 
 
 def measure(node: Node) -> None:
-    """Digest and text size of every subtree, children first."""
+    """Digest and text size of every subtree, and whether it holds an article or main part; children first."""
     order, stack = [], [node]
     while stack:
         n = stack.pop()
@@ -146,25 +193,41 @@ def measure(node: Node) -> None:
         stack.extend(k for k in n.kids if isinstance(k, Node))
     for n in reversed(order):
         parts, size = [n.tag, n.attrs.get("class", ""), n.attrs.get("id", "")], 0
+        n.holds = n.tag in ("html", "body", "article", "main") or n.attrs.get("role", "").lower() == "main"
         for k in n.kids:
             if isinstance(k, Node):
                 parts.append(str(k.digest))
                 size += k.size
+                n.holds = n.holds or (k.holds and k.tag not in DROP)
             elif words := k.split():
                 parts.append(" ".join(words))
                 size += sum(map(len, words))
         n.digest, n.size = xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63), size
 
 
-def subtrees(root: Node) -> dict[int, int]:
-    """Digest and size of the containers with text."""
-    out, stack = {}, [root]
+def subtrees(root: Node) -> set[int]:
+    """Digests of what can be template: blocks outside the article, containers inside, shapes of doubtful names."""
+    out, stack = set(), [(root, False)]
+    while stack:
+        n, inside = stack.pop()
+        inside = inside or n.tag in ("article", "main")
+        if n.size and not n.holds and (n.tag in CONTAINERS or (n.tag in BLOCK and not inside)):
+            out.add(n.digest)
+        if inside and n.attrs and n.tag not in GUARDED and words_of(marks(n)) & WORDS:
+            out.add(shape(n))
+        stack.extend((k, inside) for k in n.kids if isinstance(k, Node))
+    return out
+
+
+def without_templates(root: Node, template: set[int]) -> None:
+    """Cuts template subtrees that lie outside article and main elements."""
+    stack = [root]
     while stack:
         n = stack.pop()
-        if n.tag in CONTAINERS and n.size:
-            out[n.digest] = n.size
+        if n.tag in ("article", "main"):
+            continue
+        n.kids = [k for k in n.kids if isinstance(k, str) or k.holds or k.digest not in template]
         stack.extend(k for k in n.kids if isinstance(k, Node))
-    return out
 
 
 def outermost(root: Node, wanted) -> list[Node]:
@@ -175,7 +238,7 @@ def outermost(root: Node, wanted) -> list[Node]:
         if n is not root and n.tag in DROP:
             continue
         if n is not root and wanted(n):
-            if not junk(n, False):
+            if not junk(n, False, set()):
                 found.append(n)
             continue
         stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
@@ -187,15 +250,15 @@ def main_parts(root: Node) -> tuple[list[Node], bool]:
     for wanted in (
         lambda n: n.tag == "article",
         lambda n: n.tag == "main" or n.attrs.get("role", "").lower() == "main",
-        lambda n: n.tag in ("div", "section") and {w.lower() for name in marks(n) for w in name.split("-")} & MAIN_WORDS and not junk(n, False),
+        lambda n: n.tag in ("div", "section") and {w.lower() for name in marks(n) for w in name.split("-")} & MAIN_WORDS and not junk(n, False, set()),
     ):
         if (parts := outermost(root, wanted)) and any(p.size for p in parts):
             return parts, True
     return [root], False
 
 
-def blocks(part: Node, inside: bool, template: set[int], total: int) -> list[str]:
-    """Texts of the blocks in page order, without junk and template subtrees."""
+def blocks(part: Node, inside: bool, template: set[int], cut: set[int]) -> list[str]:
+    """Texts of the blocks in page order, without junk and the subtrees of ``cut``."""
     out, run = [], []
 
     def flush() -> None:
@@ -211,7 +274,7 @@ def blocks(part: Node, inside: bool, template: set[int], total: int) -> list[str
             flush()
         elif isinstance(n, str):
             run.append(n)
-        elif n is not part and (junk(n, inside) or (n.tag in CONTAINERS and n.digest in template and 2 * n.size < total)):
+        elif n is not part and (id(n) in cut or junk(n, inside, template)):
             if n.tag in BLOCK:
                 flush()
         elif n.tag == "br":
@@ -225,26 +288,42 @@ def blocks(part: Node, inside: bool, template: set[int], total: int) -> list[str
     return out
 
 
+def recurring(parts: list[Node], template: set[int]) -> set[int]:
+    """Containers of the article that are template, unless they hold half of its text."""
+    cut, size, stack = set(), 0, list(parts)
+    while stack:
+        n = stack.pop()
+        if n not in parts and n.tag in CONTAINERS and n.digest in template:
+            cut.add(id(n))
+            size += n.size
+        else:
+            stack.extend(k for k in n.kids if isinstance(k, Node))
+    return cut if 2 * size < sum(p.size for p in parts) else set()
+
+
 def text_of(page: str | None, template: set[int]) -> str:
     if not page:
         return ""
-    root = parse(page)
-    measure(root)
-    parts, inside = main_parts(root)
-    total = max(1, sum(p.size for p in parts))
-    return "\n".join(b for p in parts for b in blocks(p, inside, template, total))
+    for known in (template, set()) if template else (template,):
+        root = parse(page)
+        measure(root)
+        without_templates(root, known)
+        parts, inside = main_parts(root)
+        cut = recurring(parts, known) if inside else set()
+        if text := "\n".join(b for p in parts for b in blocks(p, inside, known, cut)):
+            return text
+    return ""
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for host, page in zip(batch["__host"], batch["__html"], strict=True):
+        for host, content, page in zip(batch["host"], batch["content"], batch["html"], strict=True):
             if page:
                 root = parse(page)
                 measure(root)
-                rows.append((host, 0, root.digest))
-                rows += [(host, digest, root.digest) for digest in subtrees(root) if digest]
-        yield pd.DataFrame(rows, columns=["host", "subtree", "content"]).astype({"subtree": "int64", "content": "int64"})
+                rows += [(host, content, digest) for digest in subtrees(root)]
+        yield pd.DataFrame(rows, columns=["host", "content", "subtree"]).astype({"subtree": "int64", "content": "int64"})
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,35 +336,33 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template): digests of subtrees that recur on a host.
-
-    Pages of equal content count once. A digest is listed if SHARE of the host's pages have it,
-    so a host's list is bounded by the subtrees of a page over SHARE.
-    """
+def page_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, content, subtree): the digests of each page; content names pages of equal html."""
     common.tune(pages.sparkSession)
-    rows = pages.select(host_of(url_col).alias("__host"), F.col(html_col).alias("__html"))
-    seen = rows.mapInPandas(_hashes, "host string, subtree long, content long").distinct()
-    counts = common.checkpoint(seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")))
-    pages_of = counts.filter("subtree = 0").select("host", F.col("n").alias("pages"))
-    often = counts.filter((F.col("subtree") != 0) & (F.col("n") >= MIN_PAGES)).join(pages_of, "host").filter(F.col("n") >= SHARE * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("subtree").alias("template"))
+    rows = pages.select(host_of(url_col).alias("host"), F.xxhash64(html_col).alias("content"), F.col(html_col).alias("html"))
+    return rows.mapInPandas(_hashes, "host string, content long, subtree long").distinct()
+
+
+def templates(seen: DataFrame) -> DataFrame:
+    """(host, subtree): digests that recur on a host. Pages of equal content count once."""
+    return seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES).select("host", "subtree")
 
 
-def _with_template(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Pages with their host's template: broadcast after a check of its size, else a salted join,
-    in which a hot host's pages are dealt over SALTS tasks."""
-    if (found.agg(F.sum(F.size("__template"))).first()[0] or 0) <= BROADCAST_DIGESTS:
-        return rows.join(F.broadcast(found), rows["__host"] == found["__h"], "left")
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("__html", "__id"), F.lit(SALTS)).cast("int"))
-    copies = found.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, (dealt["__host"] == copies["__h"]) & (dealt["__salt"] == copies["__s"]), "left")
+def _with_template(rows: DataFrame, seen: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages with digests of their host's template: all of them by broadcast after a check of their
+    number, else those that the page has, so that no list is longer than a page's."""
+    if found.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        lists = found.groupBy("host").agg(F.collect_set("subtree").alias("__template"))
+        return rows.join(F.broadcast(lists), rows["__host"] == lists["host"], "left")
+    lists = common.stored(seen.join(found, ["host", "subtree"]).groupBy("host", "content").agg(F.collect_set("subtree").alias("__template")))
+    return rows.join(lists, (rows["__host"] == lists["host"]) & (rows["__content"] == lists["content"]), "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
-    found = common.checkpoint(templates(pages, url_col, html_col).select(F.col("host").alias("__h"), F.col("template").alias("__template")))
-    rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"), host_of(url_col).alias("__host"))
-    joined = _with_template(rows, found).select("__id", "__url", "__html", "__template")
+    seen = page_subtrees(pages, url_col, html_col)
+    found = common.stored(templates(seen))
+    rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"), host_of(url_col).alias("__host"), F.xxhash64(html_col).alias("__content"))
+    joined = _with_template(rows, seen, found).select("__id", "__url", "__html", "__template")
     out = joined.mapInPandas(_extract, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
