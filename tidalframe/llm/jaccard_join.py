@@ -47,10 +47,10 @@ from . import common
 from .components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 50_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bounds of one chunk: sets, and tokens in all of them (a single set may exceed the latter).
-CHUNK_ROWS, CHUNK_TOKENS = 400, 400_000
+CHUNK_ROWS, CHUNK_TOKENS = 400, 200_000
 #: Passes over the group keys at most, and the share of leaders a pass must save to go on.
 PASSES, SAVED = 6, 0.05
 #: Rounds of dropping documents with too few tokens in other groups.
@@ -143,7 +143,7 @@ class Chunk:
         bounds = np.cumsum([0, *map(len, sets)])
         own = [inverse[bounds[k] : bounds[k + 1]] for k in range(len(sets))]
         sizes = np.array([len(s) for s in sets])
-        rows = max(1, min(64, 32_000_000 // max(1, len(tokens))))
+        rows = max(1, min(64, 16_000_000 // max(1, len(tokens))))
         matrix = np.zeros((min(rows, len(sets)), len(tokens)), bool)
         groups: list[_Group] = []
         mark = np.zeros(len(tokens), bool)
@@ -377,9 +377,9 @@ def _across(alive: DataFrame, groups: DataFrame, labels: DataFrame, percent: int
             break
         before = now
     needs = needs.groupBy("v").agg(F.min("need").alias("need"))
-    named = named.select("v", "label").distinct().join(enough, "v").join(needs, "v")
+    named = named.groupBy("v", "label").agg(F.max("n").alias("n")).join(enough, "v").join(needs, "v")
     sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = common.stored(named.join(sizes, "label").join(groups, "v").select("v", "label", "chunk", "need", F.struct("size", "label").alias("rank")))
+    members = common.stored(named.join(sizes, "label").join(groups, "v").select("v", "label", "chunk", "n", "need", F.struct("size", "label").alias("rank")))
     # The matrix: each group's union of tokens, with the largest cluster that has the token there.
     rows = common.stored(shared.select("v", "token").join(members, "v").select("v", "chunk", "rank", "need", "token"))
     matrix = common.stored(rows.groupBy("token", "chunk").agg(F.max("rank").alias("top")))
@@ -392,7 +392,8 @@ def _across(alive: DataFrame, groups: DataFrame, labels: DataFrame, percent: int
     # The overlap with the group's union bounds the overlap with each of its members.
     overlap = candidates.join(rows.select("v", "token", "need"), "v").join(matrix.select("token", F.col("chunk").alias("at")), ["token", "at"])
     queries = common.stored(overlap.groupBy("v", "at").agg(F.count(F.lit(1)).alias("__c"), F.min("need").alias("need")).filter("__c >= need").select("v", "at"))
-    blocks = common.stored(queries.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("blocks")))
+    load = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS), F.least(F.count(F.lit(1)), F.ceil(F.sum("n") / CHUNK_TOKENS)))
+    blocks = common.stored(queries.join(members.select("v", "n"), "v").groupBy("at").agg(load.alias("blocks")))
     inside = members.select("v", "label", F.col("chunk").alias("at")).join(blocks, "at")
     inside = inside.select("v", "label", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"))
     outside = queries.join(members.select("v", "label"), "v").join(blocks, "at")
