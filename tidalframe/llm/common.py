@@ -76,19 +76,26 @@ def bucket_of(doc_id: str, modulus: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_chars: int = 200_000) -> DataFrame:
-    """At most ``max_rows`` labelled rows with their text, picked by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_chars: int) -> DataFrame:
+    """(id, text, label): at most ``max_rows`` labelled texts of ``max_chars`` code points in all.
 
-    The sample of labels is bounded by ``max_rows``, which is what makes its broadcast safe;
-    the documents are scanned once and are not shuffled. Longer texts than ``max_chars`` do
-    not train, which bounds what the driver holds.
+    Both bounds hold for what the driver gets. Candidates are twice as many ids as needed, in
+    the order of a hash; a text that no longer fits is passed over and the next one is taken.
+    Ids without a document or with a null text are no candidates; of an id with several texts
+    the shortest is taken, once. Documents are scanned twice and never shuffled as a whole.
     """
-    picked = (
-        labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("__id"))
-        .agg(F.max(label_col).alias("__label"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(max_rows)
-    )
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).filter(F.length("__text") <= max_chars)
-    return rows.join(F.broadcast(picked), rows["__doc"] == picked["__id"]).select(F.col("__doc").alias("id"), F.col("__text").alias("text"), F.col("__label").alias("label"))
+    spark = docs.sparkSession
+    order = F.xxhash64("__id")
+    ids = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
+    ids = F.broadcast(ids.orderBy(order, "__id").limit(2 * max_rows))
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
+    sized = texts.select("__doc", F.struct(F.length("__text").alias("n"), F.xxhash64("__text").alias("h")).alias("__t")).join(ids, F.col("__doc") == F.col("__id"))
+    sized = sized.groupBy("__id").agg(F.max("__label").alias("__label"), F.min("__t").alias("__t")).select("__id", "__label", F.col("__t.h").alias("__h"), F.col("__t.n").alias("__n"), order.alias("__o"))
+    chosen, left = [], max_chars
+    for r in sorted(sized.collect(), key=lambda r: (r["__o"], r["__id"])):
+        if len(chosen) < max_rows and r["__n"] <= left:
+            chosen.append((r["__id"], r["__label"], r["__h"]))
+            left -= r["__n"]
+    picked = F.broadcast(spark.createDataFrame(chosen, sized.select("__id", "__label", "__h").schema))
+    rows = texts.join(picked, (F.col("__doc") == F.col("__id")) & (F.xxhash64("__text") == F.col("__h")))
+    return rows.select(F.col("__doc").alias("id"), F.col("__text").alias("text"), F.col("__label").alias("label")).dropDuplicates(["id"])

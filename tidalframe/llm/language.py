@@ -6,9 +6,12 @@ Training sequences are code-switched: pieces of documents of different languages
 other, each word labelled with its document's language. Forward-backward gives every word of a
 whole text its label probabilities, and their mean over the text is the document's prediction.
 
-Training reads at most ``max_train_docs`` documents whose fold is not held out; scoring is one
-map stage. A null text, and one without letters, is ``und`` with score 0. Repeated rows score
-alike. An empty table gives an empty result; without any training row every text is ``und``.
+Training reads at most ``max_train_docs`` documents of ``max_train_chars`` code points in all
+whose fold is not held out; scoring is one map stage. A null text, and one without letters, is
+``und`` with score 0; numerals are no letters. Whole texts are scored, very long ones in blocks
+of a batch of their own. Repeated rows score alike; of labels with equal means the first of the
+alphabet is predicted. An empty table gives an empty result; without any training row every
+text is ``und``.
 """
 
 import re
@@ -25,11 +28,16 @@ from . import common
 
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Words of a block whose transfer matrices are multiplied out.
 BLOCK = 64
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters; what has numerals like ½ alone is no word."""
+    return [w for w in WORD.findall(text) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+
+
 def word_features(word: str) -> list[str]:
     w = word.lower()
     padded = f"^{w}$"
@@ -101,11 +109,11 @@ def posteriors(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray
 
 
 def _sequences(rows: list[tuple[str, int]], length: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Words and labels of code-switched sequences, ``length`` words each."""
+    """Words and labels of code-switched sequences, ``length`` words each; the last is filled up from the first words."""
     random = np.random.default_rng(seed)
     runs = []
     for text, label in rows:
-        words, at = WORD.findall(text), 0
+        words, at = words_of(text), 0
         while at < len(words):
             n = int(random.integers(length // 8, length))
             runs.append((words[at : at + n], label))
@@ -113,8 +121,9 @@ def _sequences(rows: list[tuple[str, int]], length: int, seed: int) -> tuple[lis
     order = random.permutation(len(runs))
     words = [w for k in order for w in runs[k][0]]
     labels = np.array([label for k in order for label in [runs[k][1]] * len(runs[k][0])], np.int64)
-    whole = len(words) // length * length
-    return words[:whole], labels[:whole].reshape(-1, length)
+    short = -len(words) % length if words else 0
+    again = [k % len(words) for k in range(short)]
+    return words + [words[k] for k in again], np.append(labels, labels[again]).reshape(-1, length)
 
 
 def train(rows: list[tuple[str, str]], lexicon: int = 2000, max_features: int = 40_000, length: int = 48, steps: int = 30, rate: float = 0.2, decay: float = 1e-5, seed: int = 11) -> Model:
@@ -200,7 +209,7 @@ class Predictor:
             return out
         group, size = [], 0
         for k, text in enumerate(texts):
-            words = WORD.findall(text) if text else []
+            words = words_of(text)
             if words:
                 group.append((k, words))
                 size += len(words)
@@ -221,13 +230,13 @@ class Predictor:
             out[k] = (self.model.labels[int(p.argmax())], float(min(1.0, p.max())))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_docs: int = 600) -> Model:
-    """Train on at most ``max_train_docs`` documents with a language outside the held-out fold.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_docs: int = 600, max_train_chars: int = 4_000_000) -> Model:
+    """Train on a bounded sample of documents with a language outside the held-out fold.
 
     The sample is chosen by a hash of the id among ids alone, and only then are texts read.
     """
     named = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).filter(F.col("__lang").isNotNull() & (common.bucket_of("__id", 4) != 2))
-    rows = common.labelled_sample(docs, named.withColumnRenamed("__id", id_col), id_col, text_col, "__lang", max_train_docs).orderBy("id").toPandas()
+    rows = common.labelled_sample(docs, named.withColumnRenamed("__id", id_col), id_col, text_col, "__lang", max_train_docs, max_train_chars).orderBy("id").toPandas()
     return train(list(zip(rows["text"], rows["label"], strict=True)))
 
 

@@ -1,9 +1,11 @@
 """Quality classifier: hashed word n-gram logistic regression trained with FTRL-proximal.
 
 Training runs on the driver over a bounded, documented sample of labelled rows
-(``max_train_rows``); scoring is a sparse dot product per document in a pandas UDF, one map
-stage with no shuffle. Null and empty texts have no features and score by the bias alone;
-repeated rows score alike; a sample without labels gives every text the score 0.5.
+(``max_train_rows`` rows of ``max_train_chars`` code points in all); scoring is a sparse dot
+product per document in a pandas UDF, one map stage with no shuffle. Null and empty texts have
+no features and score by the bias alone; whole texts are scored however long they are; repeated
+rows score alike; an empty table gives an empty result, and a sample without labels gives every
+text the score 0.5. A score equal to the threshold is accepted.
 """
 
 import re
@@ -20,7 +22,7 @@ from . import common
 
 #: A word is a run of letters and digits, or a run of other signs without white space.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 50_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SAME_WORD = np.uint64(0x5851F42D4C957F2D)
 
@@ -84,7 +86,7 @@ def train(rows: list[tuple[str | None, int]], bits: int = 18, order: int = 2, ep
         index, counts = np.unique(features(text, hashes, bits, order), return_counts=True)
         total = counts.sum()
         value = SCALE * counts / total if total else counts.astype(float)
-        data.append((np.append(index, size), np.append(value, 1.0), float(label)))
+        data.append((np.append(index, size).astype(np.int32), np.append(value, 1.0).astype(np.float32), float(label)))
     shuffled = np.random.default_rng(7)
     for _ in range(epochs):
         for k in shuffled.permutation(len(data)):
@@ -100,10 +102,10 @@ def train(rows: list[tuple[str | None, int]], bits: int = 18, order: int = 2, ep
     return Model(w[:size].astype(np.float32), float(w[size]), bits, order)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_rows: int = 6000) -> Model:
-    """Train on at most ``max_train_rows`` labelled rows whose fold is not held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_rows: int = 6000, max_train_chars: int = 20_000_000) -> Model:
+    """Train on a bounded sample of labelled rows whose fold is not held out."""
     usable = labels.filter(common.bucket_of(id_col, 5) != 0)
-    rows = common.labelled_sample(docs, usable, id_col, text_col, label_col, max_train_rows).orderBy("id").toPandas()
+    rows = common.labelled_sample(docs, usable, id_col, text_col, label_col, max_train_rows, max_train_chars).orderBy("id").toPandas()
     return train(list(zip(rows["text"], rows["label"].astype(int), strict=True)))
 
 
