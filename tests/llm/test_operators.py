@@ -272,6 +272,19 @@ def test_language_odd(odd):
     by = {r["doc_id"]: r for r in language.predict(odd, model).collect()}
     assert by[1]["lang_pred"] == by[2]["lang_pred"] == "und" and by[5]["lang_pred"] in ("en", "es")
     assert language.Predictor(language.train([])).predict(["x"]) == [("und", 0.0)]
+    assert language.Predictor(model).predict(["½ ² ② 12", "dos²", None]) [::2] == [("und", 0.0)] * 2
+    few = language.Predictor(language.train([("uno dos tres cuatro", "es"), ("one two three four", "en")]))
+    assert [p for p, _ in few.predict(["one two", "tres dos uno"])] == ["en", "es"]
+
+
+def test_labelled_sample_is_bounded_and_refills(spark, monkeypatch):
+    rows = [(k, "x" * (1000 if k % 3 else 10)) for k in range(60)] + [(5, "y" * 7), (5, "y" * 7), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(62)], "doc_id long, quality int")
+    got = common.labelled_sample(docs, labels, "doc_id", "text", "quality", 25, 3_500).collect()
+    assert len(got) == len({r["id"] for r in got}) and sum(len(r["text"]) for r in got) <= 3_500 and len(got) > 3
+    assert {r["id"]: r["text"] for r in common.labelled_sample(docs, labels, "doc_id", "text", "quality", 100, 10**6).collect()} == {**dict(rows[:60]), 5: "y" * 7}
+    assert common.labelled_sample(docs.limit(0), labels, "doc_id", "text", "quality", 9, 9).count() == 0
 
 
 def test_pieces_parity_and_round_trip(docs, odd):
@@ -414,6 +427,41 @@ def test_license_prefilter_drops_nothing(spark, monkeypatch):
     assert [got[k] for k in range(len(named))] == ["mit", "gpl-3.0", "apache-2.0", "mit-0", "0bsd", "cc-by-4.0", "isc"]
 
 
+def brute_scan(text):
+    """Labels and score of a text by plain re over all rules, without keywords or gate."""
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))) + " "
+    found = sorted((m.start(), -m.end(), priority, label) for _, priority, label, _, p in RULES for m in p.finditer(norm))
+    kept, score, far = set(), 0.0, {}
+    for start, end, priority, label in found:
+        if not any(q <= priority and e >= -end for q, e in far.items()):
+            kept.add(label)
+            score = max(score, licenses.SCORES[priority])
+        far[priority] = max(far.get(priority, -1), -end)
+    base = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in norm}
+    return ",".join(sorted(kept | base)), max(score, 0.5 if base else 0.0)
+
+
+RULES = [(k, p, label, words, re.compile(f" (?:{x})(?= )".replace("\\\\", "\\"))) for k, p, label, words, x in licenses.rules()]
+
+
+def test_licenses_against_brute_force(spark, docs, odd):
+    """Every label and score of whole tables, and of texts built from the passages."""
+    built = [(k, f"Copyright (c) 2020. {p.replace('(?:', '').split('|')[0].split('?')[0]} and {licenses.PASSAGES[k - 1][1]}.") for k, (_, p) in enumerate(licenses.PASSAGES)]
+    passages = [(1000 + k, v + " mit license") for k, (_, p) in enumerate(licenses.PASSAGES) for v in alternatives(p.replace("\\\\", "\\"))[:1]]
+    for df in (docs, odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), spark.createDataFrame(built + passages, "doc_id long, text string").repartition(3)):
+        want = {r["doc_id"]: brute_scan(r["text"]) for r in df.collect()}
+        assert {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(df).collect()} == want
+    assert all(any(label in v[0].split(",") for v in want.values()) for label, _ in licenses.PASSAGES)
+
+
+def test_long_license_text(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "mit license and " * 65_536)], "doc_id long, text string")
+    start = time.time()
+    assert licenses.scan(df).select("n_base", "last_word", "labels").first() == (65_536, 3 * 65_535, "mit") and time.time() - start < 60
+
+
 def test_license_rules(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0. MIT license mit license"), (2, "SPDX-License-Identifier: GPL-2.0-only"), (3, "Licensed under CC BY-NC 4.0."), (4, "GNU Lesser General Public License v2.1"), (5, "a licensed doctor")]
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

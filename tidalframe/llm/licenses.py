@@ -5,10 +5,15 @@ A text is scanned only if it passes a gate, and by a rule only if it has one of
 Both are derived from the rules and are necessary for a match, so that they drop no detection.
 Rules have four priorities: SPDX tags, notices ("licensed under ..."), full names with version,
 bare family names. A detection whose interval lies in one of a better priority, or in a longer
-one of its own, is suppressed. The rules are built from a table of licences and templates.
+one of its own, is suppressed; of equal intervals and priorities the first label of the alphabet
+stays. The rules are hand-written passages of licence texts, names and tags, the latter two also
+inside the templates of notices.
 
 Beside them stands the base: places where the words of a phrase follow each other. Null counts
-as the empty text, which has no words, no labels and the score 0. Repeated rows score alike.
+as the empty text, which has no words, no labels and the score 0. Repeated rows score alike, an
+empty table gives an empty result, and extra columns are not read. Whole texts are scanned: the
+places of a rule are summed up in blocks, so that time grows with the length of a very long text
+and not with its square.
 """
 
 import re
@@ -86,8 +91,133 @@ PHRASES = [
     ("creative-commons", 4, "creative commons", "creative commons(?: licen[cs]e)?"),
     ("copyright", 4, "copyright", "copyright (?:c )?(?:19|20)\\d\\d"),
 ]
+# Label and pattern of passages that tell a licence text, in folded words.
+PASSAGES = [
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell"),
+    ("mit-0", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("x11", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("isc", "permission to use copy modify and (?:or )?distribute this software (?:and its documentation )?for any purpose (?:with or without fee|and without fee) is hereby granted provided that the above copyright notice"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appears? in all copies and that both"),
+    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "neither the name of (?:the )?(?:copyright holder|author|university|\\S{1,30}) nor the names of (?:its|his|other) contributors may be used to endorse or promote products"),
+    ("bsd-3-clause-clear", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "terms and conditions for use reproduction and distribution 1 definitions license shall mean"),
+    ("apache-2.0", "grant of copyright license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide"),
+    ("apache-2.0", "if the work includes a notice text file as part of its distribution then any derivative works that you distribute must include a readable copy"),
+    ("apache-1.1", "the end user documentation included with the redistribution if any must include the following acknowledge?ment this product includes software developed by the apache software foundation"),
+    ("apache-1.1", "products derived from this software may not be called apache nor may apache appear in their name"),
+    ("gpl", "either version (?:1|2|3) of the license or at your option any later version"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this (?:program|software|library|file)"),
+    ("gpl", "this (?:program|software|library) is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-2.0", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license"),
+    ("gpl-2.0", "activities other than copying distribution and modification are not covered by this license they are outside its scope"),
+    ("gpl-2.0", "accompany it with the complete corresponding machine readable source code which must be distributed under the terms of sections 1 and 2 above"),
+    ("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3.0", "no covered work shall be deemed part of an effective technological measure under any applicable law"),
+    ("gpl-3.0", "to propagate a work means to do anything with it that without permission would make you directly or secondarily liable for infringement"),
+    ("gpl-3.0", "you may convey verbatim copies of the program s source code as you receive it in any medium"),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:library|program)"),
+    ("lgpl-2.1", "this is the first released version of the lesser gpl it also counts as the successor of the gnu library public license"),
+    ("lgpl-2.1", "a work that uses the library in isolation is not a derivative work of the library and therefore falls outside the scope of this license"),
+    ("lgpl-3.0", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("agpl-3.0", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("agpl-3.0", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl-1.3", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl-1.3", "with no invariant sections no front cover texts and no back cover texts"),
+    ("classpath-exception-2.0", "the copyright holders of this library give you permission to link this library with independent modules to produce an executable"),
+    ("gcc-exception-3.1", "you have permission to propagate a work of target code formed by combining the runtime library with independent modules"),
+    ("llvm-exception", "if as a result of your compiling your source code portions of this software are embedded into an object form of such source code"),
+    ("font-exception-2.0", "if you create a document which uses this font and embed this font or unaltered portions of this font into the document"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2.0", "this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?2 0|2 0)"),
+    ("epl-2.0", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl-1.0", "when distributing covered code include this cddl header in each file"),
+    ("cpl-1.0", "the accompanying program is provided under the terms of this common public license"),
+    ("ipl-1.0", "the accompanying program is provided under the terms of this ibm public license"),
+    ("eupl-1.2", "this european union public licence the eupl applies to the work"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsl-1.0", "must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code"),
+    ("artistic-2.0", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("artistic-1.0", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("perl", "it under the same terms as perl itself"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("libpng-2.0", "the contributing authors and glenn randers pehrson disclaim all warranties"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("wtfpl", "you just do what the f\\S{1,9} you want to"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"),
+    ("blessing", "may you do good and not evil may you find forgiveness for yourself and forgive others"),
+    ("beerware", "if we meet some ?day and you think this stuff is worth it you can buy me a beer in return"),
+    ("json", "the software shall be used for good not evil"),
+    ("python-2.0", "psf hereby grants licensee a nonexclusive royalty free world ?wide license to reproduce analyze test perform and or display publicly"),
+    ("cnri-python", "cnri hereby grants licensee a nonexclusive royalty free world ?wide license"),
+    ("php-3.01", "products derived from this software may not be called php nor may php appear in their name"),
+    ("ruby", "you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices"),
+    ("postgresql", "in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "this product includes cryptographic software written by eric young"),
+    ("ofl-1.1", "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),
+    ("ofl-1.1", "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    ("ncsa", "neither the names of (?:the )?\\S{1,40} (?:\\S{1,40} ){0,6}nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("ncsa", "university of illinois ncsa open source license"),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0-1.0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright"),
+    ("cc-by-4.0", "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution 4 0 international public license"),
+    ("cc-by-sa-4.0", "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution sharealike 4 0 international public license"),
+    ("cc-by-nc-4.0", "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution noncommercial 4 0 international public license"),
+    ("creative-commons", "the work as defined below is provided under the terms of this creative commons public license ccpl or license"),
+    ("creative-commons", "this work is licensed under (?:a|the) creative commons"),
+    ("odbl-1.0", "this database is made available under the open database license"),
+    ("pddl-1.0", "this database is made available under the public domain dedication and license"),
+    ("odc-by-1.0", "this database is made available under the open data commons attribution license"),
+    ("ogl-uk-3.0", "contains public sector information licensed under the open government licence v3 0"),
+    ("etalab-2.0", "licence ouverte (?:open licence )?(?:version )?2 0"),
+    ("dl-de-by-2.0", "datenlizenz deutschland namensnennung (?:version )?2 0"),
+    ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("busl-1.1", "effective on the change date or the fourth anniversary of the first publicly available distribution"),
+    ("sspl-1.0", "if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available"),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "the license does not grant to you and you are not granted the right to sell the software"),
+    ("commons-clause", "commons clause license condition v1 0"),
+    ("polyform-noncommercial-1.0.0", "polyform noncommercial license 1 0 0"),
+    ("polyform-noncommercial-1.0.0", "any noncommercial purpose is a permitted purpose"),
+    ("mulanps-2.0", "mulan psl v2 you can use this software according to the terms and conditions of the mulan psl v2"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ms-pl", "microsoft public license(?: ms pl)?"),
+    ("ms-rl", "microsoft reciprocal license(?: ms rl)?"),
+    ("apsl-2.0", "apple public source license (?:version )?2 0"),
+    ("nasa-1.3", "nasa open source agreement version 1 3"),
+    ("upl-1.0", "universal permissive license(?: (?:version |v)?1 0)?"),
+    ("vim", "there are no restrictions on distributing unmodified copies of vim"),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is"),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code for the db software"),
+    ("qpl-1.0", "the q public license(?: version 1 0)?"),
+    ("openrail", "use based restrictions as referenced in paragraph 5 must be included as an enforceable provision"),
+    ("bigscience-bloom-rail-1.0", "bigscience rail license v1 0"),
+    ("proprietary", "this software is the (?:confidential and )?proprietary (?:information|property) of"),
+    ("proprietary", "unauthorized (?:copying|reproduction|use|distribution) of this (?:file|software|document|material) (?:via any medium )?is strictly prohibited"),
+    ("proprietary", "no part of this (?:publication|book|document|software|work) may be reproduced"),
+    ("proprietary", "this end user licen[cs]e agreement eula is a legal agreement between you"),
+    ("public-domain", "this (?:work|file|software|code|document) (?:is|has been placed) in the public domain"),
+    ("public-domain", "no copyright is claimed"),
+]
 # Fixed value: what stands before the name or tag in a notice.
 NOTICE = "(?:licen[cs]ed|released|distributed|published|available|provided|made available|covered) (?:by|under)(?: the)?(?: terms of)?(?: the)?"
+#: Matches whose offsets are summed up together.
+BLOCK = 64
 SCORES = {1: 1.0, 2: 0.95, 3: 0.8, 4: 0.5}
 
 
@@ -127,9 +257,9 @@ def shortest(keys) -> tuple[str, ...]:
     return tuple(sorted(k for k in set(keys) if not any(o != k and o in k for o in keys)))
 
 
-def keywords(pattern: str) -> tuple[str, ...]:
-    """The first two words of all variants: folded text that matches has one of them."""
-    return shortest({f" {' '.join(v.split(' ')[:2])} ".partition("\n")[0] for v in variants(pattern) if "," not in v})
+def keywords(pattern: str, words: int = 2) -> tuple[str, ...]:
+    """The first words of all variants: folded text that matches has one of them."""
+    return shortest({f" {' '.join(v.split(' ')[:words])} ".partition("\n")[0] for v in variants(pattern) if "," not in v})
 
 
 def rules() -> list[tuple[int, int, str, tuple[str, ...], str]]:
@@ -140,12 +270,13 @@ def rules() -> list[tuple[int, int, str, tuple[str, ...], str]]:
         out.append((2, label, keywords(f"{name}|{tag}"), f"{NOTICE} (?:{name}|{tag})"))
         out.append((2, label, ("subject to",), f"subject to(?: the)?(?: terms (?:and conditions )?of)?(?: the)? (?:{name})"))
         out.append((3, label, keywords(name), name))
+    out += [(2, label, keywords(pattern, 5), pattern) for label, pattern in PASSAGES]
     out += [(priority, label, (keyword,), pattern) for label, priority, keyword, pattern in PHRASES]
     return [(k, priority, label, words, pattern) for k, (priority, label, words, pattern) in enumerate(sorted(out, key=lambda r: r[0]))]
 
 
 #: What a text has if a rule matches, but for notices with a tag, which TAGGED finds.
-KEYWORDS = shortest({"spdx", *(k for _, _, k, _ in PHRASES), *(next((w for w in ("licens", "licenc") if w in v), k) for _, name, _ in LICENSES for v in variants(name) for k in keywords(name) if "," not in v and f" {v} ".startswith(k))})
+KEYWORDS = shortest({"spdx", *(k for _, _, k, _ in PHRASES), *(k for _, pattern in PASSAGES for k in keywords(pattern, 5)), *(next((w for w in ("licens", "licenc") if w in v), k) for _, name, _ in LICENSES for v in variants(name) for k in keywords(name) if "," not in v and f" {v} ".startswith(k))})
 TAGGED = f" {NOTICE} (?:{'|'.join(tag for _, _, tag in LICENSES)})(?= )"
 
 
@@ -184,9 +315,14 @@ def detections(norm: str) -> str:
     q = lambda s: "r'" + s + "'"
     table = "array(" + ", ".join(f"named_struct('p', {p}, 'l', '{label}', 'k', array({', '.join(map(q, words))}), 'x', {q(f' (?:{pattern})(?= )')})" for _, p, label, words, pattern in rules()) + ")"
     active = f"filter({table}, r -> exists(r.k, k -> contains({norm}, k)))"
-    places = f"""aggregate(zip_with(split({norm}, r.x, -1), regexp_extract_all({norm}, r.x, 0), (s, m) -> named_struct('s', length(s), 'm', coalesce(length(m), 0))),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<s: int, e: int>>)),
+    # Lengths of what stands before each match and of the match; offsets are summed up in blocks.
+    pieces = f"zip_with(split({norm}, r.x, -1), regexp_extract_all({norm}, r.x, 0), (s, m) -> named_struct('s', length(s), 'm', coalesce(length(m), 0)))"
+    block = f"slice(ds, b * {BLOCK} + 1, {BLOCK})"
+    ends = f"""aggregate(transform(sequence(0, (size(ds) - 1) div {BLOCK}), b -> aggregate({block}, 0, (t, d) -> t + d.s + d.m)),
+        array(0), (o, t) -> concat(o, array(element_at(o, -1) + t)))"""
+    inside_block = f"""aggregate({block}, named_struct('at', os[b], 'out', cast(array() AS array<struct<s: int, e: int>>)),
         (a, d) -> named_struct('at', a.at + d.s + d.m, 'out', CASE WHEN d.m > 0 THEN concat(a.out, array(named_struct('s', a.at + d.s, 'e', a.at + d.s + d.m))) ELSE a.out END), a -> a.out)"""
+    places = f"flatten(flatten(transform(array({pieces}), ds -> transform(array({ends}), os -> flatten(transform(sequence(0, (size(ds) - 1) div {BLOCK}), b -> {inside_block}))))))"
     found = f"flatten(transform({active}, r -> transform({places}, d -> named_struct('s', d.s, 'e', -d.e, 'p', r.p, 'l', r.l))))"
     inside = " OR ".join(f"(d.p >= {p} AND a.m{p} >= -d.e)" for p in SCORES)
     marks = ", ".join(f"'m{p}', CASE WHEN d.p = {p} THEN greatest(a.m{p}, -d.e) ELSE a.m{p} END" for p in SCORES)
