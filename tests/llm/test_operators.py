@@ -316,26 +316,76 @@ def test_unigram_model():
     assert pieces.verify(tok, data, ["ab", "ab  c", "cab", ""]) == []
 
 
-def test_cross_entropy(spark, docs, odd, monkeypatch):
+def brute_losses(rows, good):
+    """Losses of every document by plain dictionaries, each left out of the models that score it."""
+    import math
+    from collections import Counter
+
+    words = {i: re.findall(r"\w+|[^\w\s]", (t or "").lower()) for i, t in rows.items()}
+    sides = {}
+    for name, ids in (("background", set(rows)), ("target", good & set(rows))):
+        count, pairs, follow, first = Counter(), Counter(), Counter(), Counter()
+        for i in ids:
+            count.update(words[i])
+        for w, n in count.items():
+            raw = [256, *w.encode(), 256]
+            for a, b in zip(raw, raw[1:], strict=False):
+                pairs[a, b] += n
+                first[a] += n
+        single = Counter()
+        for (a, b), n in pairs.items():
+            follow[a] += 1
+            single[b] += n
+
+        def spelling(w, pairs=pairs, follow=follow, first=first, single=single):
+            raw, out = [256, *w.encode(), 256], 0.0
+            for a, b in zip(raw, raw[1:], strict=False):
+                low = (single[b] + len(single) / 257) / (sum(single.values()) + len(single)) if single else 1 / 257
+                out += math.log2((pairs[a, b] + follow[a] * low) / (first[a] + follow[a]) if first[a] else low)
+            return 2**out
+
+        sides[name] = (count, ids, spelling)
+    out = {}
+    for i, own in words.items():
+        for name, (count, ids, spelling) in sides.items():
+            mine = Counter(own) if i in ids else Counter()
+            kinds, total, cache = max(len(count), 1), sum(count.values()) - sum(mine.values()), {}
+            bits = [cache.setdefault(w, math.log2((count[w] - mine[w] + kinds * spelling(w)) / (total + kinds))) for w in own]
+            out[i, name] = -sum(bits) / len(bits) if bits else None
+    return out
+
+
+@pytest.mark.parametrize(("head", "ids", "held"), [(500_000, 2_000_000, 200_000), (50, 0, 100)])
+def test_cross_entropy_against_brute_force(spark, docs, monkeypatch, head, ids, held):
+    """Whole tables, with all words broadcast, and with nearly all words joined and small flushes."""
+    monkeypatch.setattr(cross_entropy, "HEAD_WORDS", head)
+    monkeypatch.setattr(cross_entropy, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(cross_entropy, "TASK_WORDS", held)
+    labels = common.table(spark, DATA, "labels")
+    some = docs.filter(F.length("text") < 1500)
+    models = cross_entropy.fit(some, labels)
+    want = brute_losses(texts(some), {r["doc_id"] for r in labels.filter("quality = 1").collect()})
+    rows = cross_entropy.scores(some, models).collect()
+    assert len(rows) == some.count() > 50
+    for r in rows:
+        for name in ("background", "target"):
+            assert r[f"h_{name}"] == (None if want[r["doc_id"], name] is None else pytest.approx(want[r["doc_id"], name], abs=1e-3))
+
+
+def test_cross_entropy_odd(spark, docs, odd):
     labels = common.table(spark, DATA, "labels")
-    models = cross_entropy.fit(docs, labels, size=40)
-    for table in (models.target, models.background):
-        p = np.exp2(table.astype(float)).reshape(-1, len(models.words)).sum(axis=1)
-        assert np.allclose(p, 1, atol=1e-3)
-    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
-    rows = texts(docs)
-    grams = [models.words.grams(t, 3) for i, t in rows.items() if i in good]
-    counts = np.bincount(np.concatenate(grams), minlength=len(models.words) ** 3)
-    assert np.allclose(cross_entropy.log_model(counts, len(models.words), 3), models.target)
-    monkeypatch.setattr(cross_entropy, "BROADCAST_IDS", 0)
-    assert np.array_equal(cross_entropy.fit(docs, labels, size=40).target, models.target)
-    by = {r["doc_id"]: r for r in cross_entropy.scores(docs, models).collect()}
-    t = next(iter(rows))
-    g = models.words.grams(rows[t], 3)
-    assert by[t]["difference"] == pytest.approx(float(models.background[g].mean(dtype=float) - models.target[g].mean(dtype=float)), abs=1e-6)
-    out = {r["doc_id"]: r for r in cross_entropy.scores(odd, models).collect()}
-    assert out[1]["n_tokens"] == 0 and out[1]["difference"] is None
-    assert cross_entropy.fit(docs.limit(0), labels, size=8).target.shape == (8,)
+    for models in (cross_entropy.fit(odd, labels), cross_entropy.fit(docs.limit(0), labels)):
+        rows = cross_entropy.scores(odd, models).collect()
+        by = {r["doc_id"]: r for r in rows}
+        assert len(rows) == len(ODD) and by[1]["n_tokens"] == by[2]["n_tokens"] == 0 and by[1]["difference"] is None
+        assert all(np.isfinite(r["difference"]) for r in rows if r["n_tokens"]) and by[6]["n_tokens"] == 5000
+        assert cross_entropy.scores(docs.limit(0), models).count() == 0
+    # A long word's spelling underflows without harm; other scripts keep their words apart.
+    texts_ = [(1, "ж" * 5000), (2, "мама мыла раму"), (3, "другие слова тут"), (4, "мама мыла раму")]
+    df = spark.createDataFrame(texts_, "doc_id long, text string")
+    by = {r["doc_id"]: r["h_background"] for r in cross_entropy.scores(df, cross_entropy.fit(df, labels)).collect()}
+    assert np.isfinite(by[1]) and by[2] == pytest.approx(by[4]) and by[2] < by[3]
+    assert all(abs(np.exp2(m.spelling.reshape(257, 257).astype(float)).sum(axis=1) - 1).max() < 1e-3 for m in (models.background, models.target))
 
 
 def test_fingerprints(docs, odd):
