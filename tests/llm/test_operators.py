@@ -97,14 +97,15 @@ def test_heads_lose_no_link():
             drop = int(random.integers(0, max(1, n * (100 - percent) // 100) + 1))
             b = np.unique(np.concatenate([random.permutation(a)[drop:], random.integers(0, 2**63, int(random.integers(0, drop + 2))).astype(np.uint64)]))
             if jaccard_join.links(a, b, percent):
-                both = len(np.intersect1d(a[: jaccard_join.head_size(len(a), percent)], b[: jaccard_join.head_size(len(b), percent)]))
-                assert both >= max(jaccard_join.head_needed(len(a), percent), jaccard_join.head_needed(len(b), percent))
+                for h in (1, jaccard_join.WIDE):
+                    both = len(np.intersect1d(a[: jaccard_join.head_size(len(a), percent, h)], b[: jaccard_join.head_size(len(b), percent, h)]))
+                    assert both >= max(jaccard_join.head_needed(len(a), percent, h), jaccard_join.head_needed(len(b), percent, h))
 
 
 def test_sizes_agree_with_sql(spark):
-    for percent in (80, 90):
-        rows = spark.range(1, 400).select("id", F.expr(jaccard_join._sql_head_size("id", percent)).alias("s"), F.expr(jaccard_join._sql_head_needed("id", percent)).alias("n")).collect()
-        assert all(r["s"] == jaccard_join.head_size(r["id"], percent) and r["n"] == jaccard_join.head_needed(r["id"], percent) for r in rows)
+    for percent, h in ((80, 1), (90, 1), (80, 4), (90, 3)):
+        rows = spark.range(1, 400).select("id", F.expr(jaccard_join._sql_head_size("id", percent, h)).alias("s"), F.expr(jaccard_join._sql_head_needed("id", percent, h)).alias("n")).collect()
+        assert all(r["s"] == jaccard_join.head_size(r["id"], percent, h) and r["n"] == jaccard_join.head_needed(r["id"], percent, h) for r in rows)
 
 
 def chains_of_passages(seed, count=160):

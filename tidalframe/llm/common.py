@@ -43,7 +43,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def matching(rows: DataFrame, key: str, ids: DataFrame, id_col: str, keep: list[str] | None = None, how: str | None = None) -> DataFrame:
-    """Rows whose ``key`` is an id of ``ids`` (``how="left_anti"``: is none), with the columns ``keep`` of ids.
+    """Rows whose ``key`` is an id of ``ids`` (``how="left_anti"``: is none; ``how="left"``: all rows), with the columns ``keep`` of ids.
 
     ids are distinct and already stored. They are broadcast up to ``BROADCAST_IDS``.
     """

@@ -18,8 +18,9 @@ A document's set holds its distinct word n-grams. Two documents link when
    group's members. A link that is still open joins two clusters, so tokens that one cluster
    alone has are no part of it, and documents that have too few others drop out, again and
    again. Each document left queries the matrix with its rarest tokens (all but the overlap
-   needed, less one); its overlap with a candidate group's union bounds the overlap with every
-   member, and only groups that reach the needed overlap are opened, in bounded blocks. Of two
+   needed, less one), as a group that none of them is in cannot reach the overlap. It meets the
+   groups found in bounded blocks, where its overlap with the unions of their parts bounds the
+   overlap with every member, and only parts that reach the needed overlap are opened. Of two
    clusters the one with fewer members asks.
 
 Pairs are never listed as rows; documents meet in bounded blocks. A passage that many documents
@@ -53,8 +54,8 @@ K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 CHUNK_ROWS, CHUNK_TOKENS = 400, 200_000
 #: Passes over the group keys at most, and the share of leaders a pass must save to go on.
 PASSES, SAVED = 6, 0.05
-#: Rounds of dropping documents with too few tokens in other groups.
-ROUNDS = 4
+#: Rounds of dropping documents with too few tokens in other clusters, and halves of e(n) in a wide head.
+ROUNDS, WIDE = 3, 4
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -177,25 +178,26 @@ def _allowed(n, percent: int):
     return n * (100 - percent) // 100
 
 
-def head_size(n, percent: int):
+def head_size(n, percent: int, halves: int = 1):
+    """Tokens of a head: e(n), and ``halves`` halves of it; more halves make a wide head."""
     e = _allowed(n, percent)
-    return np.minimum(n, e + np.maximum(1, (e + 1) // 2))
+    return np.minimum(n, e + np.maximum(1, (halves * e + 1) // 2))
 
 
-def head_needed(n, percent: int):
+def head_needed(n, percent: int, halves: int = 1):
     """Tokens that the heads of a set of n and of any linking partner share at least."""
     small = (percent * n + 99) // 100
-    return np.minimum(small, np.maximum(1, (_allowed(small, percent) + 1) // 2))
+    return np.minimum(small, np.maximum(1, (halves * _allowed(small, percent) + 1) // 2))
 
 
-def _sql_head_size(n: str, percent: int) -> str:
+def _sql_head_size(n: str, percent: int, halves: int = 1) -> str:
     e = f"({n} * {100 - percent} div 100)"
-    return f"least({n}, {e} + greatest(1L, ({e} + 1) div 2))"
+    return f"least({n}, {e} + greatest(1L, ({halves} * {e} + 1) div 2))"
 
 
-def _sql_head_needed(n: str, percent: int) -> str:
+def _sql_head_needed(n: str, percent: int, halves: int = 1) -> str:
     small = f"(({percent} * {n} + 99) div 100)"
-    return f"least({small}, greatest(1L, ({small} * {100 - percent} div 100 + 1) div 2))"
+    return f"least({small}, greatest(1L, ({halves} * ({small} * {100 - percent} div 100) + 1) div 2))"
 
 
 def _digest(tokens: np.ndarray) -> np.ndarray:
@@ -312,19 +314,23 @@ def _groups(alive: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     The first pass holds all documents, later ones the leaders of clusters, by both keys in turn.
     """
-    level, edges, groups, left = alive, [], None, None
+    level, edges, groups, left = alive.select("v", "key1", "key2"), [], None, None
     for k in range(PASSES):
-        rows = level.select(F.col(("key1", "key2")[k % 2]).alias("key"), "v", "tokens")
+        key = ("key1", "key2")[k % 2]
+        # Sets are sent only where several have the key.
+        often = level.groupBy(key).agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select(F.col(key).alias("__k"))
+        sent = common.stored(level.join(often, F.col(key) == F.col("__k"), "left_semi").select("v").distinct())
+        rows = common.matching(alive, "v", sent, "v").select(F.col(key).alias("key"), "v", "tokens")
         rows = rows.repartitionByRange("key", "v").sortWithinPartitions("key", "v")
         done = common.stored(rows.mapInPandas(_cluster_runs(percent), "v long, leader long, chunk long"))
         groups = groups or done.select("v", "chunk")
         edges.append(done.filter("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")))
-        leaders = done.filter("v = leader").select("v").distinct()
-        now = leaders.count()
+        led = done.filter("v != leader").select(F.col("v").alias("__v")).distinct()
+        level = common.stored(level.join(led, F.col("v") == F.col("__v"), "left_anti"))
+        now = level.count()
         if k and now > left * (1 - SAVED):
             break
         left = now
-        level = common.matching(alive, "v", leaders, "v")
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -346,10 +352,10 @@ def _open(percent: int):
 
 
 def _foreign(rows: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (v, label, token) whose token other labels have too, and the documents that have enough of them."""
+    """(v, token) of rows (v, label, token) whose token other labels have too, and the documents that have enough of them."""
     foreign = rows.groupBy("token").agg(F.min("label").alias("__a"), F.max("label").alias("__z")).filter("__a < __z")
     foreign = common.stored(foreign.select("token"))
-    shared = rows.join(foreign, "token", "left_semi")
+    shared = rows.select("v", "token").join(foreign, "token", "left_semi")
     counts = shared.groupBy("v").agg(F.count(F.lit(1)).alias("__c"))
     needs = needs.groupBy("v").agg(F.min("need").alias("__n"))
     return shared, common.stored(counts.join(needs, "v").filter("__c >= __n").select("v"))
@@ -360,26 +366,26 @@ def _across(alive: DataFrame, groups: DataFrame, labels: DataFrame, percent: int
 
     ``labels`` names the cluster that a document is known to belong to.
     """
-    named = alive.join(labels.select(F.col("v").alias("__v"), F.col("root").alias("__l")), F.col("v") == F.col("__v"), "left")
-    named = named.select("v", F.coalesce("__l", "v").alias("label"), "n", "tokens")
-    head = F.slice("tokens", 1, F.expr(_sql_head_size("n", percent)).cast("int"))
-    # Whole sets first: a link takes percent of a set's tokens, all of them in other clusters.
-    _, enough = _foreign(named.select("v", "label", F.explode("tokens").alias("token")), named.select("v", F.expr(f"({percent} * n + 99) div 100").alias("need")))
+    named = common.matching(alive, "v", labels, "v", keep=["root"], how="left").select("v", F.coalesce("root", "v").alias("label"), "n", "tokens")
     before = None
-    for _ in range(ROUNDS):
-        named = named.join(enough, "v", "left_semi")
-        needs = named.select("v", F.expr(_sql_head_needed("n", percent)).alias("need"))
+    # From cheap to telling: narrow heads, wide ones, whole sets; then narrow ones again, for the matrix.
+    for halves in (1, WIDE, None, *[1] * ROUNDS):
+        head, need = F.slice("tokens", 1, F.expr(_sql_head_size("n", percent, halves or 1)).cast("int")), F.expr(_sql_head_needed("n", percent, halves or 1))
+        if halves is None:
+            head, need = F.col("tokens"), F.expr(f"({percent} * n + 99) div 100")
+        needs = named.select("v", need.alias("need"))
         shared, enough = _foreign(named.select("v", "label", F.explode(head).alias("token")), needs)
         now = enough.count()
         if not now:
             return None
-        if before is not None and now > 0.9 * before:
+        if halves == 1 and before is not None and now > 0.9 * before:
             break
-        before = now
+        before = now if halves is None or before is not None else None
+        named = common.matching(named, "v", enough, "v")
     needs = needs.groupBy("v").agg(F.min("need").alias("need"))
     named = named.groupBy("v", "label").agg(F.max("n").alias("n")).join(enough, "v").join(needs, "v")
     sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = common.stored(named.join(sizes, "label").join(groups, "v").select("v", "label", "chunk", "n", "need", F.struct("size", "label").alias("rank")))
+    members = common.stored(named.join(sizes, "label").join(groups.withColumnRenamed("v", "__v"), F.col("v") == F.col("__v"), "left").select("v", "label", F.coalesce("chunk", "v").alias("chunk"), "n", "need", F.struct("size", "label").alias("rank")))
     # The matrix: each group's union of tokens, with the largest cluster that has the token there.
     rows = common.stored(shared.select("v", "token").join(members, "v").select("v", "chunk", "rank", "need", "token"))
     matrix = common.stored(rows.groupBy("token", "chunk").agg(F.max("rank").alias("top")))
@@ -388,17 +394,15 @@ def _across(alive: DataFrame, groups: DataFrame, labels: DataFrame, percent: int
     asked = rows.join(rarity, "token").withColumn("__r", F.row_number().over(whole.orderBy("groups", "token"))).withColumn("__c", F.count(F.lit(1)).over(whole))
     asked = asked.filter("__r <= __c - need + 1").select("token", "v", F.col("chunk").alias("__own"), "rank")
     candidates = matrix.select("token", F.col("chunk").alias("at"), "top")
-    candidates = common.stored(asked.join(candidates, "token").filter((F.col("__own") != F.col("at")) & (F.col("rank") < F.col("top"))).select("v", "at").distinct())
-    # The overlap with the group's union bounds the overlap with each of its members.
-    overlap = candidates.join(rows.select("v", "token", "need"), "v").join(matrix.select("token", F.col("chunk").alias("at")), ["token", "at"])
-    queries = common.stored(overlap.groupBy("v", "at").agg(F.count(F.lit(1)).alias("__c"), F.min("need").alias("need")).filter("__c >= need").select("v", "at"))
+    queries = common.stored(asked.join(candidates, "token").filter((F.col("__own") != F.col("at")) & (F.col("rank") < F.col("top"))).select("v", "at").distinct())
     load = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS), F.least(F.count(F.lit(1)), F.ceil(F.sum("n") / CHUNK_TOKENS)))
     blocks = common.stored(queries.join(members.select("v", "n"), "v").groupBy("at").agg(load.alias("blocks")))
     inside = members.select("v", "label", F.col("chunk").alias("at")).join(blocks, "at")
     inside = inside.select("v", "label", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"))
     outside = queries.join(members.select("v", "label"), "v").join(blocks, "at")
     outside = outside.select("v", "label", "at", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), F.lit(True).alias("asks"))
-    opened = inside.unionByName(outside).join(alive.select("v", "tokens"), "v")
+    blocks = common.stored(inside.unionByName(outside))
+    opened = blocks.join(common.matching(alive.select("v", "tokens"), "v", common.stored(blocks.select("v").distinct()), "v"), "v")
     return common.stored(opened.groupBy("at", "block").applyInPandas(_open(percent), "v long, leader long").filter("v != leader").distinct())
 
 
