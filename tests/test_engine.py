@@ -18,7 +18,7 @@ def values(df, column="value"):
 
 def test_errors():
     e = errors.DataError("bad", {"rows": 1})
-    assert "Context: rows=1" in str(e) and isinstance(e, errors.EngineError)
+    assert "[rows: 1]" in str(e) and isinstance(e, errors.EngineError)
     assert "x is not fitted" in str(errors.NotFittedError("x"))
 
 
@@ -268,3 +268,45 @@ def test_api_and_graph(make):
     assert api.network_metrics(g.edges, g.nodes).count() == 1 and api.graph_summary(g.edges, g.nodes, motifs=True).first()["motifs_3"]
     d = api.Graph(api.build_transition_network(df, 3), graph.nodes_of(df), directed=True)
     assert d.summary().first()["irreversibility"] >= 0 and d.in_degree_sequence().count() == 5
+
+
+def test_simulated_intervals_honour_coverage(make):
+    y = make({"a": [100 + (k * 7) % 13 for k in range(60)], "b": [50 + (k * 5) % 11 for k in range(60)]})
+    for f in (estimators.BlackScholesMonteCarloForecaster(400), estimators.MonteCarloForecaster(estimators.NaiveForecaster(), 400, noise_level=1.0)):
+        f.fit(y)
+        wide, slim = ({(r["series_id"], r["h"]): r for r in f.predict_interval(4, coverage=c).collect()} for c in (0.95, 0.5))
+        assert len(wide) == 8
+        for k in [k for k in wide if k[1] > 1]:
+            assert wide[k]["lower"] < slim[k]["lower"] < slim[k]["upper"] < wide[k]["upper"]
+
+
+def test_ensemble_plan_does_not_double(make):
+    y = make({"a": [float((k * k) % 17) for k in range(40)], "b": [float(k % 5) for k in range(40)], "short": [1.0, 2.0]})
+    made = estimators.EnsembleForecaster(n_estimators=3).fit(y).predict(12)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.splitlines()) < 400 and plan.count("Aggregate") <= 2
+    rows = sorted((r["series_id"], r["h"], r["t"]) for r in made.collect())
+    assert rows == [(s, h, 39 + h) for s in "ab" for h in range(1, 13)] + [("short", h, 1 + h) for h in range(1, 13) if any(r[0] == "short" for r in rows)]
+
+
+def test_nearest_vectors_in_blocks(spark):
+    """Blocked neighbours equal brute force for every number of blocks, without a nested loop join."""
+    import numpy as np
+
+    from tidalframe.operators import distances
+
+    x = np.random.default_rng(3).normal(size=(90, 5)).round(1)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for block in (7, 1000):
+        near = distances.nearest_vectors(df, "id", "vec", 4, block_rows=block)
+        got = {}
+        for r in near.collect():
+            got.setdefault(r["i"], []).append((round(r["d"], 9), r["j"]))
+        for i in range(90):
+            assert len(got[i]) == 4 and sorted(x for x, _ in got[i]) == sorted(round(d[i, j], 9) for j in range(90) if j != i)[:4]
+            assert all(round(d[i, j], 9) == x for x, j in got[i])
+        within = {(r["i"], r["j"]) for r in distances.vectors_within(df, "id", "vec", 1.55, block_rows=block).collect()}
+        assert within == {(i, j) for i in range(90) for j in range(90) if i != j and d[i, j] <= 1.55}
+        assert distances.distance_percentile(df, "id", "vec", 7.0, block_rows=block) == pytest.approx(np.percentile(d[np.triu_indices(90, 1)], 7.0))
+        assert "NestedLoop" not in near._jdf.queryExecution().executedPlan().toString()

@@ -6,8 +6,8 @@ from __future__ import annotations
 class EngineError(Exception):
     def __init__(self, message: str, context: dict | None = None):
         self.message, self.context = message, dict(context or {})
-        shown = ", ".join(f"{k}={v}" for k, v in self.context.items())
-        super().__init__(f"{message} (Context: {shown})" if shown else message)
+        shown = "; ".join(f"{k}: {v!r}" for k, v in self.context.items())
+        super().__init__(f"{message} [{shown}]" if shown else message)
 
 
 class ValidationError(EngineError, ValueError):
@@ -41,4 +41,4 @@ class NotFittedError(EngineError):
 
 class UnsupportedOperationError(EngineError):
     def __init__(self, operation: str, estimator_name: str, reason: str | None = None):
-        super().__init__(f"{estimator_name} does not support {operation}" + (f": {reason}" if reason else ""), {"operation": operation, "estimator": estimator_name})
+        super().__init__(f"no {operation} for a {estimator_name}" + (f", because {reason}" if reason else ""), {"operation": operation, "estimator": estimator_name})

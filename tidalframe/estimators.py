@@ -435,10 +435,13 @@ class BlackScholesMonteCarloForecaster(BaseForecaster):
     random_state: int = 0
 
     def predict(self, fh, X=None):
-        return simulate.bands(simulate.black_scholes(self._check_is_fitted(), fh, self.n_simulations, self.random_state), [ID, "h"])
+        return simulate.bands(self.paths(fh), [ID, "h"])
+
+    def paths(self, fh) -> DataFrame:
+        return simulate.black_scholes(self._check_is_fitted(), fh, self.n_simulations, self.random_state)
 
     def predict_interval(self, fh, X=None, coverage=0.9):
-        return self.predict(fh)
+        return simulate.interval(self.paths(fh), [ID, "h"], coverage)
 
 
 @dataclass
@@ -455,7 +458,8 @@ class MonteCarloForecaster(BaseForecaster):
         return simulate.monte_carlo(self._check_is_fitted(), self.base_forecaster.predict(fh), self.n_samples, self.noise_level, self.random_state)
 
     def predict_interval(self, fh, X=None, coverage=0.9):
-        return self.predict(fh)
+        samples = simulate.noisy(self._check_is_fitted(), self.base_forecaster.predict(fh), self.n_samples, self.noise_level, self.random_state)
+        return simulate.interval(samples, [ID, "h"], coverage)
 
 
 @dataclass
@@ -505,15 +509,20 @@ class EnsembleForecaster(BaseForecaster):
         self._model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), RandomForestClassifier(featuresCol="__x", labelCol="__up", predictionCol="__dir", probabilityCol="__pr", rawPredictionCol="__rw", **common), VectorAssembler(inputCols=["__x", "__dir"], outputCol="__y"), RandomForestRegressor(featuresCol="__y", labelCol="__next", predictionCol="__made", **common)]).fit(rows)
 
     def predict(self, fh, X=None):
-        y, made = self._check_is_fitted().select(ID, POS, VALUE), None
-        for h in range(1, fh + 1):
-            tail = y.withColumn("__n", F.max(POS).over(WHOLE)).filter(F.col(POS) > F.col("__n") - self.n_lags - 6).drop("__n")
-            last = self.features(tail).withColumn("__n", F.max(POS).over(WHOLE)).filter(F.col(POS) == F.col("__n")).drop("__n")
-            new = self._model.transform(last).select(ID, (F.col(POS) + 1).alias(POS), F.col("__made").alias(VALUE))
-            y = tail.unionByName(new)
-            step = new.select(ID, F.lit(h).alias("h"), POS, F.col(VALUE).alias("y_pred"))
-            made = step if made is None else made.unionByName(step)
-        return made
+        """One row a series holds its last values; each step appends to the array, so the plan grows by one model a step."""
+        keep = max(5, self.n_lags + 1)
+        rows = self._check_is_fitted().select(ID, POS, VALUE)
+        last = rows.withColumn("__n", F.max(POS).over(WHOLE)).filter(F.col(POS) > F.col("__n") - keep)
+        state = last.groupBy(ID).agg(F.max(POS).alias("__at"), F.transform(F.array_sort(F.collect_list(F.struct(POS, VALUE))), lambda p: p[VALUE]).alias("__v"))
+        back = lambda k: F.get("__v", F.size("__v") - 1 - k)
+        total = lambda k: F.aggregate(F.filter(F.slice("__v", F.greatest(F.lit(1), F.size("__v") - (k - 1)), k), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x)
+        seen = lambda k: F.size(F.filter(F.slice("__v", F.greatest(F.lit(1), F.size("__v") - (k - 1)), k), lambda x: x.isNotNull()))
+        made = {VALUE: back(0)} | {f"lag_{k}": back(k) for k in range(1, self.n_lags + 1)} | {"diff": back(0) - back(1), "ma_3": total(3) / seen(3), "ma_5": total(5) / seen(5)}
+        for _ in range(fh):
+            new = self._model.transform(state.select(ID, "__at", "__v", *[c.alias(n) for n, c in made.items()]).dropna(subset=list(made)))
+            state = new.select(ID, "__at", F.concat("__v", F.array("__made")).alias("__v"))
+        steps = state.select(ID, "__at", F.posexplode(F.slice("__v", F.size("__v") - (fh - 1), fh)).alias("__k", "y_pred"))
+        return steps.select(ID, (F.col("__k") + 1).alias("h"), (F.col("__at") + F.col("__k") + 1).alias(POS), "y_pred")
 
 
 # Detectors

@@ -47,9 +47,21 @@ def bands(paths: DataFrame, by: list[str], value: str = "price") -> DataFrame:
     return out.select(*by, "mean", "std", *[F.col("q")[k].alias(n) for k, n in enumerate(("p05", "p25", "p50", "p75", "p95"))])
 
 
+def interval(paths: DataFrame, by: list[str], coverage: float, value: str = "price") -> DataFrame:
+    """Mean of the simulations of each step, and the quantiles between which ``coverage`` of them lie."""
+    q = F.percentile(value, F.array(F.lit((1 - coverage) / 2), F.lit((1 + coverage) / 2)))
+    out = paths.groupBy(*by).agg(F.avg(value).alias("y_pred"), q.alias("q"))
+    return out.select(*by, "y_pred", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+
+
 def monte_carlo(df: DataFrame, forecasts: DataFrame, n_samples: int = 1000, noise_level: float | None = None, seed: int = 0) -> DataFrame:
-    """Forecasts with noise of ``noise_level`` population deviations of the series; all quantiles equal without."""
+    """Quantiles of ``noisy`` forecasts; all equal without noise."""
+    return bands(noisy(df, forecasts, n_samples, noise_level, seed), [ID, "h"])
+
+
+def noisy(df: DataFrame, forecasts: DataFrame, n_samples: int = 1000, noise_level: float | None = None, seed: int = 0) -> DataFrame:
+    """Forecasts with noise of ``noise_level`` population deviations of the series, one row (price) a sample."""
     spread = df.groupBy(ID).agg(F.stddev_pop(VALUE).alias("__sd"))
     many = forecasts.join(spread, ID).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     noise = F.lit(noise_level or 0.0) * F.col("__sd") * normal(seed, F.col(ID), F.col("sim"), F.col("h"))
-    return bands(many.withColumn("price", F.col("y_pred") + noise), [ID, "h"])
+    return many.withColumn("price", F.col("y_pred") + noise)

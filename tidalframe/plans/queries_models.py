@@ -1,4 +1,4 @@
-"""Queries over sequential models and random ones; rows only, tests hold the kernels."""
+"""Queries over sequential models and random ones; where SQL cannot hold them, tests hold the kernels."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from .. import frame
 from ..kernels import series
 from ..operators import detect, graph, models, simulate
 from . import backtest as bt
-from .catalog import query
+from .catalog import MONTHS, TYPES, query
 
-ID, POS = frame.ID, frame.POS
+ID, POS, VALUE = frame.ID, frame.POS, frame.VALUE
 
 
 def typed(spark, d):
@@ -51,7 +51,7 @@ def recurrent_forecast(spark, d):
 def ensemble_forecast(spark, d):
     from ..estimators import EnsembleForecaster
 
-    return EnsembleForecaster(n_estimators=5).fit(typed(spark, d)).predict(2)
+    return EnsembleForecaster(n_estimators=20).fit(typed(spark, d)).predict(7)
 
 
 @query()
@@ -61,7 +61,7 @@ def backtest_kalman(spark, d):
 
 @query()
 def bootstrap_intervals(spark, d):
-    return models.bootstrap_intervals(typed(spark, d), lambda y, h: series.holt_winters(y, h, "add"), 3, 20)
+    return models.bootstrap_intervals(typed(spark, d), lambda y, h: series.holt_winters(y, h, "add"), 3, 100)
 
 
 @query()
@@ -69,7 +69,7 @@ def monte_carlo_forecast(spark, d):
     from ..operators.forecast import naive
 
     e = typed(spark, d)
-    return simulate.monte_carlo(e, naive().predict(naive().fit(e), 3), 200, 1.0, 5)
+    return simulate.monte_carlo(e, naive().predict(naive().fit(e), 3), 1000, 1.0, 5)
 
 
 @query()
@@ -92,7 +92,14 @@ def butterworth_filter(spark, d):
     return models.butterworth(typed(spark, d)).select(ID, POS, "value")
 
 
-@query()
+_SAVGOL = (
+    f"WITH {TYPES}, n AS (SELECT series_id, max(t) AS last FROM e GROUP BY 1), w AS (SELECT a.series_id, a.t, least(greatest(a.t, 3), last - 3) AS mid, a.t - least(greatest(a.t, 3), last - 3) AS x FROM e a JOIN n USING (series_id)), "
+    "f AS (SELECT w.series_id, w.t, w.x, sum(b.value) AS s0, sum((b.t - w.mid) * b.value) AS s1, sum((b.t - w.mid) * (b.t - w.mid) * b.value) AS s2 FROM w JOIN e b ON b.series_id = w.series_id AND b.t BETWEEN w.mid - 3 AND w.mid + 3 GROUP BY 1, 2, 3) "
+    "SELECT series_id, t, round((s0 * 196 - s2 * 28) / 588 + x * s1 / 28 + x * x * (7 * s2 - 28 * s0) / 588, 6) AS value FROM f"
+)
+
+
+@query(_SAVGOL)
 def savitzky_golay(spark, d):
     return models.savitzky_golay(typed(spark, d), 7, 2).select(ID, POS, "value")
 
@@ -134,7 +141,7 @@ def metric_significance(spark, d):
 
         return float(np.corrcoef(y[:-1], y[1:])[0, 1])
 
-    return models.metric_significance(typed(spark, d), metric, count=40)
+    return models.metric_significance(typed(spark, d), metric, count=200)
 
 
 def _graph(spark, d):
@@ -142,7 +149,17 @@ def _graph(spark, d):
     return graph.visibility(e), graph.nodes_of(e)
 
 
-@query()
+_PATHS = (
+    f"WITH RECURSIVE {TYPES}, pr AS (SELECT a.series_id AS g, a.t AS src, b.t AS dst, (b.value - a.value) / (b.t - a.t) AS slope FROM e a JOIN e b ON a.series_id = b.series_id AND a.t < b.t), "
+    "vis AS (SELECT g, src, dst FROM (SELECT *, max(slope) OVER (PARTITION BY g, src ORDER BY dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM pr) WHERE top IS NULL OR slope > top), "
+    "nb AS (SELECT g, src AS a, dst AS b FROM vis UNION ALL SELECT g, dst, src FROM vis), "
+    "reach AS (SELECT series_id AS g, t AS s, t AS u, 0 AS hops FROM e UNION SELECT r.g, r.s, nb.b, r.hops + 1 FROM reach r JOIN nb ON nb.g = r.g AND nb.a = r.u WHERE r.hops < 12), "
+    "d AS (SELECT g, s, u, min(hops) AS hops FROM reach GROUP BY 1, 2, 3), far AS (SELECT g, s, max(hops) AS ecc FROM d GROUP BY 1, 2) "
+    "SELECT d.g, round(sum(hops) / count(*) FILTER (hops > 0), 6) AS avg_path, CAST(max(f.hi) AS DOUBLE) AS diameter, CAST(max(f.lo) AS DOUBLE) AS radius, round(max(f.sd), 6) AS eccentricity_std FROM d JOIN (SELECT g, max(ecc) AS hi, min(ecc) AS lo, stddev_pop(ecc) AS sd FROM far GROUP BY 1) f ON f.g = d.g GROUP BY 1"
+)
+
+
+@query(_PATHS)
 def path_lengths(spark, d):
     return models.path_lengths(*_graph(spark, d))
 
@@ -168,8 +185,18 @@ def graph_summary(spark, d):
     return graph.small_world(e, n, models.path_lengths(e, n)).select("g", "n_nodes", "n_edges", "density", "average", "avg_path", "assortativity", "sigma")
 
 
-@query()
+_WAVE = f"{MONTHS}, mw AS (SELECT series_id, t, value * 0.01 + 1000000 * cos(2 * pi() * t / 12) AS value FROM e), fw AS (SELECT series_id, regr_slope(value, t) AS b, regr_intercept(value, t) AS a FROM mw GROUP BY 1), g AS (SELECT series_id, t, value - a - b * t AS x FROM mw JOIN fw USING (series_id))"
+
+
+@query(
+    f"WITH {_WAVE}, s0 AS (SELECT series_id, sum(x * x) AS q FROM g GROUP BY 1), c AS (SELECT p.series_id, k.k, sum(p.x * g.x) / min(q) AS r FROM range(1, 25) k(k) JOIN g p ON TRUE JOIN g ON g.series_id = p.series_id AND g.t = p.t + k.k JOIN s0 ON s0.series_id = p.series_id GROUP BY 1, 2), "
+    "o AS (SELECT *, lag(r) OVER v AS before, lead(r) OVER v AS after FROM c WINDOW v AS (PARTITION BY series_id ORDER BY k)), f AS (SELECT series_id, min(k) AS period FROM o WHERE r >= 0.3 AND r > before AND r > after GROUP BY 1), "
+    "h AS (SELECT g.series_id, period, t % period AS ph, x FROM g JOIN f USING (series_id)), m AS (SELECT series_id, ph, avg(x) AS m FROM h GROUP BY 1, 2), z AS (SELECT series_id, ph, m - avg(m) OVER (PARTITION BY series_id) AS s FROM m) "
+    "SELECT h.series_id, CAST(period AS INT) AS period, round(var_pop(s) / var_pop(x), 6) AS strength FROM h JOIN z ON z.series_id = h.series_id AND z.ph = h.ph GROUP BY 1, 2"
+)
 def seasonal_period(spark, d):
     from ..operators.stats import detect_seasonality
 
-    return detect_seasonality(frame.orders_by_priority_month(spark, d), 24).select(ID, F.col("period").cast("int").alias("period"), "strength")
+    e = frame.orders_by_priority_month(spark, d)
+    wave = e.withColumn(VALUE, F.col(VALUE) * 0.01 + 1000000 * F.cos(2 * F.pi() * F.col(POS) / 12))
+    return detect_seasonality(wave, 24).select(ID, F.col("period").cast("int").alias("period"), "strength")
