@@ -7,7 +7,10 @@ byte; should different forms share one, the later forms get an ordinal appended.
 two fingerprints is 1 for equal forms and 0 otherwise.
 
 Null counts as the empty text. Rows with equal ids follow each other by their texts; a null id
-comes before all others. A single row is its own successor; an empty table gives none.
+comes before all others. A single row is its own successor; an empty table gives none. Repeated
+rows have equal fingerprints; whole texts are digested, however long; extra columns are not
+read. Forms are compared over the table; that the edited text of ``compare_edited`` shares a
+digest with another form of the table, a chance of 2 ** -128 for a pair, is not looked for.
 """
 
 import math
