@@ -3,7 +3,8 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again
 as the next stage's docs. All but the last return the columns of documents. Rows with null or
 empty texts: the quality stage scores them like any row; the join keeps one row of each id;
-the other stages keep them. An empty table passes all stages.
+the other stages keep them. Very long texts pass every stage whole. Repeated rows of one id
+leave one row in the join. An empty table passes all stages.
 """
 
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.llm import decontaminate, jaccard_join, pieces, pii, quality
-from tidalframe.llm.common import shared_folder, table
+from tidalframe.llm.common import discard, shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; a stage's folder goes once the next one is written, the last one stays for the caller."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
     return docs
