@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession, rows: int = 1000) -> None:
-    """Small Arrow batches: a batch holds whole texts, and a text can be very long."""
+def tune(spark: SparkSession, rows: int = 500) -> None:
+    """Small Arrow and Parquet batches: a batch holds whole texts or sets, and they can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:
