@@ -171,7 +171,7 @@ PASSAGES = [
     ("ssleay", "this product includes cryptographic software written by eric young"),
     ("ofl-1.1", "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects"),
     ("ofl-1.1", "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
-    ("ncsa", "neither the names of (?:the )?\\S{1,40} (?:\\S{1,40} ){0,6}nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("ncsa", "neither the names of (?:the )?\\S{1,40} (?:\\S{1,40} )?(?:\\S{1,40} )?(?:\\S{1,40} )?nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("ncsa", "university of illinois ncsa open source license"),
     ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain"),
     ("cc0-1.0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright"),
