@@ -63,7 +63,7 @@ correlation_distance, cross_correlation_distance = distances.correlation, distan
 dtw_distance, euclidean_distance, manhattan_distance = distances.dtw, distances.euclidean, distances.manhattan
 Graph, build_hvg, build_nvg = graph.Graph, graph.visibility, graph.visibility
 build_recurrence_network, build_transition_network, build_windows = graph.recurrence, graph.transitions, graph.build_windows
-net_knn, net_enn = graph.knn, graph.enn
+net_knn, net_enn = graph.net_knn, graph.net_enn
 compute_clustering, compute_path_lengths, compute_modularity = graph.clustering, models.path_lengths, models.modularity
 node_roles, directed_3node_motifs, undirected_4node_motifs = models.roles, graph.motifs3, models.motifs4
 generate_surrogate, compute_network_metric_significance = models.surrogates, models.metric_significance

@@ -4,15 +4,13 @@
 and one aggregation, whatever the number of pairs.
 """
 
-import math
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..frame import ID, POS, VALUE
+from . import neighbours
 
 
 def all_pairs(df: DataFrame) -> DataFrame:
@@ -79,104 +77,16 @@ def dtw(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("i", "j", run("x", "y").alias("distance"))
 
 
-def _blocks(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame | None, block_rows: int) -> DataFrame:
-    """Rows (q, r, asks, id, v): every block of queries meets every block of vectors in one group (q, r)."""
-    asking = vectors if queries is None else queries
-    counts = [max(1, -(-df.count() // block_rows)) for df in (asking, vectors)]
-    side = lambda df, own, n, asks: df.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(own), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(asks).alias("asks"))
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = side(asking, "q", counts[0], True).select("q", every(counts[1], "r"), "asks", "id", "v")
-    return left.unionByName(side(vectors, "r", counts[1], False).select(every(counts[0], "q"), "r", "asks", "id", "v"))
-
-
-def _met(pick):
-    """(i, j, d) of one pair of blocks; ``pick`` chooses from the distances (queries x vectors)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own, other = rows[rows["asks"]].sort_values("id"), rows[~rows["asks"]].sort_values("id")
-        if own.empty or other.empty:
-            return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": float})
-        a, b = np.stack(own["v"].to_numpy()), np.stack(other["v"].to_numpy())
-        square = np.zeros((len(a), len(b)))
-        for k in range(a.shape[1]):
-            square += (a[:, k, None] - b[None, :, k]) ** 2
-        i, j = own["id"].to_numpy(np.int64), other["id"].to_numpy(np.int64)
-        square[i[:, None] == j[None, :]] = np.inf
-        at, to = pick(square)
-        return pd.DataFrame({"i": i[at], "j": j[to], "d": np.sqrt(square[at, to])})
-
-    return run
-
-
-PAIRS = "i long, j long, d double"
-
-
-def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, k: int, queries: DataFrame | None = None, block_rows: int = 1000) -> DataFrame:
-    """(i, j, d): the k nearest other vectors of each query vector (all rows unless a set is given).
-
-    A pair of blocks sends its k nearest of each query, so no list of all pairs arises; of equal
-    distances the smaller id is nearer.
-    """
-
-    def pick(square):
-        near = np.argsort(square, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(square)), near.shape[1])
-        keep = np.isfinite(square[at, near.ravel()])
-        return at[keep], near.ravel()[keep]
-
-    found = _blocks(vectors, id_col, vector_col, queries, block_rows).groupBy("q", "r").applyInPandas(_met(pick), PAIRS)
-    return found.withColumn("__r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("__r") <= k).drop("__r")
-
-
-def vectors_within(vectors: DataFrame, id_col: str, vector_col: str, epsilon: float, queries: DataFrame | None = None, block_rows: int = 1000) -> DataFrame:
-    """(i, j, d): other vectors within epsilon of each query vector, found block by block."""
-    return _blocks(vectors, id_col, vector_col, queries, block_rows).groupBy("q", "r").applyInPandas(_met(lambda square: np.nonzero(np.sqrt(square) <= epsilon)), PAIRS)
-
-
-def _histogram(edges: np.ndarray):
-    """(bin, n) of the distances of pairs i < j between the edges, of one pair of blocks."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _met(lambda square: np.nonzero(np.isfinite(square)))(rows)
-        d = found[found["i"] < found["j"]]["d"].to_numpy()
-        d = d[(d >= edges[0]) & (d <= edges[-1])]
-        at = np.bincount(np.clip(np.searchsorted(edges, d, "right") - 1, 0, len(edges) - 2), minlength=len(edges) - 1)
-        used = np.flatnonzero(at)
-        return pd.DataFrame({"bin": used, "n": at[used]})
-
-    return run
-
-
-def distance_percentile(vectors: DataFrame, id_col: str, vector_col: str, percentile: float, bins: int = 4096, block_rows: int = 1000) -> float | None:
-    """Interpolated percentile of the distances of all pairs, exact: blocks count, and only a narrow bin is listed.
-
-    The bin that holds the rank is refined until it has at most a million pairs or a single value.
-    """
-    blocks = _blocks(vectors, id_col, vector_col, None, block_rows)
-    box = vectors.select(F.aggregate(F.transform(F.col(vector_col).cast("array<double>"), lambda x: x * x), F.lit(0.0), lambda s, x: s + x).alias("s")).agg(F.max("s"), F.count(F.lit(1))).first()
-    n = box[1] * (box[1] - 1)
-    if not n:
-        return None
-    low, high, before, rank = 0.0, 2 * math.sqrt(box[0]) + 1e-9, 0, percentile / 100 * (n // 2 - 1)
-    while True:
-        edges = np.linspace(low, high, bins + 1)
-
-        rows = {r["bin"]: r["n"] for r in blocks.groupBy("q", "r").applyInPandas(_histogram(edges), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
-        sums, first, last = before, None, None
-        for k in sorted(rows):
-            if first is None and sums + rows[k] > math.floor(rank):
-                first, start = k, sums
-            sums += rows[k]
-            if sums > math.ceil(rank):
-                last = k
-                break
-        last = max(rows) if last is None else last
-        held = sum(v for k, v in rows.items() if first <= k <= last)
-        low, high, before = float(edges[first]), float(edges[last + 1]), start
-        if held <= 1_000_000 or high - low < 1e-12:
-            break
-    inside = lambda square: np.nonzero((np.sqrt(square) >= low) & (np.sqrt(square) <= high))
-    listed = blocks.groupBy("q", "r").applyInPandas(_met(inside), PAIRS).filter("i < j").select("d").orderBy("d").limit(1_000_001).toPandas()["d"].to_numpy()
-    at = lambda k: float(listed[min(max(int(k) - before, 0), len(listed) - 1)])
-    floor = math.floor(rank)
-    return at(floor) + (rank - floor) * (at(math.ceil(rank)) - at(floor))
+def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, k: int, queries: DataFrame | None = None, block_rows: int = neighbours.BOX_ROWS) -> DataFrame:
+    """(i, j, d): the k nearest other vectors of each query vector (all rows unless a set is given); of equal distances the smaller id is nearer."""
+    return neighbours.nearest(vectors, id_col, vector_col, k, queries, block_rows)
+
+
+def vectors_within(vectors: DataFrame, id_col: str, vector_col: str, epsilon: float, queries: DataFrame | None = None, block_rows: int = neighbours.BOX_ROWS) -> DataFrame:
+    """(i, j, d): other vectors within epsilon of each query vector."""
+    return neighbours.within(vectors, id_col, vector_col, epsilon, queries, block_rows)
+
+
+def distance_percentile(vectors: DataFrame, id_col: str, vector_col: str, percentile: float, bins: int = 4096, block_rows: int = neighbours.BOX_ROWS) -> float | None:
+    """Interpolated percentile of the distances of all pairs, exact."""
+    return neighbours.percentile(vectors, id_col, vector_col, percentile, block_rows, bins)[0]

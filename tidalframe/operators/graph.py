@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..frame import ID, POS, VALUE, W
+from . import neighbours, sight
+
 
 def value() -> Column:
     return F.col(VALUE)
@@ -51,27 +53,24 @@ def build_windows(df: DataFrame, width: int, step: int = 1, method: str = "hvg",
 def visibility(df: DataFrame, weight: str | None = None, limit: int | None = None, horizontal: bool = False) -> DataFrame:
     """Edges between values that see each other.
 
-    Natural: the slope from i to j exceeds all slopes from i to values between. A window over
-    the pairs of i keeps the running maximum, so each pair is looked at once, not each triple.
-    Horizontal: all values between lie below both. ``limit`` bounds j - i, and then the pairs
-    of a series grow with its length instead of the square. weight: None, "difference"
-    (abs(y_j - y_i)) or "length" (of the line of sight).
+    Natural: the slope from i to j exceeds all slopes from i to values between. Horizontal: all
+    values between lie below both. ``limit`` bounds j - i and looks at that many rows; without
+    it, ``sight`` opens only blocks of a series that hold an edge or nearly so. Rows without a
+    value neither see nor hide. weight: None, "difference" (abs(y_j - y_i)) or "length" (of the
+    line of sight).
     """
-    a = df.select(F.col(ID).alias("g"), position().alias("src"), value().alias("yi"))
     if limit is None:
-        b = df.select(F.col(ID).alias("g"), position().alias("dst"), value().alias("yj"))
-        pairs = a.join(b, "g").filter(F.col("src") < F.col("dst"))
+        out = sight.edges(df, horizontal)
     else:
         near = F.collect_list(F.struct(position().alias("dst"), value().alias("yj"))).over(W.rowsBetween(1, limit))
         pairs = df.select(F.col(ID).alias("g"), position().alias("src"), value().alias("yi"), near.alias("near")).select("g", "src", "yi", F.explode("near").alias("x")).select("g", "src", "yi", "x.dst", "x.yj")
-    between = Window.partitionBy("g", "src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
-    if horizontal:
-        seen = F.max("yj").over(between)
-        ok = F.col("__top").isNull() | (F.col("__top") < F.least("yi", "yj"))
-    else:
-        seen = F.max((F.col("yj") - F.col("yi")) / (F.col("dst") - F.col("src"))).over(between)
-        ok = F.col("__top").isNull() | ((F.col("yj") - F.col("yi")) / (F.col("dst") - F.col("src")) > F.col("__top"))
-    out = pairs.withColumn("__top", seen).filter(ok)
+        between = Window.partitionBy("g", "src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
+        if horizontal:
+            seen, ok = F.max("yj").over(between), F.col("__top") < F.least("yi", "yj")
+        else:
+            slope = (F.col("yj") - F.col("yi")) / (F.col("dst") - F.col("src"))
+            seen, ok = F.max(slope).over(between), slope > F.col("__top")
+        out = pairs.filter(F.col("yi").isNotNull() & F.col("yj").isNotNull()).withColumn("__top", seen).filter(F.col("__top").isNull() | ok)
     weights = {None: F.lit(1.0), "difference": F.abs(F.col("yj") - F.col("yi")), "length": F.sqrt(F.pow(F.col("dst") - F.col("src"), 2) + F.pow(F.col("yj") - F.col("yi"), 2))}
     return out.select("g", "src", "dst", weights[weight].alias("weight"))
 
@@ -201,18 +200,27 @@ def knn(distances: DataFrame, k: int, mutual: bool = False, weighted: bool = Fal
     return ends.filter(F.col("s") > 0).select("src", "dst", (F.col("s") / 2).alias("weight"))
 
 
-def enn(distances: DataFrame, epsilon: float | None = None, percentile: float | None = None, weighted: bool = False) -> DataFrame:
-    """Edges within epsilon, or within a percentile of all pair distances (i < j)."""
-    half = distances.filter(F.col("i") < F.col("j"))
+def enn(distances: DataFrame, epsilon: float, weighted: bool = False) -> DataFrame:
+    """Edges within epsilon of (i, j, d)."""
+    near = distances.filter((F.col("i") < F.col("j")) & (F.col("d") <= epsilon))
+    near = near.filter(F.col("d") > 0) if weighted else near
+    return near.select(F.col("i").alias("src"), F.col("j").alias("dst"), (F.col("d") if weighted else F.lit(1.0)).alias("weight"))
+
+
+def net_knn(vectors: DataFrame, id_col: str, vector_col: str, k: int, mutual: bool = False, weighted: bool = False) -> DataFrame:
+    """The k-nearest-neighbour graph of a table of vectors, by an exact index."""
+    return knn(neighbours.nearest(vectors, id_col, vector_col, k), k, mutual, weighted)
+
+
+def net_enn(vectors: DataFrame, id_col: str, vector_col: str, epsilon: float | None = None, percentile: float | None = None, weighted: bool = False) -> DataFrame:
+    """The graph of vectors within epsilon, or within a percentile of all pair distances, by an exact index."""
+    index = None
     if epsilon is None:
         if percentile is None:
             raise ValidationError("epsilon or percentile is needed")
-        limit = half.agg(F.percentile("d", F.lit(percentile / 100)).alias("eps"))
-        near = half.join(F.broadcast(limit)).filter(F.col("d") <= F.col("eps"))
-    else:
-        near = half.filter(F.col("d") <= epsilon)
-    near = near.filter(F.col("d") > 0) if weighted else near
-    return near.select(F.col("i").alias("src"), F.col("j").alias("dst"), (F.col("d") if weighted else F.lit(1.0)).alias("weight"))
+        epsilon, index = neighbours.percentile(vectors, id_col, vector_col, percentile)
+    near = neighbours.within(vectors, id_col, vector_col, 0.0 if epsilon is None else epsilon, index=index)
+    return enn(near, 0.0 if epsilon is None else epsilon, weighted)
 
 
 def in_windows(df: DataFrame, width: int, step: int = 1) -> DataFrame:

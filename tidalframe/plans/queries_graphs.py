@@ -120,16 +120,13 @@ _VECTORS = "q AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transf
 
 @query(f"WITH {_VECTORS}, k AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS n FROM q) WHERE n <= 5), u AS (SELECT least(i, j) AS src, greatest(i, j) AS dst, count(*) AS c FROM k GROUP BY 1, 2) SELECT src, dst, c / 2.0 AS weight, c = 2 AS mutual FROM u")
 def knn_graph(spark, d):
-    rows = distances.nearest_vectors(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", 5)
-    both = graph.knn(rows, 5)
+    both = graph.net_knn(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", 5)
     return both.withColumn("mutual", F.col("weight") == 1.0)
 
 
 @query(f"WITH {_VECTORS}, h AS (SELECT * FROM q WHERE i < j), l AS (SELECT quantile_cont(d, 0.01) AS eps FROM h) SELECT i AS src, j AS dst, {r('d', 'weight')} FROM h, l WHERE d <= eps")
 def enn_graph(spark, d):
-    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
-    epsilon = distances.distance_percentile(vectors, "vec_id", "embedding", 1.0) or 0.0
-    return graph.enn(distances.vectors_within(vectors, "vec_id", "embedding", epsilon), epsilon=epsilon, weighted=True)
+    return graph.net_enn(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding", percentile=1.0, weighted=True)
 
 
 _BINS = f"{TYPES}, m AS (SELECT series_id, min(value) AS lo, max(value) + 1e-10 AS hi FROM e GROUP BY 1), b AS (SELECT e.series_id, t, least(3, floor((value - lo) / ((hi - lo) / 4))) AS b, lag(least(3, floor((value - lo) / ((hi - lo) / 4)))) OVER (PARTITION BY e.series_id ORDER BY t) AS p FROM e JOIN m USING (series_id)), k AS (SELECT x.series_id AS x, y.series_id AS y, y.b AS yt, y.p AS yp, x.p AS xp FROM b x JOIN b y ON x.t = y.t AND x.series_id <> y.series_id WHERE x.p IS NOT NULL)"
