@@ -89,3 +89,45 @@ def test_neighbours_open_few_boxes(spark):
     assert len(pairs) == (d <= 3).sum()
     assert neighbours.percentile(df, "id", "vec", 20.0, box_rows=100)[0] == pytest.approx(np.percentile(d[np.triu_indices(len(x), 1)], 20.0))
     assert neighbours.nearest(df.limit(0), "id", "vec", 3).isEmpty() and neighbours.percentile(df.limit(0), "id", "vec", 5.0)[0] is None
+
+
+def states_of(y: np.ndarray, dimension: int) -> np.ndarray:
+    return np.stack([y[k : len(y) - dimension + 1 + k] for k in range(dimension)], axis=1)
+
+
+@pytest.mark.parametrize(("dimension", "metric"), [(2, "manhattan"), (4, "euclidean")])
+def test_recurrence_by_grid(make, dimension, metric):
+    """Thresholds, percentiles and neighbours against all pairs; ties, a constant series and a short one."""
+    random = np.random.default_rng(5)
+    cases = {"noise": random.standard_normal(150), "ties": random.integers(0, 3, 90).astype(float), "flat": np.zeros(12), "far": np.append(random.standard_normal(60), [1e3, -1e3, 2e3]), "short": np.ones(2)}
+    panel = make(cases)
+    edges = {name: graph.recurrence(panel, dimension=dimension, metric=metric, **how).toPandas() for name, how in {"threshold": {"threshold": 0.5}, "percentile": {}, "mutual": {"k": 3}, "either": {"k": 3, "mode": "either"}}.items()}
+    for g, y in cases.items():
+        if len(y) < dimension:
+            continue
+        x = states_of(y, dimension)
+        diff = x[:, None] - x[None]
+        d = np.abs(diff).sum(2) if metric == "manhattan" else np.sqrt((diff * diff).sum(2))
+        upper = np.triu(np.ones_like(d, bool), 1)
+        kth = np.array([np.sort(np.delete(row, i))[2] if len(row) > 3 else -1.0 for i, row in enumerate(d)])
+        eps = np.percentile(d[d > 0], 10) if (d > 0).any() else -1.0
+        want = {"threshold": d <= 0.5, "percentile": d <= eps * (1 + 1e-12), "mutual": (d <= kth[:, None]) & (d <= kth[None]), "either": (d <= kth[:, None]) | (d <= kth[None])}
+        for name, near in want.items():
+            own = edges[name][edges[name]["g"] == g]
+            assert sorted(zip(own["src"], own["dst"], strict=True)) == sorted(zip(*map(lambda v: v.tolist(), np.nonzero(near & upper)), strict=True)), (g, name)
+
+
+def test_recurrence_looks_at_near_states_only(spark):
+    """20,000 rows in one series: pairs that meet follow the pairs that are near, and no join is on the series alone."""
+    from pyspark.sql import functions as F
+
+    from tidalframe.operators import grid
+
+    n = 20_000
+    y = np.random.default_rng(6).uniform(0, 1, n)
+    states = spark.createDataFrame(pd.DataFrame({"g": "a", "p": np.arange(n), "v": y})).select("g", "p", F.array("v").alias("e"))
+    near = grid.met(states.withColumn("radius", F.lit(1e-4)), states, "euclidean", 1, True)
+    s = np.sort(y)
+    assert near.count() == (np.searchsorted(s, s + 1e-4, "right") - np.arange(n) - 1).sum()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "c0" in plan

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..frame import ID, POS, VALUE, W
-from . import neighbours, sight
+from ..stages import stored
+from . import grid, neighbours, sight
 
 
 def value() -> Column:
@@ -77,24 +78,21 @@ def visibility(df: DataFrame, weight: str | None = None, limit: int | None = Non
 
 def recurrence(df: DataFrame, threshold: float | None = None, dimension: int = 1, delay: int = 1, metric: str = "euclidean", k: int | None = None, mode: str = "mutual") -> DataFrame:
     """Edges between near states of the delay embedding: within ``threshold`` (default the 10th
-    percentile of all nonzero distances), or among the k nearest, of both states or of one."""
+    percentile of all nonzero distances), or among the k nearest, of both states or of one.
+
+    States meet through a grid, so distant states are never paired.
+    """
     lagged = df.select(F.col(ID).alias("g"), position().alias("p"), F.array(*[F.lead(value(), d * delay).over(W) for d in range(dimension)]).alias("e"))
-    states = lagged.filter(~F.exists("e", lambda x: x.isNull()))
-    a, b = states.select("g", F.col("p").alias("src"), F.col("e").alias("x")), states.select("g", F.col("p").alias("dst"), F.col("e").alias("y"))
-    diff = F.zip_with("x", "y", lambda p, q: p - q)
-    d = F.aggregate(diff, F.lit(0.0), lambda s, v: s + F.abs(v)) if metric == "manhattan" else F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, v: s + v * v))
-    pairs = a.join(b, "g").filter(F.col("src") < F.col("dst")).select("g", "src", "dst", d.alias("d"))
+    states = stored(lagged.filter(~F.exists("e", lambda x: x.isNull())))
     if k is None:
-        if threshold is not None:
-            return pairs.filter(F.col("d") <= threshold).select("g", "src", "dst", F.col("d").alias("weight"))
-        # The percentile counts each pair twice, as a full distance matrix does.
-        limits = pairs.filter(F.col("d") > 0).withColumn("__twice", F.explode(F.array(F.lit(1), F.lit(2)))).groupBy("g").agg(F.percentile("d", F.lit(0.1)).alias("eps"))
-        return pairs.join(limits, "g").filter(F.col("d") <= F.col("eps")).select("g", "src", "dst", F.col("d").alias("weight"))
-    both = pairs.select("g", F.col("src").alias("p"), "d").unionByName(pairs.select("g", F.col("dst").alias("p"), "d"))
-    nth = both.withColumn("r", F.row_number().over(Window.partitionBy("g", "p").orderBy("d"))).filter(F.col("r") == k).select("g", "p", F.col("d").alias("lim"))
-    near = pairs.join(nth.select("g", F.col("p").alias("src"), F.col("lim").alias("l1")), ["g", "src"]).join(nth.select("g", F.col("p").alias("dst"), F.col("lim").alias("l2")), ["g", "dst"])
-    limit = F.least("l1", "l2") if mode == "mutual" else F.greatest("l1", "l2")
-    return near.filter(F.col("d") <= limit).select("g", "src", "dst", F.col("d").alias("weight"))
+        if threshold is None:
+            near = grid.low_percentile(states, dimension, metric)
+        else:
+            near = grid.met(states.withColumn("radius", F.lit(float(threshold))), states, metric, dimension, True).select("g", F.col("p").alias("src"), F.col("q").alias("dst"), "d")
+        return near.select("g", "src", "dst", F.col("d").alias("weight"))
+    near = grid.nearest(states, dimension, metric, k)
+    ends = near.groupBy("g", F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).agg(F.count(F.lit(1)).alias("c"), F.max("d").alias("weight"))
+    return ends.filter(F.col("c") >= (2 if mode == "mutual" else 1)).select("g", "src", "dst", "weight")
 
 
 def symbols(df: DataFrame, n_bins: int = 10, ordinal: int | None = None) -> DataFrame:
