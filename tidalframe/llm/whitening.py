@@ -4,7 +4,7 @@ The range finder multiplies a random block of ``components + oversample`` column
 covariance, pass after pass over all centred rows; each pass is one map over the rows, whose
 partial products are summed by a shuffle. Rayleigh-Ritz in the block's span gives components
 and, at no further cost, their residuals. A component counts as found if its residual is below
-``TOLERANCE`` of its gap to the next Ritz values; if one of those asked for is not found after
+``TOLERANCE`` of its gap to the next Ritz values, or no more than rounding; if one of those asked for is not found after
 ``passes``, the block is expanded to an orthonormal basis of the full dimension, and
 Rayleigh-Ritz on it is exact to double precision. The driver holds matrices of the dimension
 alone, up to ``MAX_DIMENSION``.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SCALE, SHIFT = 64, 1_000_000
-#: Residual over gap at which a component is taken as found: rounding stays about there.
+#: Residual over gap at which a component is taken as found.
 TOLERANCE = 1e-13
 MAX_DIMENSION = 8192
 
@@ -127,7 +127,8 @@ def found(values: np.ndarray, residuals: np.ndarray, wanted: int) -> bool:
     """Whether the first ``wanted`` Ritz vectors are eigenvectors to double precision."""
     gaps = np.abs(np.diff(values))
     near = np.minimum(np.append(np.inf, gaps[: wanted - 1]), gaps[:wanted]) if len(gaps) >= wanted else np.zeros(wanted)
-    return bool((residuals[:wanted] <= TOLERANCE * near).all())
+    rounding = 16 * np.finfo(float).eps * abs(values[0])
+    return bool((residuals[:wanted] <= np.maximum(TOLERANCE * near, rounding)).all())
 
 
 def principal(rows: DataFrame, centre: Centre, components: int, oversample: int, passes: int, seed: int) -> tuple[np.ndarray, np.ndarray, float, bool]:
