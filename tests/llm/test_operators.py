@@ -681,6 +681,32 @@ def test_pii_long_entities_and_open_collisions(spark, monkeypatch):
         pii.collision_free_width(many, limit=2)
 
 
+def test_pii_hostile_texts(spark):
+    """1 MB of near matches for each kind of entity: no recursion without bound, no quadratic search, and the entity behind them goes."""
+    import time
+
+    million = 1_000_000
+    hostile = {
+        "labels": "x@" + "a." * (million // 2) + "com",
+        "octets": "1." * (million // 2),
+        "groups": "DE12 " + "AB12 " * (million // 5),
+        "digits": "1-" * (million // 2),
+        "blanks": "1 " * (million // 2),
+        "plus": "+1 (" * (million // 4),
+        "titles": "Dr. A" * (million // 5),
+        "capitals": "A’" * (million // 2),
+        "keys": "sk-" * (million // 3),
+        "token": "token= " * (million // 7),
+    }
+    tail = " write to jane.roe@example.org now"
+    df = spark.createDataFrame([(k, v + tail) for k, v in enumerate(hostile.values())], "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: r["text"] for r in pii.replace_in_place(df).collect()}
+    assert time.time() - start < 240
+    for k, name in enumerate(hostile):
+        assert "jane.roe@example.org" not in got[k], name
+
+
 def test_pii_feistel_is_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert df.select(F.expr(pii.feistel("d", "k", "x")).alias("s")).distinct().count() == 1000
