@@ -131,3 +131,82 @@ def test_recurrence_looks_at_near_states_only(spark):
     assert near.count() == (np.searchsorted(s, s + 1e-4, "right") - np.arange(n) - 1).sum()
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "c0" in plan
+
+
+def test_theil_sen_by_counts(make, monkeypatch):
+    """Small blocks, buckets and lists: medians of all slopes of noise, ties, lines, walks, gaps and short series."""
+    from tidalframe.operators import slopes, stats
+
+    for name, value in (("SHORT", 20), ("BLOCK_ROWS", 40), ("LISTED", 150), ("SAMPLED", 40)):
+        monkeypatch.setattr(slopes, name, value)
+    random, n = np.random.default_rng(7), 300
+    cases = {"noise": random.standard_normal(n), "ties": random.integers(0, 3, n).astype(float), "line": np.arange(n) * 2.5, "trend": np.arange(n) * 0.1 + random.standard_normal(n), "walk": random.standard_normal(n).cumsum() * 1e4, "flat": np.ones(n), "short": np.array([3.0, 1.0, 7.0])}
+    cases["gaps"] = np.where(random.random(n) < 0.3, np.nan, random.standard_normal(n))
+    got = {r["series_id"]: r["slope"] for r in stats.detect_trend(make({k: [None if np.isnan(x) else x for x in v] for k, v in cases.items()}), "theil_sen").collect()}
+    for k, y in cases.items():
+        t = np.flatnonzero(~np.isnan(y))
+        i, j = np.triu_indices(len(t), 1)
+        want = np.median((y[t[j]] - y[t[i]]) / (t[j] - t[i]))
+        assert got[k] == pytest.approx(want, rel=1e-9, abs=1e-11), k
+
+
+def test_theil_sen_of_one_long_series(spark):
+    """100,000 rows in one series, five billion slopes: the median has half of them on either side."""
+    from tidalframe.operators import slopes, stats
+
+    n = 100_000
+    y = 0.001 * np.arange(n) + np.random.default_rng(8).standard_normal(n)
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "a", "t": np.arange(n), "value": y}))
+    slope = stats.detect_trend(df, "theil_sen").first()["slope"]
+    at_most = slopes.inversions(y - np.nextafter(slope, 1) * np.arange(n))
+    assert abs(at_most - n * (n - 1) // 4) <= 2 and abs(slope - 0.001) < 1e-6
+    few = np.random.default_rng(9).integers(0, 5, 60).astype(float)
+    assert slopes.inversions(few) == sum(few[j] <= few[i] for i in range(60) for j in range(i + 1, 60))
+
+
+def test_vector_autoregression_with_gaps(make):
+    """Moments are taken where both values exist; a short series and gaps take nothing else away."""
+    from tidalframe.operators import moments
+
+    random, n, k = np.random.default_rng(10), 200, 3
+    y = np.zeros((n, k))
+    for t in range(1, n):
+        y[t] = [1, 2, 3] + y[t - 1] @ np.array([[0.5, 0.2, 0], [0, 0.4, 0.3], [0.1, 0, 0.3]]) + random.standard_normal(k)
+    y[random.random((n, k)) < 0.1] = np.nan
+    y[150:, 2] = np.nan
+    y[-1, :2] = [1.5, 2.5]
+    got = moments.vector_autoregression(make({f"s{i}": [None if np.isnan(v) else v for v in y[:, i]] for i in range(k)}), 3, difference=False, lag=1).toPandas().sort_values(["h", "series_id"])
+    mean = np.nanmean(y, axis=0)
+    z = y - mean
+    x = np.column_stack([np.ones(n - 1), z[1:], z[:-1]])
+    m = np.array([[np.nanmean(x[:, a] * x[:, b]) for b in range(7)] for a in range(7)])
+    at = [0, 4, 5, 6]
+    coef = np.linalg.solve(m[np.ix_(at, at)], m[np.ix_(at, [1, 2, 3])])
+    state, made = np.nan_to_num(z[-1]), []
+    for _ in range(3):
+        state = np.append(1.0, state) @ coef
+        made.append(state + mean)
+    assert np.allclose(got["y_pred"].to_numpy().reshape(3, k), made)
+    spread = np.sqrt(np.diag(m[1:4, 1:4] - coef.T @ m[np.ix_(at, [1, 2, 3])]))
+    assert np.allclose((got["upper"] - got["y_pred"]).to_numpy().reshape(3, k), 1.6448536 * spread)
+
+
+def test_unit_roots_by_moments(make):
+    """Dickey-Fuller by regression of each series, nulls left out; too short a series is said to be so."""
+    from tidalframe.operators import moments
+
+    random = np.random.default_rng(11)
+    cases = {"noise": random.standard_normal(150) + 1e4, "walk": random.standard_normal(150).cumsum(), "short": np.ones(5)}
+    rows = {r["series_id"]: r for r in moments.stationarity(make({k: [*v.tolist(), None] for k, v in cases.items()})).collect()}
+    assert rows["short"]["conclusion"] == "insufficient_data" and rows["noise"]["conclusion"] == "stationary" and rows["walk"]["adf_p"] > 0.05
+    for k in ("noise", "walk"):
+        y, best = cases[k] - cases[k].mean(), None
+        dy, top = np.diff(y), int(12 * (len(y) / 100) ** 0.25)
+        for lag in range(top + 1):
+            x = np.column_stack([np.ones(len(dy) - top), y[top:-1], *[dy[top - i : len(dy) - i] for i in range(1, lag + 1)]])
+            coef, r = np.linalg.lstsq(x, dy[top:], rcond=None)[0], None
+            r = dy[top:] - x @ coef
+            aic = len(r) * np.log(r @ r / len(r)) + 2 * x.shape[1]
+            if best is None or aic < best[0]:
+                best = (aic, coef[1] / np.sqrt(r @ r / (len(r) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1]))
+        assert rows[k]["adf"] == pytest.approx(best[1], rel=1e-6)

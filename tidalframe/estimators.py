@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .base import BaseDetector, BaseFeaturizer, BaseForecaster, BaseTransformer
 from .frame import ID, POS, TIME, VALUE, WHOLE, W, validate_forecast_horizon
 from .functions import columns
-from .operators import causal, clean, detect, forecast, graph, models, simulate, stats
+from .operators import causal, clean, detect, forecast, graph, models, moments, simulate, stats
 
 KEYS = (ID, POS, TIME)
 
@@ -399,9 +399,10 @@ class ARIMAForecaster(KernelForecaster):
 class VARForecaster(KernelForecaster):
     maxlags: int = 10
     ic: str = "aic"
+    force_differencing: bool = False
 
     def run(self, y, fh, coverage):
-        return models.vector_autoregression(y, fh, self.maxlags, self.ic, coverage)
+        return moments.vector_autoregression(y, fh, self.maxlags, self.ic, coverage, difference=True if self.force_differencing else None)
 
 
 @dataclass

@@ -108,3 +108,11 @@ def degradation(periods: list[int], filled: str = "__filled") -> dict[str, Colum
         zero = F.when(now > 0, INF).when(now < 0, -INF)
         out[f"degradation_rate_{k}"] = F.when(before == 0, zero).otherwise(now / F.nullif(before, F.lit(0.0)) - 1)
     return out
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation as an aggregate; null if one side is constant, where ``corr`` divides by zero under ANSI rules."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))

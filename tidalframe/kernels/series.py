@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from .special import between, normal_quantile
+from .special import normal_quantile
 
 
 def finite(rows: pd.DataFrame, position: str = "t", value: str = "value") -> pd.DataFrame:
@@ -188,61 +188,6 @@ def arima(y, fh: int, max_p: int = 3, max_d: int = 1, max_q: int = 2, coverage:
     return np.stack([made, made - half, made + half], 1), (p, d, q)
 
 
-def adf(y, max_lag: int | None = None) -> dict[str, float]:
-    """Augmented Dickey-Fuller with a constant; the lag of the least AIC."""
-    y = np.asarray(y, float)
-    dy, best = np.diff(y), None
-    max_lag = int(12 * (len(y) / 100) ** 0.25) if max_lag is None else max_lag
-    max_lag = max(0, min(max_lag, len(dy) // 2 - 2))
-    for lag in range(max_lag + 1):
-        target = dy[max_lag:]
-        x = np.column_stack([np.ones(len(target)), y[max_lag:-1], *[dy[max_lag - i : len(dy) - i] for i in range(1, lag + 1)]])
-        coef = np.linalg.lstsq(x, target, rcond=None)[0]
-        r = target - x @ coef
-        s2 = r @ r / max(1, len(r) - x.shape[1])
-        se = np.sqrt(max(s2 * np.linalg.pinv(x.T @ x)[1, 1], 1e-300))
-        aic = len(r) * np.log(max(r @ r / len(r), 1e-300)) + 2 * x.shape[1]
-        if best is None or aic < best[0]:
-            best = (aic, coef[1] / se, lag)
-    p = between(best[1], [(-5.0, 0.0005), (-3.43, 0.01), (-2.862, 0.05), (-2.567, 0.10), (-1.57, 0.50), (-0.44, 0.90), (0.23, 0.975), (2.0, 0.999)])
-    return {"statistic": float(best[1]), "p_value": p, "lag": best[2]}
-
-
-def kpss(y) -> dict[str, float]:
-    """Level stationarity; Bartlett weights over int(4 (n / 100) ** 0.25) lags."""
-    r = np.asarray(y, float) - np.mean(y)
-    n, lags = len(r), int(4 * (len(y) / 100) ** 0.25)
-    s2 = r @ r / n + 2 * sum((1 - k / (lags + 1)) * (r[k:] @ r[:-k]) for k in range(1, lags + 1)) / n
-    stat = float((r.cumsum() ** 2).sum() / (n**2 * max(s2, 1e-300)))
-    return {"statistic": stat, "p_value": between(stat, [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)])}
-
-
-def var_forecast(table: np.ndarray, fh: int, max_lags: int = 10, criterion: str = "aic", coverage: float = 0.9) -> tuple[np.ndarray, np.ndarray, int]:
-    """Vector autoregression of the columns: (forecasts, half widths, lag). Unit roots are differenced away."""
-    y = np.asarray(table, float)
-    differenced = any(adf(c)["p_value"] > 0.05 for c in y.T)
-    z = np.diff(y, axis=0) if differenced else y
-    k, best = z.shape[1], None
-    top = max(1, min(max_lags, (len(z) - 2) // (k + 1) - 1))
-    for lag in range(1, top + 1):
-        x = np.hstack([np.ones((len(z) - top, 1)), *[z[top - i : len(z) - i] for i in range(1, lag + 1)]])
-        coef = np.linalg.lstsq(x, z[top:], rcond=None)[0]
-        r = z[top:] - x @ coef
-        n, terms = len(r), k * (k * lag + 1)
-        logdet = np.linalg.slogdet(r.T @ r / n + 1e-12 * np.eye(k))[1]
-        value = {"aic": logdet + 2 * terms / n, "bic": logdet + np.log(n) * terms / n, "hqic": logdet + 2 * np.log(np.log(n)) * terms / n, "fpe": logdet + k * np.log((n + k * lag + 1) / max(1, n - k * lag - 1))}[criterion]
-        if best is None or value < best[0]:
-            best = (value, lag, coef, r)
-    _, lag, coef, r = best
-    rows = list(z)
-    for _ in range(fh):
-        rows.append(np.concatenate([[1.0], *[rows[-i] for i in range(1, lag + 1)]]) @ coef)
-    made = np.array(rows[-fh:])
-    if differenced:
-        made = y[-1] + made.cumsum(axis=0)
-    return made, np.tile(normal_quantile(0.5 + coverage / 2) * r.std(axis=0), (fh, 1)), lag
-
-
 def butterworth(y, cutoff: float = 0.1, order: int = 4, kind: str = "low") -> np.ndarray:
     """Zero-phase low or high pass; cutoff in cycles a sample, below 0.5. Sections run both ways."""
     y = np.asarray(y, float)

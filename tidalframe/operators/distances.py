@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..frame import ID, POS, VALUE
+from ..functions.columns import correlation as pearson
 from . import neighbours
 
 
@@ -47,7 +48,7 @@ def ranked(df: DataFrame) -> DataFrame:
 def correlation(df: DataFrame, pairs: DataFrame, method: str = "pearson", absolute: bool = False) -> DataFrame:
     if method not in ("pearson", "spearman"):
         raise ValidationError("unknown correlation", {"method": method})
-    r = F.corr("x", "y")
+    r = pearson("x", "y")
     r = F.abs(r) if absolute else r
     return matched(ranked(df) if method == "spearman" else df, pairs).groupBy("i", "j").agg(F.sqrt(F.greatest(F.lit(0.0), 2 * (1 - r))).alias("distance"))
 

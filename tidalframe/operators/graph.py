@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..frame import ID, POS, VALUE, W
+from ..functions.columns import correlation
 from ..stages import stored
 from . import grid, neighbours, sight
 
@@ -169,7 +170,7 @@ def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def assortativity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     d = degrees(edges, nodes)
     ends = both_ways(edges).join(d.select("g", F.col("node").alias("src"), F.col("degree").alias("x")), ["g", "src"]).join(d.select("g", F.col("node").alias("dst"), F.col("degree").alias("y")), ["g", "dst"])
-    return ends.groupBy("g").agg(F.corr("x", "y").alias("assortativity"))
+    return ends.groupBy("g").agg(correlation("x", "y").alias("assortativity"))
 
 
 def motifs3(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..frame import ID, POS, VALUE, WHOLE
 from ..kernels import graphs, series
 from ..kernels.special import normal_two_sided, t_two_sided
+from .moments import stationarity
 
 BAND = f"{ID} string, h int, {POS} long, y_pred double, lower double, upper double"
 
@@ -62,19 +63,6 @@ def recurrent(df: DataFrame, fh: int, lookback: int = 12, hidden: int = 64, seed
     return forecast(df, lambda y, h: series.reservoir_forecast(y, h, lookback, hidden, seed), fh)
 
 
-def vector_autoregression(df: DataFrame, fh: int, max_lags: int = 10, criterion: str = "aic", coverage: float = 0.9, system: str | None = None) -> DataFrame:
-    """All series of a system (all, or equal values of ``system``) as one vector model, aligned by position."""
-    rows = df.select((F.col(system) if system else F.lit("all")).cast("string").alias("__g"), ID, POS, VALUE)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot_table(index=POS, columns=ID, values=VALUE).dropna().sort_index()
-        made, half, _ = series.var_forecast(wide.to_numpy(float), fh, max_lags, criterion, coverage)
-        h = np.repeat(np.arange(1, fh + 1), wide.shape[1])
-        return pd.DataFrame({ID: np.tile(wide.columns.to_numpy(), fh), "h": h, POS: wide.index.max() + h, "y_pred": made.ravel(), "lower": (made - half).ravel(), "upper": (made + half).ravel()})
-
-    return rows.groupBy("__g").applyInPandas(run, BAND)
-
-
 def along(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], out: str = VALUE) -> DataFrame:
     """A column with one number a row from a kernel over the finite values of the series."""
 
@@ -137,22 +125,6 @@ def remove_outliers_isolation(df: DataFrame, contamination: float = 0.1, window:
     return rows.filter(F.col("__s") <= F.col("__cut")).drop("__s", "__cut")
 
 
-def stationarity(df: DataFrame, significance: float = 0.05) -> DataFrame:
-    """ADF and KPSS of each series and what both say together."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = series.finite(rows)
-        y = own[VALUE].to_numpy(float)
-        if len(y) < 10:
-            return pd.DataFrame({ID: rows[ID].iloc[:1], "conclusion": "insufficient_data"}).reindex(columns=[ID, "adf", "adf_p", "kpss", "kpss_p", "conclusion"])
-        a, k = series.adf(y), series.kpss(y)
-        one, two = a["p_value"] < significance, k["p_value"] > significance
-        word = "stationary" if one and two else "non_stationary" if not one and not two else "inconclusive"
-        return pd.DataFrame({ID: own[ID].iloc[:1], "adf": a["statistic"], "adf_p": a["p_value"], "kpss": k["statistic"], "kpss_p": k["p_value"], "conclusion": word})
-
-    return df.select(ID, POS, VALUE).groupBy(ID).applyInPandas(run, f"{ID} string, adf double, adf_p double, kpss double, kpss_p double, conclusion string")
-
-
 def is_stationary(df: DataFrame, test: str = "adf", significance: float = 0.05) -> DataFrame:
     rows = stationarity(df, significance)
     if test not in ("adf", "kpss"):

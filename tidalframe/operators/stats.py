@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..frame import ID, POS, TIME, VALUE, WHOLE, W
+from ..functions.columns import correlation
+from . import slopes
+
 
 def value() -> Column:
     return F.col(VALUE)
@@ -78,18 +81,14 @@ def trend_window() -> Column:
 
 
 def detect_trend(df: DataFrame, method: str = "linear") -> DataFrame:
-    """One row a series: slope, intercept and strength by method.
-
-    theil_sen joins pairs of one series by position and is quadratic in its length.
-    """
+    """One row a series: slope, intercept and strength by method."""
     at = position().cast("double")
     if method == "linear":
-        return df.groupBy(ID).agg(F.regr_slope(value(), at).alias("slope"), F.regr_intercept(value(), at).alias("intercept"), F.abs(F.corr(value(), at)).alias("strength"))
+        return df.groupBy(ID).agg(F.regr_slope(value(), at).alias("slope"), F.regr_intercept(value(), at).alias("intercept"), F.abs(correlation(value(), at)).alias("strength"))
     if method == "theil_sen":
-        a, b = df.select(ID, position().alias("i"), value().alias("x")), df.select(ID, position().alias("j"), value().alias("y"))
-        slopes = a.join(b, ID).filter(F.col("i") < F.col("j")).groupBy(ID).agg(F.percentile((F.col("y") - F.col("x")) / (F.col("j") - F.col("i")), F.lit(0.5)).alias("slope"))
-        middle = df.groupBy(ID).agg(F.percentile(value(), F.lit(0.5)).alias("mv"), F.percentile(at, F.lit(0.5)).alias("mt"), F.abs(F.corr(value(), at)).alias("strength"))
-        return slopes.join(middle, ID).select(ID, "slope", (F.col("mv") - F.col("slope") * F.col("mt")).alias("intercept"), "strength")
+        steep = slopes.median_slopes(df).withColumnRenamed("g", ID)
+        middle = df.groupBy(ID).agg(F.percentile(value(), F.lit(0.5)).alias("mv"), F.percentile(at, F.lit(0.5)).alias("mt"), F.abs(correlation(value(), at)).alias("strength"))
+        return steep.join(middle, ID).select(ID, "slope", (F.col("mv") - F.col("slope") * F.col("mt")).alias("intercept"), "strength")
     if method == "polynomial":
         x = at - F.avg(at).over(WHOLE)
         rows = df.withColumn("__x", x).withColumn("__m", F.avg(at).over(WHOLE))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import frame
 from ..kernels import series
-from ..operators import detect, graph, models, simulate
+from ..operators import detect, graph, models, moments, simulate
 from . import backtest as bt
 from .catalog import MONTHS, TYPES, query
 
@@ -34,7 +34,38 @@ def arima_forecast(spark, d):
 
 @query()
 def var_forecast(spark, d):
-    return models.vector_autoregression(typed(spark, d), 5, 3)
+    return moments.vector_autoregression(typed(spark, d), 5, 3)
+
+
+# Second-order model of the levels: pairwise moments, Gauss-Jordan steps on the normal equations, then the recursion.
+_VAR = f"""WITH RECURSIVE {TYPES}, names AS (SELECT series_id, row_number() OVER (ORDER BY series_id) - 1 AS i, count(*) OVER () AS k, avg(value) AS mean FROM e GROUP BY 1),
+z AS (SELECT e.series_id, t, i, k, value - mean AS y FROM e JOIN names USING (series_id)), span AS (SELECT min(t) AS lo, max(t) AS hi, max(k) AS k FROM z),
+cells AS (SELECT z.t + a AS t, 1 + a * z.k + i AS c, y FROM z, range(0, 3) r(a), span WHERE z.t + a BETWEEN lo + 2 AND hi UNION ALL SELECT DISTINCT z.t, 0, 1.0 FROM z, span WHERE z.t BETWEEN lo + 2 AND hi),
+g AS (SELECT p.c AS i, q.c AS j, avg(p.y * q.y) AS m FROM cells p JOIN cells q ON p.t = q.t GROUP BY 1, 2),
+pl AS (SELECT DISTINCT i AS r, CASE WHEN i = 0 THEN 0 ELSE i - k END AS place FROM g, span WHERE i = 0 OR i > k),
+body AS (SELECT pl.place AS r, list(g.m ORDER BY g.j > 0 AND g.j <= k, g.j) AS line FROM pl JOIN g ON g.i = pl.r, span GROUP BY 1),
+gauss AS (SELECT 1 AS step, list(line ORDER BY r) AS m FROM body UNION ALL SELECT step + 1, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m[1]) + 1), lambda j: CASE WHEN i = step THEN m[step][j] / m[step][step] ELSE m[i][j] - m[i][step] * m[step][j] / m[step][step] END)) FROM gauss WHERE step <= len(m)),
+coef AS (SELECT list_transform(m, lambda x: x[len(m) + 1:]) AS b FROM gauss WHERE step = len(m) + 1),
+cov AS (SELECT names.i, any_value(y.m) - sum(b[pl.place + 1][names.i + 1] * x.m) AS v FROM names, coef, pl JOIN g x ON x.i = pl.r JOIN g y ON y.i = x.j AND y.j = x.j WHERE x.j = names.i + 1 GROUP BY 1),
+newest AS (SELECT list(coalesce(p.y, 0) ORDER BY n.i) AS r0, list(coalesce(q.y, 0) ORDER BY n.i) AS r1 FROM span, names n LEFT JOIN z p ON p.i = n.i AND p.t = (SELECT hi FROM span) LEFT JOIN z q ON q.i = n.i AND q.t = (SELECT hi FROM span) - 1),
+f AS (SELECT 0 AS h, r0, r1 FROM newest UNION ALL SELECT h + 1, list_transform(range(1, len(r0) + 1), lambda i: b[1][i] + list_sum(list_transform(range(1, len(r0) + 1), lambda j: b[1 + j][i] * r0[j] + b[1 + len(r0) + j][i] * r1[j]))), r0 FROM f, coef WHERE h < 5)
+SELECT n.series_id, CAST(h AS INT) AS h, CAST(hi + h AS BIGINT) AS t, round(r0[n.i + 1] + mean, 6) AS y_pred, round(r0[n.i + 1] + mean - 1.6448536269514722 * sqrt(v), 6) AS lower, round(r0[n.i + 1] + mean + 1.6448536269514722 * sqrt(v), 6) AS upper FROM f, span, names n JOIN cov ON cov.i = n.i WHERE h > 0"""
+
+
+@query(_VAR)
+def var_levels(spark, d):
+    return moments.vector_autoregression(typed(spark, d), 5, difference=False, lag=2)
+
+
+_KPSS = f"""WITH {MONTHS}, y AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS y, count(*) OVER (PARTITION BY series_id) AS n FROM e), k AS (SELECT *, CAST(floor(4 * pow(n / 100.0, 0.25)) AS BIGINT) AS k, sum(y) OVER (PARTITION BY series_id ORDER BY t) AS c FROM y),
+s AS (SELECT series_id, max(n) AS n, sum(c * c) AS cc, sum(y * y) AS yy FROM k GROUP BY 1), w AS (SELECT a.series_id, sum(2 * (1 - (b.t - a.t) / (a.k + 1.0)) * a.y * b.y) AS v FROM k a JOIN k b ON a.series_id = b.series_id AND b.t - a.t BETWEEN 1 AND a.k GROUP BY 1),
+x AS (SELECT series_id, n, cc / n / (yy + coalesce(v, 0)) AS kpss FROM s LEFT JOIN w USING (series_id))
+SELECT series_id, n, round(kpss, 6) AS kpss, round(CASE WHEN kpss <= 0.347 THEN 0.1 WHEN kpss <= 0.463 THEN 0.1 - (kpss - 0.347) / 0.116 * 0.05 WHEN kpss <= 0.574 THEN 0.05 - (kpss - 0.463) / 0.111 * 0.025 WHEN kpss <= 0.739 THEN 0.025 - (kpss - 0.574) / 0.165 * 0.015 ELSE 0.01 END, 6) AS kpss_p FROM x"""
+
+
+@query(_KPSS)
+def stationarity_of_levels(spark, d):
+    return moments.level_tests(frame.orders_by_priority_month(spark, d))
 
 
 @query()
