@@ -210,3 +210,40 @@ def test_unit_roots_by_moments(make):
             if best is None or aic < best[0]:
                 best = (aic, coef[1] / np.sqrt(r @ r / (len(r) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1]))
         assert rows[k]["adf"] == pytest.approx(best[1], rel=1e-6)
+
+
+@pytest.mark.parametrize("width", [None, 6])
+def test_backtest_by_running_states(make, width):
+    """The state at each cutoff equals a fit on the joined training rows, with gaps, for expanding and sliding folds."""
+    from tidalframe.operators import forecast
+    from tidalframe.plans import backtest as bt
+
+    random = np.random.default_rng(12)
+    panel = make({"a": [None if random.random() < 0.25 else float(v) for v in random.standard_normal(70) * 5], "b": [1.0, None, None, None, None, None, None, None, 2.0, 3.0], "short": [1.0]})
+    split = bt.ExpandingWindowSplit(4, 3, 2) if width is None else bt.SlidingWindowSplit(width, 2, 3)
+    models = [forecast.naive(), forecast.moving_average(4), forecast.exponential_average(0.3), forecast.exponential_average(0.99), forecast.exponential_average(1.0), forecast.weighted_average([0.1, 0.2, 0.3, 0.4]), forecast.linear_trend(False)]
+    for m in models:
+        key = ["series_id", "fold_id", "h"]
+        got, want = (f(panel, m, split).toPandas().sort_values(key).reset_index(drop=True) for f in (bt.backtest, bt._backtest_joined))
+        assert got[[*key, "cutoff"]].equals(want[[*key, "cutoff"]].astype(got[[*key, "cutoff"]].dtypes)), m.name
+        assert np.allclose(got["y_pred"].astype(float), want["y_pred"].astype(float), equal_nan=True, atol=1e-9), m.name
+        assert np.allclose(got["y_true"].astype(float), want["y_true"].astype(float), equal_nan=True), m.name
+
+
+def test_backtest_copies_no_rows(spark):
+    """A long series: rows that the plan handles follow its length, not folds times rows; the average of 50,000 rows is exact."""
+    from tidalframe.operators import forecast
+    from tidalframe.plans import backtest as bt
+
+    n = 50_000
+    y = np.random.default_rng(13).standard_normal(n)
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "a", "t": np.arange(n), "value": y}))
+    made = bt.backtest(df, forecast.exponential_average(0.02), bt.ExpandingWindowSplit(10, 1, 1))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    want, rows = y[0], made.toPandas().sort_values("fold_id")["y_pred"].to_numpy()
+    fold = {}
+    for t in range(1, n):
+        want = 0.98 * want + 0.02 * y[t]
+        fold[t] = want
+    assert len(rows) == n - 10 and np.allclose(rows, [fold[t] for t in range(9, n - 1)], atol=1e-12)

@@ -6,13 +6,15 @@ expands it over the horizon, so that a backtest of any number of folds is one ag
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..errors import ValidationError
-from ..frame import ID, POS, VALUE
+from ..frame import ID, POS, VALUE, W
 
 def value() -> Column:
     return F.col(VALUE)
@@ -26,10 +28,12 @@ class ClosedForm:
     """``aggregates(last, count)``: the state columns; ``forecast(h)``: the value h steps ahead.
 
     ``last`` is the last position of the group and ``count`` its rows, as columns of each row.
+    ``running(df, width)`` adds the same state to every row of a panel, for the training set that
+    ends with it: the whole past, or the last ``width`` rows.
     """
 
-    def __init__(self, name: str, aggregates: Callable[[Column, Column], dict[str, Column]], forecast: Callable[[Column], Column]):
-        self.name, self.aggregates, self.forecast = name, aggregates, forecast
+    def __init__(self, name: str, aggregates: Callable[[Column, Column], dict[str, Column]], forecast: Callable[[Column], Column], running: Callable[[DataFrame, int | None], DataFrame] | None = None):
+        self.name, self.aggregates, self.forecast, self.running = name, aggregates, forecast, running
 
     def fit(self, rows: DataFrame, by: list[str] | None = None) -> DataFrame:
         """State of each group of ``by``; one exchange on ``by`` serves both aggregations."""
@@ -46,15 +50,25 @@ class ClosedForm:
         return out.select(*(by or [ID]), "h", (F.col("last") + F.col("h")).alias(POS), self.forecast(F.col("h")).alias("y_pred"))
 
 
+def trailing(width: int | None) -> WindowSpec:
+    """The training set that ends with a row."""
+    return W.rowsBetween(Window.unboundedPreceding if width is None else 1 - width, 0)
+
+
 def naive() -> ClosedForm:
-    return ClosedForm("naive", lambda last, n: {"s": F.max_by(value(), position())}, lambda h: F.col("s"))
+    return ClosedForm("naive", lambda last, n: {"s": F.max_by(value(), position())}, lambda h: F.col("s"), lambda df, width: df.withColumn("s", value()))
 
 
 def moving_average(window: int = 7) -> ClosedForm:
     """Mean of the last rows; of all valid rows if those have no value."""
     if window < 1:
         raise ValidationError("window must be positive", {"window": window})
-    return ClosedForm(f"sma_{window}", lambda last, n: {"s": F.coalesce(F.avg(F.when(position() > last - window, value())), F.avg(value()))}, lambda h: F.col("s"))
+
+    def running(df: DataFrame, width: int | None) -> DataFrame:
+        near = F.avg(value()).over(trailing(window if width is None else min(window, width)))
+        return df.withColumn("s", F.coalesce(near, F.avg(value()).over(trailing(width))))
+
+    return ClosedForm(f"sma_{window}", lambda last, n: {"s": F.coalesce(F.avg(F.when(position() > last - window, value())), F.avg(value()))}, lambda h: F.col("s"), running)
 
 
 def exponential_average(alpha: float = 0.3) -> ClosedForm:
@@ -71,7 +85,32 @@ def exponential_average(alpha: float = 0.3) -> ClosedForm:
         w = F.when(value().isNotNull(), F.pow(F.lit(decay), age) * F.when(position() == F.col("__first"), 1.0).otherwise(alpha))
         return {"s": F.sum(w * value()) / F.nullif(F.sum(w), F.lit(0.0))}
 
-    return ClosedForm("ema", aggregates, lambda h: F.col("s"))
+    # Weights fall below rounding within a block, so a row needs the sums of its own block up to
+    # it and those of the block before; within a block the powers of the decay stay in range.
+    block = max(1, math.ceil(18 / -math.log10(decay))) if decay else 1
+    power = lambda k: F.pow(F.lit(decay), k)
+
+    def folded(df: DataFrame, x: Column, out: str, width: int | None) -> DataFrame:
+        """Adds at each row the weighted sum of x over its training set."""
+        at = F.pmod(position(), F.lit(block)).cast("double")
+        same = Window.partitionBy(ID, F.floor(position() / block)).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+        rows = df.withColumn("__x", x).withColumn("__here", F.sum(F.coalesce("__x", F.lit(0.0)) * alpha / power(at)).over(same))
+        rows = rows.withColumn("__past", F.last(F.when(at == block - 1, F.col("__here")), True).over(W.rowsBetween(Window.unboundedPreceding, -1)))
+        rows = rows.withColumn(out, power(at) * F.col("__here") + power(at + block) * F.coalesce("__past", F.lit(0.0)))
+        first, age = F.first("__x").over(trailing(width)), position().cast("double")
+        if width is not None:
+            age = F.least(age, F.lit(width - 1.0))
+            rows = rows.withColumn("__gone", F.lag(out, width).over(W)).withColumn(out, F.col(out) - decay**width * F.coalesce("__gone", F.lit(0.0))).drop("__gone")
+        return rows.withColumn(out, F.col(out) + (1 - alpha) * power(age) * F.coalesce(first, F.lit(0.0))).drop("__x", "__here", "__past")
+
+    def running(df: DataFrame, width: int | None) -> DataFrame:
+        if not decay:
+            return df.withColumn("s", value())
+        rows = folded(folded(df, value(), "__a", width), F.when(value().isNotNull(), 1.0), "__b", width)
+        # What is left of values that have gone is rounding.
+        return rows.withColumn("s", F.when(F.count(value()).over(trailing(width)) > 0, F.col("__a") / F.nullif("__b", F.lit(0.0)))).drop("__a", "__b")
+
+    return ClosedForm("ema", aggregates, lambda h: F.col("s"), running)
 
 
 def weighted_average(weights: list[float]) -> ClosedForm:
@@ -83,7 +122,13 @@ def weighted_average(weights: list[float]) -> ClosedForm:
         own = F.when((position() > last - k) & value().isNotNull(), w)
         return {"s": F.sum(own * value()) / F.nullif(F.sum(own), F.lit(0.0)) * total}
 
-    return ClosedForm("wma", aggregates, lambda h: F.col("s"))
+    def running(df: DataFrame, width: int | None) -> DataFrame:
+        lagged = [(float(weights[k - 1 - j]), F.lag(value(), j).over(W)) for j in range(min(k, width or k))]
+        rows = df.select("*", *[c.alias(f"__l{j}") for j, (_, c) in enumerate(lagged)])
+        valid = lambda f: sum((F.when(F.col(f"__l{j}").isNotNull(), f(w, F.col(f"__l{j}"))).otherwise(0.0) for j, (w, _) in enumerate(lagged)), F.lit(0.0))
+        return rows.withColumn("s", valid(lambda w, x: w * x) / F.nullif(valid(lambda w, x: F.lit(w)), F.lit(0.0)) * total).drop(*[f"__l{j}" for j in range(len(lagged))])
+
+    return ClosedForm("wma", aggregates, lambda h: F.col("s"), running)
 
 
 def linear_trend(clamp: bool = True) -> ClosedForm:
@@ -97,7 +142,12 @@ def linear_trend(clamp: bool = True) -> ClosedForm:
         line = F.col("intercept") + F.col("slope") * (F.col("last") - F.col("first") + h)
         return F.greatest(F.lit(0.0), line) if clamp else line
 
-    return ClosedForm("linear", aggregates, forecast)
+    def running(df: DataFrame, width: int | None) -> DataFrame:
+        at, over = position().cast("double"), trailing(width)
+        rows = df.withColumn("slope", F.regr_slope(value(), at).over(over)).withColumn("__c", F.regr_intercept(value(), at).over(over))
+        return rows.withColumn("intercept", F.col("__c") + F.col("slope") * F.col("first")).drop("__c")
+
+    return ClosedForm("linear", aggregates, forecast, running)
 
 
 def synthetic_control_grams(df: DataFrame, treated: str, before: int) -> DataFrame:

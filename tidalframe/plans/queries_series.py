@@ -296,6 +296,20 @@ def backtest_sliding(spark, d):
     return _backtests(frame.events_by_type_day(spark, d), bt.SlidingWindowSplit(15, 1, 3))
 
 
+_STATES = f"""WITH {TYPES}, n AS (SELECT series_id, max(t) + 1 AS n FROM e GROUP BY 1), f AS (SELECT series_id, CAST(k AS INT) AS fold_id, k * 2 AS lo, k * 2 + 12 AS cutoff FROM n, range(0, 100) x(k) WHERE k * 2 + 12 + 3 <= n),
+g AS (SELECT f.series_id, fold_id, cutoff, lo, sum(value * pow(0.7, cutoff - 1 - t) * CASE WHEN t = lo THEN 1 ELSE 0.3 END) AS ema, sum(CASE t WHEN cutoff - 3 THEN value WHEN cutoff - 2 THEN 2 * value WHEN cutoff - 1 THEN 3 * value END) / 6 AS wma, regr_slope(value, t) AS b, regr_intercept(value, t) AS a FROM f JOIN e ON e.series_id = f.series_id AND e.t >= lo AND e.t < cutoff GROUP BY 1, 2, 3, 4)
+SELECT g.series_id, fold_id, CAST(e.t - cutoff + 1 AS INT) AS h, round(value, 6) AS y_true, round(ema, 6) AS ema, round(wma, 6) AS wma, round(greatest(0, a + b * e.t), 6) AS linear FROM g JOIN e ON e.series_id = g.series_id AND e.t >= cutoff AND e.t < cutoff + 3"""
+
+
+@query(_STATES)
+def backtest_states(spark, d):
+    e, out = frame.events_by_type_day(spark, d), None
+    for name, m in (("ema", forecast.exponential_average(0.3)), ("wma", forecast.weighted_average([1 / 6, 2 / 6, 3 / 6])), ("linear", forecast.linear_trend())):
+        one = bt.backtest(e, m, bt.SlidingWindowSplit(12, 2, 3)).withColumnRenamed("y_pred", name).drop("cutoff")
+        out = one if out is None else out.join(one.drop("y_true"), [ID, "fold_id", "h"])
+    return out
+
+
 @query(f"WITH {_folds_sql(20, 5, False)}, q AS ({_folds_out('naive')}) SELECT series_id, count(*) AS n_folds, {r('avg(mae)', 'mae_mean')}, {r('avg(rmse)', 'rmse_mean')}, {r('avg(mape)', 'mape_mean')}, round(stddev_samp(mae), 4) AS mae_std FROM q GROUP BY 1".replace("round(avg(mae), 6)", "round(avg(mae), 4)").replace("round(avg(rmse), 6)", "round(avg(rmse), 4)").replace("round(avg(mape), 6)", "round(avg(mape), 4)"))
 def backtest_summary(spark, d):
     folds = bt.per_fold(bt.backtest(frame.events_by_type_day(spark, d), forecast.naive(), bt.ExpandingWindowSplit(20, 1, 5)))
