@@ -247,3 +247,79 @@ def test_backtest_copies_no_rows(spark):
         want = 0.98 * want + 0.02 * y[t]
         fold[t] = want
     assert len(rows) == n - 10 and np.allclose(rows, [fold[t] for t in range(9, n - 1)], atol=1e-12)
+
+
+def random_graphs(spark, seed: int):
+    """Edges and nodes of random graphs, sparse to full, with loops, double and reversed edges and lone nodes; and neighbour sets."""
+    random, edges, nodes, sets = np.random.default_rng(seed), [], [], {}
+    for k, (n, p) in enumerate([(14, 0.1), (13, 0.3), (12, 0.6), (8, 1.0), (1, 0.0), (6, 0.0), (10, 0.25)]):
+        own = [(int(i), int(j)) for i in range(n) for j in range(i + 1, n) if random.random() < p]
+        edges += [(f"g{k}", i, j, 1.0) for i, j in own] + [(f"g{k}", i, j, 1.0) for i, j in own[:2]]
+        nodes.append((f"g{k}", n))
+        sets[f"g{k}"] = (n, {frozenset(x) for x in own})
+    return spark.createDataFrame(edges, "g string, src long, dst long, weight double"), spark.createDataFrame(nodes, "g string, n long"), sets
+
+
+def test_small_subgraphs_by_counting(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    from tidalframe.operators import networks
+
+    edges, nodes, sets = random_graphs(spark, 14)
+    three, four, triples = Counter(), Counter(), Counter()
+    for g, (n, e) in sets.items():
+        for i, j, k in combinations(range(n), 3):
+            code = "".join(str(int(frozenset(x) in e)) for x in ((i, j), (i, k), (j, k)))
+            three[g, code] += 1
+            triples[g] += code == "111"
+        for q in combinations(range(n), 4):
+            d = sorted(sum(frozenset((a, b)) in e for b in q if b != a) for a in q)
+            m = sum(d) // 2
+            four[g, {6: "clique", 5: "diamond", 4: "square" if d[3] == 2 else "triangle_tail", 3: "triangle_isolated" if d[0] == 0 else "star" if d[3] == 3 else "chain"}.get(m, "other")] += 1
+    assert {(r["g"], r["code"]): r["n"] for r in networks.motifs3(edges, nodes).collect()} == dict(three)
+    assert {(r["g"], r["motif"]): r["n"] for r in networks.motifs4(edges, nodes).collect()} == dict(four)
+    assert {r["g"]: r["count"] for r in graph.triangles(edges).groupBy("g").count().collect()} == {g: c for g, c in triples.items() if c}
+
+
+def test_subgraphs_and_paths_around_a_hub(spark):
+    """30,000 leaves at one node and a triangle of leaves: the hub's wedges are not listed; stated sources give its paths."""
+    from pyspark.sql import functions as F
+
+    from tidalframe.operators import networks
+
+    n = 30_001
+    edges = spark.range(1, n).select(F.lit("g").alias("g"), F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    edges = edges.unionByName(spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 1, 3)], "g string, src long, dst long"))
+    nodes = spark.createDataFrame([("g", n)], "g string, n long")
+    got = {r["motif"]: r["n"] for r in networks.motifs4(edges, nodes).collect()}
+    rest = n - 4
+    assert got["clique"] == 1 and got["triangle_tail"] == 3 * rest and got["triangle_isolated"] == rest
+    assert got["star"] == (n - 1) * (n - 2) * (n - 3) // 6 - 3 * rest - 1 and "square" not in got and "chain" not in got
+    paths = networks.path_lengths(edges, nodes, spark.createDataFrame([("g", 0), ("g", 5)], "g string, node long")).first()
+    assert paths["diameter"] == 2 and paths["radius"] == 1 and paths["avg_path"] == pytest.approx(((n - 1) + (1 + 2 * (n - 2))) / (2 * (n - 1)))
+
+
+def test_path_lengths_by_frontiers(spark):
+    from tidalframe.operators import networks
+
+    edges, nodes, sets = random_graphs(spark, 15)
+    got = {r["g"]: r for r in networks.path_lengths(edges, nodes).collect()}
+    for g, (n, e) in sets.items():
+        hops = {}
+        for s in range(n):
+            seen, queue = {s: 0}, [s]
+            for u in queue:
+                for v in range(n):
+                    if v not in seen and frozenset((u, v)) in e:
+                        seen[v] = seen[u] + 1
+                        queue.append(v)
+            hops[s] = seen
+        best = max(range(n), key=lambda s: (len(hops[s]), -min(hops[s])))
+        if len(hops[best]) < 2:
+            assert got[g]["avg_path"] is None and got[g]["diameter"] is None
+            continue
+        far = [max(hops[s].values()) for s in hops[best]]
+        total = sum(sum(hops[s].values()) for s in hops[best])
+        assert got[g]["avg_path"] == pytest.approx(total / (len(far) * (len(far) - 1)))
+        assert (got[g]["diameter"], got[g]["radius"]) == (max(far), min(far)) and got[g]["eccentricity_std"] == pytest.approx(np.std(far))

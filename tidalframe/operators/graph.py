@@ -12,7 +12,8 @@ from ..errors import ValidationError
 from ..frame import ID, POS, VALUE, W
 from ..functions.columns import correlation
 from ..stages import stored
-from . import grid, neighbours, sight
+from . import grid, neighbours, networks, sight
+from .networks import motifs3  # noqa: F401
 
 
 def value() -> Column:
@@ -152,10 +153,8 @@ def irreversibility(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(g, a, b, c), each triangle of an undirected graph once: edges are joined from the low end."""
-    e = edges.select("g", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter(F.col("a") < F.col("b")).distinct()
-    two = e.join(e.select("g", F.col("a").alias("b"), F.col("b").alias("c")), ["g", "b"])
-    return two.join(e.select("g", "a", F.col("b").alias("c")), ["g", "a", "c"]).select("g", "a", "b", "c")
+    """(g, a, b, c), each triangle of an undirected graph once: wedges open at their end of lowest degree."""
+    return networks.triangles_of(networks.upward(networks.simple(edges))).toDF("g", "a", "b", "c")
 
 
 def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -173,19 +172,6 @@ def assortativity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.groupBy("g").agg(correlation("x", "y").alias("assortativity"))
 
 
-def motifs3(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(g, code, n) over all node triples i < j < k; bits for edges i>j, i>k, j>k."""
-    e = edges.select("g", "src", "dst").distinct()
-    ij = e.filter(F.col("src") < F.col("dst"))
-    node = nodes.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("p"))
-    a, b, c = node.withColumnRenamed("p", "i"), node.withColumnRenamed("p", "j"), node.withColumnRenamed("p", "k")
-    triples = a.join(b, "g").filter(F.col("i") < F.col("j")).join(c, "g").filter(F.col("j") < F.col("k"))
-    for x, y, name in (("i", "j", "e1"), ("i", "k", "e2"), ("j", "k", "e3")):
-        triples = triples.join(ij.select("g", F.col("src").alias(x), F.col("dst").alias(y), F.lit(1).alias(name)), ["g", x, y], "left")
-    bit = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("string")
-    return triples.groupBy("g", F.concat(bit("e1"), bit("e2"), bit("e3")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def knn(distances: DataFrame, k: int, mutual: bool = False, weighted: bool = False) -> DataFrame:
     """Edges (src, dst, weight) to the k nearest of (i, j, d): either direction, or both (mutual).
 

@@ -15,6 +15,7 @@ from ..frame import ID, POS, VALUE, WHOLE
 from ..kernels import graphs, series
 from ..kernels.special import normal_two_sided, t_two_sided
 from .moments import stationarity
+from .networks import motifs4, path_lengths  # noqa: F401
 
 BAND = f"{ID} string, h int, {POS} long, y_pred double, lower double, upper double"
 
@@ -211,10 +212,6 @@ def graph_map(edges: DataFrame, nodes: DataFrame, kernel: Callable[[list[set[int
     return both.groupBy("g").applyInPandas(run, f"g string, {schema}")
 
 
-def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return graph_map(edges, nodes, lambda nb: pd.DataFrame([graphs.path_lengths(nb)]), "avg_path double, diameter double, radius double, eccentricity_std double")
-
-
 def modularity(edges: DataFrame, nodes: DataFrame, method: str = "louvain", resolution: float = 1.0, seed: int = 3363) -> DataFrame:
     def kernel(nb: list[set[int]]) -> pd.DataFrame:
         label = graphs.communities(nb, method, resolution, seed)
@@ -232,7 +229,3 @@ def roles(edges: DataFrame, nodes: DataFrame, n_roles: int = 4, n_init: int = 10
         return out
 
     return graph_map(edges, nodes, kernel, "node long, degree double, clustering double, pagerank double, eigenvector double, core double, betweenness double, closeness double, role long")
-
-
-def motifs4(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return graph_map(edges, nodes, lambda nb: pd.DataFrame(sorted(graphs.motifs4(nb).items()), columns=["motif", "n"]), "motif string, n long")

@@ -205,7 +205,15 @@ def node_roles(spark, d):
     return models.roles(*_graph(spark, d)).select("g", "node", "degree", "core", "role")
 
 
-@query()
+_FOUR = f"""WITH {TYPES}, pr AS (SELECT a.series_id AS g, a.t AS src, b.t AS dst, (b.value - a.value) / (b.t - a.t) AS slope FROM e a JOIN e b ON a.series_id = b.series_id AND a.t < b.t),
+ed AS (SELECT g, src, dst FROM (SELECT *, max(slope) OVER (PARTITION BY g, src ORDER BY dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM pr) WHERE top IS NULL OR slope > top),
+q AS (SELECT a.series_id AS g, [a.t, b.t, c.t, d.t] AS p FROM e a JOIN e b ON b.series_id = a.series_id AND a.t < b.t JOIN e c ON c.series_id = a.series_id AND b.t < c.t JOIN e d ON d.series_id = a.series_id AND c.t < d.t),
+x AS (SELECT q.g, [CAST(e1.src IS NOT NULL AS INT), CAST(e2.src IS NOT NULL AS INT), CAST(e3.src IS NOT NULL AS INT), CAST(e4.src IS NOT NULL AS INT), CAST(e5.src IS NOT NULL AS INT), CAST(e6.src IS NOT NULL AS INT)] AS b FROM q LEFT JOIN ed e1 ON e1.g = q.g AND e1.src = p[1] AND e1.dst = p[2] LEFT JOIN ed e2 ON e2.g = q.g AND e2.src = p[1] AND e2.dst = p[3] LEFT JOIN ed e3 ON e3.g = q.g AND e3.src = p[1] AND e3.dst = p[4] LEFT JOIN ed e4 ON e4.g = q.g AND e4.src = p[2] AND e4.dst = p[3] LEFT JOIN ed e5 ON e5.g = q.g AND e5.src = p[2] AND e5.dst = p[4] LEFT JOIN ed e6 ON e6.g = q.g AND e6.src = p[3] AND e6.dst = p[4]),
+c AS (SELECT g, list_sum(b) AS m, [b[1] + b[2] + b[3], b[1] + b[4] + b[5], b[2] + b[4] + b[6], b[3] + b[5] + b[6]] AS d FROM x)
+SELECT g, CASE WHEN m = 6 THEN 'clique' WHEN m = 5 THEN 'diamond' WHEN m = 4 AND list_max(d) = 2 THEN 'square' WHEN m = 4 THEN 'triangle_tail' WHEN m = 3 AND list_min(d) = 0 THEN 'triangle_isolated' WHEN m = 3 AND list_max(d) = 3 THEN 'star' WHEN m = 3 THEN 'chain' ELSE 'other' END AS motif, count(*) AS n FROM c GROUP BY 1, 2"""
+
+
+@query(_FOUR)
 def motifs_4(spark, d):
     return models.motifs4(*_graph(spark, d))
 
