@@ -323,3 +323,36 @@ def test_path_lengths_by_frontiers(spark):
         total = sum(sum(hops[s].values()) for s in hops[best])
         assert got[g]["avg_path"] == pytest.approx(total / (len(far) * (len(far) - 1)))
         assert (got[g]["diameter"], got[g]["radius"]) == (max(far), min(far)) and got[g]["eccentricity_std"] == pytest.approx(np.std(far))
+
+
+def test_communities_by_moves(spark):
+    """Planted groups are found, modularity is that of the definition, lone nodes stay alone and reruns agree."""
+    from tidalframe.operators import communities
+
+    random, edges, sets = np.random.default_rng(16), [], {}
+    planted = [k // 12 for k in range(48)]
+    own = [(i, j) for i in range(48) for j in range(i + 1, 48) if random.random() < (0.7 if planted[i] == planted[j] else 0.03)]
+    ring = [(6 * c + i, 6 * c + j) for c in range(8) for i in range(6) for j in range(i + 1, 6)] + [(6 * c, (6 * c + 9) % 48) for c in range(8)]
+    for g, found in (("planted", own), ("ring", ring)):
+        edges += [(g, i, j) for i, j in found]
+        sets[g] = {frozenset(x) for x in found}
+    nodes = spark.createDataFrame([("planted", 50), ("ring", 48), ("none", 3)], "g string, n long")
+    df = spark.createDataFrame(edges, "g string, src long, dst long")
+
+    def quality(e, label):
+        m = len(e)
+        degree = {c: sum(label[v] == c for x in e for v in x) for c in set(label.values())}
+        return sum(sum(all(label[v] == c for v in x) for x in e) / m - (degree[c] / (2 * m)) ** 2 for c in degree)
+
+    for method in ("louvain", "label_propagation"):
+        labels = communities.communities(df, nodes, method).cache()
+        rows = {(r["g"], r["node"]): r["label"] for r in labels.collect()}
+        assert len(rows) == 101 and all(rows["none", k] == k for k in range(3)) and rows["planted", 48] == 48
+        got = {r["g"]: r for r in communities.modularity_of(df, labels).collect()}
+        for g, e in sets.items():
+            assert got[g]["modularity"] == pytest.approx(quality(e, {k: v for (h, k), v in rows.items() if h == g}))
+        assert got["none"]["modularity"] == 0 and got["none"]["n_communities"] == 3
+        if method == "louvain":
+            assert got["planted"]["modularity"] >= quality(sets["planted"], dict(enumerate(planted))) - 1e-9
+            assert got["ring"]["modularity"] >= quality(sets["ring"], {k: k // 6 for k in range(48)}) - 0.02
+            assert {(r["g"], r["node"]): r["label"] for r in communities.communities(df, nodes).collect()} == rows
