@@ -286,6 +286,17 @@ def test_labelled_sample_is_bounded_and_refills(spark, monkeypatch):
     assert len(got) == len({r["id"] for r in got}) and sum(len(r["text"]) for r in got) <= 3_500 and len(got) > 3
     assert {r["id"]: r["text"] for r in common.labelled_sample(docs, labels, "doc_id", "text", "quality", 100, 10**6).collect()} == {**dict(rows[:60]), 5: "y" * 7}
     assert common.labelled_sample(docs.limit(0), labels, "doc_id", "text", "quality", 9, 9).count() == 0
+    orphans = spark.createDataFrame([(k, 1) for k in range(-2000, 60)], "doc_id long, quality int")
+    assert common.labelled_sample(docs, orphans, "doc_id", "text", "quality", 50, 10**6).count() == 50
+
+
+def test_quality_trains_alike_in_a_task(spark, docs):
+    """The model that a task trains equals one trained here on the same rows; without labels every score is 0.5."""
+    labels = common.table(spark, DATA, "labels")
+    rows = common.labelled_sample(docs, labels.filter(common.bucket_of("doc_id", 5) != 0), "doc_id", "text", "quality", 6000, 20_000_000).orderBy("id").toPandas()
+    here, there = quality.train(list(zip(rows["text"], rows["label"].astype(int), strict=True))), quality.fit(docs, labels)
+    assert np.array_equal(here.weights, there.weights) and (here.bias, here.bits, here.order) == (there.bias, there.bits, there.order)
+    assert {r["score"] for r in quality.scores(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
 def test_pieces_parity_and_round_trip(docs, odd):

@@ -86,18 +86,17 @@ def bucket_of(doc_id: str, modulus: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_chars: int) -> DataFrame:
     """(id, text, label): at most ``max_rows`` labelled texts of ``max_chars`` code points in all.
 
-    Both bounds hold for what the driver gets. Candidates are twice as many ids as needed, in
-    the order of a hash; a text that no longer fits is passed over and the next one is taken.
-    Ids without a document or with a null text are no candidates; of an id with several texts
-    the shortest is taken, once. Documents are scanned twice and never shuffled as a whole.
+    Candidates are twice as many ids as needed, in the order of a hash; a text that no longer
+    fits is passed over and the next one is taken. Ids without a document or with a null text
+    are no candidates; of an id with several texts the shortest is taken, once. Documents are
+    scanned twice; lengths and digests of texts are shuffled, texts are not.
     """
     spark = docs.sparkSession
     order = F.xxhash64("__id")
     ids = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
-    ids = F.broadcast(ids.orderBy(order, "__id").limit(2 * max_rows))
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    sized = texts.select("__doc", F.struct(F.length("__text").alias("n"), F.xxhash64("__text").alias("h")).alias("__t")).join(ids, F.col("__doc") == F.col("__id"))
-    sized = sized.groupBy("__id").agg(F.max("__label").alias("__label"), F.min("__t").alias("__t")).select("__id", "__label", F.col("__t.h").alias("__h"), F.col("__t.n").alias("__n"), order.alias("__o"))
+    sized = texts.select("__doc", F.struct(F.length("__text").alias("n"), F.xxhash64("__text").alias("h")).alias("__t")).groupBy("__doc").agg(F.min("__t").alias("__t")).join(ids, F.col("__doc") == F.col("__id"))
+    sized = sized.groupBy("__id").agg(F.max("__label").alias("__label"), F.min("__t").alias("__t")).select("__id", "__label", F.col("__t.h").alias("__h"), F.col("__t.n").alias("__n"), order.alias("__o")).orderBy("__o", "__id").limit(2 * max_rows)
     chosen, left = [], max_chars
     for r in sorted(sized.collect(), key=lambda r: (r["__o"], r["__id"])):
         if len(chosen) < max_rows and r["__n"] <= left:

@@ -1,7 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression trained with FTRL-proximal.
 
-Training runs on the driver over a bounded, documented sample of labelled rows
-(``max_train_rows`` rows of ``max_train_chars`` code points in all); scoring is a sparse dot
+Training runs in one task over a bounded, documented sample of labelled rows
+(``max_train_rows`` rows of ``max_train_chars`` code points in all), so the driver sees the
+weights alone; scoring is a sparse dot
 product per document in a pandas UDF, one map stage with no shuffle. Null and empty texts have
 no features and score by the bias alone; whole texts are scored however long they are; repeated
 rows score alike; an empty table gives an empty result, and a sample without labels gives every
@@ -105,8 +106,15 @@ def train(rows: list[tuple[str | None, int]], bits: int = 18, order: int = 2, ep
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_rows: int = 6000, max_train_chars: int = 20_000_000) -> Model:
     """Train on a bounded sample of labelled rows whose fold is not held out."""
     usable = labels.filter(common.bucket_of(id_col, 5) != 0)
-    rows = common.labelled_sample(docs, usable, id_col, text_col, label_col, max_train_rows, max_train_chars).orderBy("id").toPandas()
-    return train(list(zip(rows["text"], rows["label"].astype(int), strict=True)))
+    sample = common.labelled_sample(docs, usable, id_col, text_col, label_col, max_train_rows, max_train_chars)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        model = train(list(zip(rows["text"], rows["label"].astype(int), strict=True)))
+        return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias], "bits": [model.bits], "n": [model.order]})
+
+    made = sample.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(run, "weights binary, bias double, bits int, n int").first()
+    return train([]) if made is None else Model(np.frombuffer(made["weights"], np.float32), made["bias"], made["bits"], made["n"])
 
 
 def score_column(spark: SparkSession, model: Model, text_col: str):
