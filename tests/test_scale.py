@@ -356,3 +356,40 @@ def test_communities_by_moves(spark):
             assert got["planted"]["modularity"] >= quality(sets["planted"], dict(enumerate(planted))) - 1e-9
             assert got["ring"]["modularity"] >= quality(sets["ring"], {k: k // 6 for k in range(48)}) - 0.02
             assert {(r["g"], r["node"]): r["label"] for r in communities.communities(df, nodes).collect()} == rows
+
+
+def test_centralities_by_joins(spark):
+    """Against direct computations on small graphs: ranks, cores, betweenness and closeness, with lone nodes; roles rise with degree."""
+    from tidalframe.operators import roles
+
+    edges, nodes, sets = random_graphs(spark, 17)
+    table = roles.roles(edges, nodes, 3).toPandas()
+    for g, (n, e) in sets.items():
+        own = table[table["g"] == g].sort_values("node")
+        assert list(own["node"]) == list(range(n))
+        a = np.array([[float(frozenset((i, j)) in e) for j in range(n)] for i in range(n)])
+        degree = a.sum(axis=1)
+        flow = np.divide(a, degree[:, None], out=np.full((n, n), 1 / n), where=degree[:, None] > 0)
+        rank, vector = np.full(n, 1 / n), np.full(n, 1 / np.sqrt(n))
+        for _ in range(100):
+            rank, vector = 0.15 / n + 0.85 * rank @ flow, vector + a @ vector
+            vector /= np.linalg.norm(vector)
+        core, left = np.zeros(n), set(range(n))
+        for level in range(1, n):
+            while low := {v for v in left if sum(a[v, w] for w in left) < level}:
+                left -= low
+            core[list(left)] = level
+        hops = np.where(a > 0, 1.0, np.inf)
+        np.fill_diagonal(hops, 0)
+        for k in range(n):
+            hops = np.minimum(hops, hops[:, [k]] + hops[[k]])
+        paths = np.eye(n)
+        for d in range(1, n):
+            paths = np.where(hops == d, np.where(hops == d - 1, paths, 0) @ a, paths)
+        between = [sum(paths[s, v] * paths[v, t] / paths[s, t] for s in range(n) for t in range(s) if v not in (s, t) and np.isfinite(hops[s, t]) and hops[s, v] + hops[v, t] == hops[s, t]) for v in range(n)]
+        met = np.isfinite(hops)
+        close = [(met[v].sum() - 1) ** 2 / (hops[v][met[v]].sum() * (n - 1)) if met[v].sum() > 1 else 0.0 for v in range(n)]
+        for name, want in (("degree", degree), ("pagerank", rank), ("eigenvector", vector), ("core", core), ("betweenness", between), ("closeness", close)):
+            assert np.allclose(own[name], want, atol=1e-6), (g, name)
+    means = table.groupby("role")["degree"].mean()
+    assert set(table["role"]) == {0, 1, 2} and means[0] < means[2]

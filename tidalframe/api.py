@@ -61,7 +61,7 @@ def parametric_confidence_intervals(forecaster, forecast_steps: int, confidence:
 # Distances, graphs, causality
 correlation_distance, cross_correlation_distance = distances.correlation, distances.cross_correlation
 dtw_distance, euclidean_distance, manhattan_distance = distances.dtw, distances.euclidean, distances.manhattan
-Graph, build_hvg, build_nvg = graph.Graph, graph.visibility, graph.visibility
+Graph, build_hvg, build_nvg = graph.Graph, graph.build_hvg, graph.build_nvg
 build_recurrence_network, build_transition_network, build_windows = graph.recurrence, graph.transitions, graph.build_windows
 net_knn, net_enn = graph.net_knn, graph.net_enn
 compute_clustering, compute_path_lengths, compute_modularity = graph.clustering, models.path_lengths, models.modularity

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import ID, POS, VALUE, WHOLE
-from ..kernels import graphs, series
+from ..kernels import series
 from ..kernels.special import normal_two_sided, t_two_sided
+from .communities import modularity  # noqa: F401
 from .moments import stationarity
 from .networks import motifs4, path_lengths  # noqa: F401
+from .roles import roles  # noqa: F401
 
 BAND = f"{ID} string, h int, {POS} long, y_pred double, lower double, upper double"
 
@@ -197,35 +199,3 @@ def bootstrap_intervals(df: DataFrame, kernel: Callable[[np.ndarray, int], np.nd
     rows = many.groupBy(ID, "b").applyInPandas(run, f"{ID} string, b int, h int, y double").filter(~F.isnan("y"))
     side = (1 - confidence) / 2
     return rows.groupBy(ID, "h").agg(F.avg("y").alias("y_pred"), F.percentile("y", F.lit(side)).alias("lower"), F.percentile("y", F.lit(1 - side)).alias("upper"))
-
-
-def graph_map(edges: DataFrame, nodes: DataFrame, kernel: Callable[[list[set[int]]], pd.DataFrame], schema: str) -> DataFrame:
-    """A kernel over each small graph; isolated graphs come along through their nodes."""
-    both = nodes.join(edges.select("g", "src", "dst"), "g", "left")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.dropna(subset=["src", "dst"])
-        out = kernel(graphs.neighbours(int(rows["n"].iloc[0]), own["src"], own["dst"]))
-        out.insert(0, "g", rows["g"].iloc[0])
-        return out
-
-    return both.groupBy("g").applyInPandas(run, f"g string, {schema}")
-
-
-def modularity(edges: DataFrame, nodes: DataFrame, method: str = "louvain", resolution: float = 1.0, seed: int = 3363) -> DataFrame:
-    def kernel(nb: list[set[int]]) -> pd.DataFrame:
-        label = graphs.communities(nb, method, resolution, seed)
-        return pd.DataFrame([{"modularity": graphs.modularity(nb, label, resolution), "n_communities": len(set(label))}])
-
-    return graph_map(edges, nodes, kernel, "modularity double, n_communities long")
-
-
-def roles(edges: DataFrame, nodes: DataFrame, n_roles: int = 4, n_init: int = 10, seed: int = 3363) -> DataFrame:
-    def kernel(nb: list[set[int]]) -> pd.DataFrame:
-        x = graphs.centralities(nb)
-        out = pd.DataFrame(x, columns=["degree", "clustering", "pagerank", "eigenvector", "core", "betweenness", "closeness"])
-        out.insert(0, "node", range(len(nb)))
-        out["role"] = graphs.roles(nb, n_roles, n_init, seed)
-        return out
-
-    return graph_map(edges, nodes, kernel, "node long, degree double, clustering double, pagerank double, eigenvector double, core double, betweenness double, closeness double, role long")

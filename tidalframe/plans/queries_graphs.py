@@ -39,7 +39,10 @@ def cross_correlation_distance(spark, d):
     return distances.cross_correlation(e, pairs)
 
 
-@query()
+@query(f"""WITH RECURSIVE {TYPES}, a AS (SELECT series_id, list(value ORDER BY t) AS v FROM e GROUP BY 1), p AS (SELECT x.series_id AS i, y.series_id AS j, x.v AS x, y.v AS y FROM a x JOIN a y ON x.series_id < y.series_id),
+dp AS (SELECT i, j, x, y, 1 AS k, list_transform(range(1, len(y) + 2), lambda c: CASE WHEN c = 1 THEN 0.0 ELSE 1e300 END) AS line FROM p
+UNION ALL SELECT i, j, x, y, k + 1, list_reduce(range(1, len(y) + 1).list_transform(lambda c: [CAST(c AS DOUBLE)]), lambda done, c: list_append(done, pow(x[k] - y[len(done)], 2) + least(done[len(done)], line[len(done)], line[len(done) + 1])), [CAST(1e300 AS DOUBLE)]) FROM dp WHERE k <= len(x))
+SELECT i, j, round(sqrt(line[len(line)]), 6) AS distance FROM dp WHERE k = len(x) + 1""")
 def dtw_distance(spark, d):
     e, pairs = typed(spark, d)
     return distances.dtw(e, pairs)
@@ -157,8 +160,28 @@ def window_graphs(spark, d):
     return out.select(F.concat_ws("#", ID, "window").alias("g"), "n_edges")
 
 
-@query()
+_FEATURES = f"count(*) AS n_nodes, CAST(sum(k) / 2 AS BIGINT) AS n_edges, {r('avg(k)', 'avg_degree')}, {r('stddev_pop(k)', 'std_degree')}, min(k) AS min_degree, max(k) AS max_degree, {r('CASE WHEN count(*) > 1 THEN sum(k) / nullif(count(*) * (count(*) - 1), 0) ELSE 0 END', 'density')}"
+_COARSE = f"WITH {TYPES.replace('e AS (', 'f AS (', 1)}, s AS (SELECT series_id, unnest([1, 2, 3]) AS scale, t, value FROM f), c AS (SELECT series_id, scale, CAST(t // scale AS BIGINT) AS t, avg(value) AS value, count(*) AS m FROM s GROUP BY 1, 2, 3), e AS (SELECT concat(series_id, '@', scale) AS series_id, t, value FROM c WHERE m = scale AND (SELECT count(*) FROM c o WHERE o.series_id = c.series_id AND o.scale = c.scale AND o.m = o.scale) >= 10)"
+
+
+@query(f"{_visible(_COARSE, '1')}, {_DEGREES} SELECT split_part(g, '@', 1) AS series_id, CAST(split_part(g, '@', 2) AS INT) AS scale, {_FEATURES} FROM dg GROUP BY g")
 def multiscale_graphs(spark, d):
     from ..estimators import MultiscaleGraphs
 
     return MultiscaleGraphs(scales=[1, 2, 3]).transform(frame.events_by_type_day(spark, d))
+
+
+@query(f"WITH {USERS}, m AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM e GROUP BY 1), b AS (SELECT e.series_id AS g, t, CASE WHEN hi = lo THEN 0 ELSE least(4, floor((value - lo) / ((hi - lo) / 5))) END AS raw FROM e JOIN m USING (series_id)), s AS (SELECT g, t, dense_rank() OVER (PARTITION BY g ORDER BY raw) - 1 AS s FROM b), w AS (SELECT g, s AS src, lead(s) OVER (PARTITION BY g ORDER BY t) AS dst FROM s), ed AS (SELECT DISTINCT g, src, dst FROM w WHERE dst IS NOT NULL), nd AS (SELECT DISTINCT g, s AS node FROM s), bo AS (SELECT g, src AS node, dst AS other FROM ed UNION ALL SELECT g, dst, src FROM ed), dg AS (SELECT nd.g, nd.node, count(bo.other) AS k FROM nd LEFT JOIN bo ON bo.g = nd.g AND bo.node = nd.node GROUP BY 1, 2) SELECT g, {_FEATURES} FROM dg GROUP BY g")
+def transition_features(spark, d):
+    from ..estimators import TransitionNetworkFeaturizer
+
+    y = frame.events_by_user(spark, d)
+    return TransitionNetworkFeaturizer(5, include_degrees=False).fit(y).transform(y)
+
+
+@query(f"WITH {_STATES}, l AS (SELECT g, quantile_cont(d, 0.1) AS eps FROM (SELECT g, d FROM q WHERE d > 0 UNION ALL SELECT g, d FROM q WHERE d > 0) GROUP BY 1), ed AS (SELECT q.g, src, dst FROM q JOIN l ON l.g = q.g WHERE d <= eps), {_DEGREES} SELECT g, {_FEATURES} FROM dg GROUP BY g")
+def recurrence_features(spark, d):
+    from ..estimators import RecurrenceNetworkFeaturizer
+
+    y = frame.events_by_type_day(spark, d)
+    return RecurrenceNetworkFeaturizer(embedding_dimension=2, include_degrees=False).fit(y).transform(y)

@@ -147,6 +147,25 @@ def sequences(spark, d):
     return rows.select(ID, POS, total("x").alias("x_sum"), F.col("x")[0].alias("x_first"), total("y").alias("y_sum"))
 
 
+@query(f"""WITH {USERS}, a AS (SELECT series_id, t, list(value) OVER w AS x, list(value * t) OVER w AS o, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS y FROM e WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+SELECT series_id, t, {r('list_sum(x)', 'x_sum')}, {r('list_sum(o)', 'o_sum')}, {r('o[1]', 'o_first')}, {r('list_sum(y)', 'y_sum')} FROM a WHERE len(x) = 3 AND len(y) = 2""")
+def sequences_exogenous(spark, d):
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    rows = clean.sequences(frame.events_by_user(spark, d).withColumn("o", F.col(VALUE) * F.col(POS)), 3, 2, ["o"])
+    return rows.select(ID, POS, total("x").alias("x_sum"), total("x_o").alias("o_sum"), F.col("x_o")[0].alias("o_first"), total("y").alias("y_sum"))
+
+
+@query(f"""WITH {USERS} SELECT series_id, t, {r('value', 'value')}, {r(f'lag(value, 1) {OVER}', 'past__lag_1')}, {r(f'lag(value, 2) {OVER}', 'past__lag_2')}, {r(f'value - lag(value, 1) {OVER}', 'change')} FROM e""")
+def feature_union(spark, d):
+    from ..compose import FeatureUnion
+    from ..estimators import DifferencingFeaturizer, LagFeaturizer
+
+    y = frame.events_by_user(spark, d)
+    out = FeatureUnion([("past", LagFeaturizer([1, 2])), ("step", DifferencingFeaturizer())]).fit(y).transform(y)
+    change = next(c for c in out.columns if c.startswith("step__") and c.rsplit("_", 1)[-1] == "1")
+    return out.select(ID, POS, VALUE, "past__lag_1", "past__lag_2", F.col(change).alias("change"))
+
+
 @query(f"WITH {USERS}, a AS (SELECT series_id, t, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS w FROM e) SELECT series_id, CAST(t // 5 AS BIGINT) AS win, {r('list_sum(w)', 'total')} FROM a WHERE t % 5 = 0 AND len(w) = 10")
 def sliding_windows(spark, d):
     rows = clean.sliding_windows(frame.events_by_user(spark, d), 10, 5)
@@ -166,6 +185,11 @@ def partial_autocorrelation(spark, d):
     return stats.partial_autocorrelation(frame.orders_by_day(spark, d), 20).select("lag", "pacf")
 
 
+@query(f"WITH {_ACF}, l AS (SELECT list(CAST(acf AS DOUBLE) ORDER BY lag) AS q FROM r), f AS (SELECT list_reduce(list_transform(range(1, 21), lambda k: [CAST(k AS DOUBLE)]), lambda a, x: list_append(a, (q[len(a) + 2] - list_dot_product(a, list_reverse(q[2:len(a) + 1]))) / (1 - list_dot_product(a, q[2:len(a) + 1]))), [q[2]]) AS phi FROM l) SELECT CAST(r.lag AS INT) AS lag, round(CAST(acf AS DOUBLE), 6) AS acf, CASE WHEN r.lag = 0 THEN 1.0 ELSE round(phi[r.lag], 6) END AS pacf FROM r, f")
+def autocorrelation_plot(spark, d):
+    return stats.autocorrelation_plot_data(frame.orders_by_day(spark, d), 20).select("lag", "acf", "pacf")
+
+
 @query(f"WITH {MONTHS} SELECT series_id, {r('regr_slope(value, t)', 'slope')}, {r('regr_intercept(value, t)', 'intercept')}, {r('abs(corr(value, t))', 'strength')} FROM e GROUP BY 1")
 def trend_linear(spark, d):
     return stats.detect_trend(frame.orders_by_priority_month(spark, d))
