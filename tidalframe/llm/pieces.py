@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -165,7 +165,10 @@ def verify(tok, data: bytes, texts: list[str]) -> list[str]:
 def load(path: str = DEFAULT_MODEL) -> tuple[str, bool]:
     """The tokenizer as JSON, after a parity check, and ``words_apart``; a few MB, fixed by the model file."""
     with open(path, "rb") as f:
-        data = f.read()
+        return checked(f.read())
+
+
+def checked(data: bytes) -> tuple[str, bool]:
     tok = build(data)
     if bad := verify(tok, data, PROBES):
         raise ValueError(f"ids differ from sentencepiece for {bad[:3]!r}")
@@ -175,6 +178,20 @@ def load(path: str = DEFAULT_MODEL) -> tuple[str, bool]:
     return json, apart
 
 
+def shared_model(spark: SparkSession, path: str):
+    """What ``load`` gives, as a broadcast. A task builds and checks it, so the driver holds the file and the result alone."""
+    with open(path, "rb") as f:
+        data = f.read()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            made = [checked(data) for _ in range(len(part))]
+            yield pd.DataFrame({"json": [m[0] for m in made], "apart": [m[1] for m in made]})
+
+    made = spark.range(1, numPartitions=1).mapInPandas(run, "json string, apart boolean").first()
+    return spark.sparkContext.broadcast((made["json"], made["apart"]))
+
+
 class Backend:
     """Encodes batches of texts; where words are apart, each distinct word once.
 
@@ -301,7 +318,7 @@ def encode_column(docs: DataFrame, text_col: str, model_path: str = DEFAULT_MODE
     gives the text back; token_ids is null unless ``ids``.
     """
     common.tune(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
+    shared = shared_model(docs.sparkSession, model_path)
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own_backend = backend(*shared.value)
@@ -323,7 +340,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 def decode(rows: DataFrame, ids_col: str = "token_ids", model_path: str = DEFAULT_MODEL) -> DataFrame:
     """Adds ``text``, decoded from an array of ids; null ids give null."""
     common.tune(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(load(model_path))
+    shared = shared_model(rows.sparkSession, model_path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
