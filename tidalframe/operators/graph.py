@@ -78,14 +78,14 @@ def visibility(df: DataFrame, weight: str | None = None, limit: int | None = Non
     return out.select("g", "src", "dst", weights[weight].alias("weight"))
 
 
-def build_hvg(df: DataFrame, weighted: bool = False, limit: int | None = None, directed: bool = False, horizontal: bool = False) -> Graph:
-    """The graph named horizontal: the natural test by default, weights are differences of values."""
-    return Graph(visibility(df, "difference" if weighted else None, limit, horizontal), nodes_of(df), directed, weighted)
+def build_hvg(df: DataFrame, weighted: bool = False, limit: int | None = None, horizontal: bool = False) -> DataFrame:
+    """Edges of the graph named horizontal: the natural test by default, weights are differences of values."""
+    return visibility(df, "difference" if weighted else None, limit, horizontal)
 
 
-def build_nvg(df: DataFrame, weighted: bool = False, limit: int | None = None, directed: bool = False) -> Graph:
-    """The natural visibility graph; weights are lengths of the lines of sight."""
-    return Graph(visibility(df, "length" if weighted else None, limit), nodes_of(df), directed, weighted)
+def build_nvg(df: DataFrame, weighted: bool = False, limit: int | None = None) -> DataFrame:
+    """Edges of the natural visibility graph; weights are lengths of the lines of sight."""
+    return visibility(df, "length" if weighted else None, limit)
 
 
 def recurrence(df: DataFrame, threshold: float | None = None, dimension: int = 1, delay: int = 1, metric: str = "euclidean", k: int | None = None, mode: str = "mutual") -> DataFrame:

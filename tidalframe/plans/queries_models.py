@@ -105,7 +105,9 @@ def monte_carlo_forecast(spark, d):
 
 @query()
 def gbm_paths(spark, d):
-    return simulate.bands(simulate.geometric_paths(spark, 100.0, 0.0, 0.02, 20, 500, 3), ["step"])
+    y = simulate.return_statistics(frame.orders_by_day(spark, d)).select("spot", "drift", "volatility")
+    spot, drift, spread = y.first()
+    return simulate.bands(simulate.geometric_paths(spark, spot, drift, spread, 20, 500, 3), ["step"])
 
 
 @query()
