@@ -384,6 +384,93 @@ def test_cross_entropy_against_brute_force(spark, docs, monkeypatch, head, ids,
             assert r[f"h_{name}"] == (None if want[r["doc_id"], name] is None else pytest.approx(want[r["doc_id"], name], abs=1e-3))
 
 
+def brute_contexts(rows, good, most):
+    """Losses of the model of classes, written out; the spelling and word counts are those of ``brute_losses``."""
+    import math
+    from collections import Counter
+
+    words = {i: re.findall(r"\w+|[^\w\s]", (t or "").lower()) for i, t in rows.items()}
+    steps = Counter(w for own in words.values() for w in own)
+    held, least = 0, None
+    for s, c in sorted(Counter(math.floor(math.log2(n) * cross_entropy.STEPS) for n in steps.values()).items(), reverse=True):
+        held += c
+        if held > most:
+            break
+        least = s
+    known = {w for w, n in steps.items() if least is not None and math.floor(math.log2(n) * cross_entropy.STEPS) >= least}
+    out = {}
+    for name, ids in (("background", set(rows)), ("target", good & set(rows))):
+        count, spelt, chars, begun = Counter(), Counter(), Counter(), Counter()
+        pairs, tokens, follow = Counter(), Counter(), Counter()
+        kind = lambda w: w if w in known else None
+        of = lambda own: list(zip([0, *map(kind, own)], map(kind, own), strict=False))
+        for i in ids:
+            count.update(words[i])
+            pairs.update(of(words[i]))
+            tokens.update(map(kind, words[i]))
+        for w, n in count.items():
+            raw = [256, *w.encode(), 256]
+            for a, b in zip(raw, raw[1:], strict=False):
+                chars[a, b] += n
+                begun[a] += n
+        single, after = Counter(), Counter()
+        for (a, b), n in chars.items():
+            after[a] += 1
+            single[b] += n
+        start = Counter()
+        for (v, _), n in pairs.items():
+            follow[v] += 1
+            start[v] += n
+        for i, own in words.items():
+            mine = words[i] if i in ids else []
+            own_pairs, own_tokens, own_words = Counter(of(mine)), Counter(map(kind, mine)), Counter(mine)
+            own_start = Counter(v for v, _ in of(mine))
+            bits = []
+            for w, (v, k) in zip(own, of(own), strict=True):
+                t = max(follow[v], 1)
+                q = (tokens[k] - own_tokens[k] + 1) / (sum(tokens.values()) - len(mine) + len(known) + 1)
+                p = math.log2((pairs[v, k] - own_pairs[v, k] + t * q) / (start[v] - own_start[v] + t))
+                if k is None:
+                    raw, sp = [256, *w.encode(), 256], 0.0
+                    for a, b in zip(raw, raw[1:], strict=False):
+                        low = (single[b] + len(single) / 257) / (sum(single.values()) + len(single)) if single else 1 / 257
+                        sp += math.log2((chars[a, b] + after[a] * low) / (begun[a] + after[a]) if begun[a] else low)
+                    kinds = max(len(count), 1)
+                    p += math.log2((count[w] - own_words[w] + kinds * 2**sp) / (tokens[None] - own_tokens[None] + kinds))
+                bits.append(p)
+            out[i, name] = -sum(bits) / len(bits) if bits else None
+    return out
+
+
+@pytest.mark.parametrize(("contexts", "head", "held", "chars"), [(200, 1_000_000, 2_000_000, 2_000_000), (60, 20, 300, 900)])
+def test_cross_entropy_contexts_against_brute_force(spark, docs, monkeypatch, contexts, head, held, chars):
+    """Classes of frequent words in context: with all pairs broadcast, and with nearly all words and pairs joined and small slices."""
+    monkeypatch.setattr(cross_entropy, "HEAD_PAIRS", head)
+    monkeypatch.setattr(cross_entropy, "HEAD_WORDS", head)
+    monkeypatch.setattr(cross_entropy, "TASK_PAIRS", held)
+    monkeypatch.setattr(cross_entropy, "SLICE_CHARS", chars)
+    labels = common.table(spark, DATA, "labels")
+    some = docs.filter(F.length("text") < 900)
+    want = brute_contexts(texts(some), {r["doc_id"] for r in labels.filter("quality = 1").collect()}, contexts)
+    rows = cross_entropy.scores(some, cross_entropy.fit(some, labels, contexts=contexts)).collect()
+    assert len(rows) == some.count() > 20
+    for r in rows:
+        for name in ("background", "target"):
+            assert r[f"h_{name}"] == (None if want[r["doc_id"], name] is None else pytest.approx(want[r["doc_id"], name], abs=1e-3))
+
+
+def test_cross_entropy_order_of_words(spark, odd):
+    """The query's models tell a text from the same words in another order."""
+    texts_ = [(k, "the cat sat on the mat") for k in range(5)] + [(5, "mat the on sat cat the"), (6, None), (7, "")]
+    df, labels = spark.createDataFrame(texts_, "doc_id long, text string"), spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    for contexts, apart in ((0, False), (100, True)):
+        by = {r["doc_id"]: r for r in cross_entropy.scores(df, cross_entropy.fit(df, labels, contexts=contexts)).collect()}
+        assert (by[5]["h_background"] > by[1]["h_background"] + 0.5) == apart and by[6]["h_target"] is None and by[7]["difference"] is None
+    models = cross_entropy.fit(odd, labels, contexts=100)
+    assert all(np.isfinite(r["difference"]) for r in cross_entropy.scores(odd, models).collect() if r["n_tokens"])
+    assert cross_entropy.scores(odd, cross_entropy.fit(odd.limit(0), labels, contexts=100)).count() == odd.count()
+
+
 def test_cross_entropy_odd(spark, docs, odd):
     labels = common.table(spark, DATA, "labels")
     for models in (cross_entropy.fit(odd, labels), cross_entropy.fit(docs.limit(0), labels)):

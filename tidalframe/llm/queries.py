@@ -21,7 +21,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return cross_entropy.scores(docs, cross_entropy.fit(docs, table(spark, sf_dir, "labels")))
+    return cross_entropy.scores(docs, cross_entropy.fit(docs, table(spark, sf_dir, "labels"), contexts=16_384))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
