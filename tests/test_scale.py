@@ -393,3 +393,18 @@ def test_centralities_by_joins(spark):
             assert np.allclose(own[name], want, atol=1e-6), (g, name)
     means = table.groupby("role")["degree"].mean()
     assert set(table["role"]) == {0, 1, 2} and means[0] < means[2]
+
+
+def test_sight_sends_bounded_frames(monkeypatch):
+    """A task holds some edges at a time, not those of a whole batch of blocks."""
+    import numpy as np
+    import pandas as pd
+
+    from tidalframe.operators import sight
+
+    monkeypatch.setattr(sight, "HELD", 500)
+    rng = np.random.default_rng(4)
+    blocks = pd.DataFrame([{"g": str(k), "t": np.arange(60), "y": rng.normal(size=60), "tilt": 0.0, "scale": 0.0, "ahead": None} for k in range(100)])
+    frames = list(sight._near(False)(iter([blocks])))
+    edges = [sum(len(x) for x in f["src"]) for f in frames]
+    assert sum(len(f) for f in frames) == 100 and len(frames) > 10 and max(edges) < 1000

@@ -26,6 +26,8 @@ from ..frame import ID, POS, VALUE
 from ..stages import stored
 
 BLOCK, FANOUT = 512, 16
+#: Blocks in a batch of a task, and edges or candidates that it holds before it sends them.
+BATCH, HELD = 256, 200_000
 #: Relative slack of a box test, for rounding; edges are decided by the exact slopes.
 SLACK = 1e-9
 BOX = "array<struct<level:int,node:long,top:double,at:long,first:long,last:long>>"
@@ -125,13 +127,19 @@ def _near(horizontal: bool):
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
+            out, held = [], 0
             for r in part.itertuples(index=False):
                 t, y = np.asarray(r.t), np.asarray(r.y, float)
                 i, j, _, met = seen(t, y, np.full(len(t), -np.inf), t, y, horizontal)
+                held += len(i)
                 out.append(dict.fromkeys(ASKED) | {"g": r.g, "level": -1, "node": -1, "tilt": r.tilt, "scale": r.scale, "src": t[i], "dst": t[j], "yi": y[i], "yj": y[j]})
                 if r.ahead is not None:
-                    out += asking(r, met, met - (0.0 if horizontal else r.tilt), list(r.ahead), horizontal)
+                    asks = list(asking(r, met, met - (0.0 if horizontal else r.tilt), list(r.ahead), horizontal))
+                    held += sum(len(x["t"]) for x in asks)
+                    out += asks
+                if held >= HELD:
+                    yield pd.DataFrame(out, columns=ASKED + FOUND)
+                    out, held = [], 0
             yield pd.DataFrame(out, columns=ASKED + FOUND)
 
     return run
@@ -142,7 +150,14 @@ def _down(horizontal: bool):
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [x for r in part.itertuples(index=False) for x in asking(r, np.asarray(r.own, float), np.asarray(r.met, float), list(r.kids), horizontal)]
+            rows, held = [], 0
+            for r in part.itertuples(index=False):
+                for x in asking(r, np.asarray(r.own, float), np.asarray(r.met, float), list(r.kids), horizontal):
+                    rows.append(x)
+                    held += len(x["t"])
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=ASKED)
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=ASKED)
 
     return run
@@ -153,7 +168,7 @@ def _far(horizontal: bool):
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
+            out, held = [], 0
             for r in part.itertuples(index=False):
                 t, y, own = np.asarray(r.t), np.asarray(r.y, float), np.asarray(r.own, float)
                 t2, y2, met = np.asarray(r.t2), np.asarray(r.y2, float), np.asarray(r.met, float)
@@ -161,6 +176,10 @@ def _far(horizontal: bool):
                     met = np.maximum(own, met + r.tilt - SLACK * (r.scale + np.abs(met, where=np.isfinite(met), out=np.zeros_like(met))))
                 i, j, slope, _ = seen(t, y, met, t2, y2, horizontal)
                 out.append(pd.DataFrame({"g": r.g, "src": t[i], "dst": t2[j], "yi": y[i], "yj": y2[j], "slope": slope, "own": own[i]}))
+                held += len(i)
+                if held >= HELD:
+                    yield pd.concat(out)
+                    out, held = [], 0
             yield pd.concat(out) if out else pd.DataFrame(columns=["g", "src", "dst", "yi", "yj", "slope", "own"])
 
     return run
@@ -168,6 +187,8 @@ def _far(horizontal: bool):
 
 def candidates(df: DataFrame, horizontal: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Edges (g, src, dst, yi, yj) within blocks, and candidates (with slope and own) between them; None if no series is longer than a block."""
+    # A row of a batch is a block with its edges, so batches are small.
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     blocks = blocks_of(df)
     most = blocks.agg(F.max("b")).first()[0] or 0
     levels = 0
