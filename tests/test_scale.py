@@ -408,3 +408,23 @@ def test_sight_sends_bounded_frames(monkeypatch):
     frames = list(sight._near(False)(iter([blocks])))
     edges = [sum(len(x) for x in f["src"]) for f in frames]
     assert sum(len(f) for f in frames) == 100 and len(frames) > 10 and max(edges) < 1000
+
+
+def test_nearest_looks_at_distances_once(monkeypatch):
+    """A box is one product of matrices, and only pairs under the bound are taken exactly."""
+    asked = []
+    plain = neighbours.exact
+    monkeypatch.setattr(neighbours, "exact", lambda a, b: asked.append(len(a)) or plain(a, b))
+    monkeypatch.setattr(neighbours, "distances", None)
+    rng = np.random.default_rng(9)
+    v, w = rng.normal(size=(40, 6)), np.concatenate([rng.normal(size=(300, 6)), np.zeros((2, 6))])
+    v[0] = 0.0
+    ids, other = np.arange(40), np.arange(20, 322)
+    want = np.sqrt(((v[:, None] - w[None]) ** 2).sum(2))
+    want[ids[:, None] == other[None]] = np.inf
+    for tau in (np.full(40, np.inf), np.full(40, 1.5)):
+        got = neighbours._nearest(3)(ids, v, tau, other, w)
+        for i in ids:
+            order = [k for k in np.lexsort((other, want[i])) if want[i, k] <= tau[i]][:3]
+            assert got[got["i"] == i]["j"].tolist() == other[order].tolist()
+    assert sum(asked) < 40 * 302

@@ -30,6 +30,8 @@ PIVOTS, BOXES, BOX_ROWS, ASK_ROWS, SLICE = 256, 100_000, 4096, 8192, 512
 SAMPLE = 1000
 #: Distances that are listed to interpolate a percentile.
 LISTED = 10_000
+#: Pairs whose distances are taken exactly at once.
+PAIRS_AT_ONCE = 50_000
 #: Relative slack of bounds, for rounding; distances themselves are exact.
 SLACK = 1e-9
 PAIRS = "i long, j long, d double"
@@ -142,33 +144,60 @@ def answered(index: Index, asks: DataFrame, answer: Callable[[np.ndarray, np.nda
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of pairs of rows, dimension by dimension."""
-    square = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        square += (a[:, k] - b[:, k]) ** 2
+    apart, square = np.ascontiguousarray((a - b).T), np.zeros(len(a))
+    for c in apart:
+        square += c * c
     return np.sqrt(square)
 
 
-def _within(ids, v, tau, other, w) -> pd.DataFrame:
-    """Other rows at tau or nearer."""
-    if not len(ids):
-        return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": float})
-    near = distances(v, w)
-    row, to = np.nonzero((near <= tau[:, None] + 1e-6 * (1 + near)) & (ids[:, None] != other[None]))
-    d = exact(v[row], w[to])
+def exact_at(v: np.ndarray, w: np.ndarray, row: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """``exact`` of v[row] and w[to], ``PAIRS_AT_ONCE`` at a time."""
+    parts = [exact(v[row[k : k + PAIRS_AT_ONCE]], w[to[k : k + PAIRS_AT_ONCE]]) for k in range(0, len(row), PAIRS_AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squares of all distances by one product of matrices, and a bound of their error."""
+    own, other = (a * a).sum(1), (b * b).sum(1)
+    out = a @ b.T
+    out *= -2
+    out += own[:, None]
+    out += other[None]
+    return out, 1e-15 * (8 + a.shape[1]) * float(own.max(initial=0) + other.max(initial=0)) + 1e-300
+
+
+def _found(ids, v, tau, other, w, near: np.ndarray, error: float) -> pd.DataFrame:
+    """Pairs at tau or nearer among those whose squares say so."""
+    row, to = np.nonzero(near <= (tau * tau * (1 + SLACK) + error)[:, None])
+    apart = ids[row] != other[to]
+    row, to = row[apart], to[apart]
+    d = exact_at(v, w, row, to)
     ok = d <= tau[row]
     return pd.DataFrame({"i": ids[row][ok], "j": other[to][ok], "d": d[ok]})
 
 
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": float})
+
+
+def _within(ids, v, tau, other, w) -> pd.DataFrame:
+    """Other rows at tau or nearer."""
+    return _found(ids, v, tau, other, w, *squares(v, w)) if len(ids) else _nothing()
+
+
 def _nearest(k: int):
     """The k nearest other rows, at tau or nearer; of equal distances the smaller id is nearer."""
 
     def answer(ids, v, tau, other, w) -> pd.DataFrame:
         if not len(ids):
-            return _within(ids, v, tau, other, w)
-        near = np.where(ids[:, None] == other[None], np.inf, distances(v, w))
-        kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
-        kth = np.where(np.isfinite(kth), kth + 1e-6 * (1 + kth), np.inf)
-        found = _within(ids, v, np.minimum(tau, kth), other, w).sort_values(["i", "d", "j"])
+            return _nothing()
+        near, error = squares(v, w)
+        # Only a query that knows no bound yet looks for one: k rows and itself.
+        tau, new = tau.copy(), np.flatnonzero(np.isinf(tau))
+        if len(new) and near.shape[1] > k:
+            kth = np.partition(near[new], k, axis=1)[:, k]
+            tau[new] = np.sqrt(np.maximum(kth, 0) * (1 + SLACK) + 2 * error)
+        found = _found(ids, v, tau, other, w, near, error).sort_values(["i", "d", "j"])
         return found.groupby("i", sort=False).head(k)
 
     return answer
@@ -214,7 +243,7 @@ def _counted(index: Index, low: float, high: float, bins: int) -> tuple[int, np.
 
     Boxes that lie below or above the range as a whole are counted or left out unopened.
     """
-    edges, count = np.linspace(low, high, bins + 1), index.count
+    edges, count, top = np.linspace(low, high, bins + 1), index.count, high
     light = Index(None, index.pivots, index.pivot, index.least, index.most, index.count)
 
     def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,13 +257,20 @@ def _counted(index: Index, low: float, high: float, bins: int) -> tuple[int, np.
     def histogram(ids, v, tau, other, w) -> pd.DataFrame:
         if not len(ids):
             return pd.DataFrame({"bin": [], "n": []}).astype("int64")
-        d = distances(v, w)
-        row, to = np.nonzero((d >= low - 1e-6 * (1 + low)) & (d <= high + 1e-6 * (1 + high)))
-        below = int((d < low - 1e-6 * (1 + low)).sum())
-        d = exact(v[row], w[to])
+        near, error = squares(v, w)
+        least = low * low * (1 - SLACK) - error
+        surely = near < least
+        below = int(surely.sum())
+        row, to = np.nonzero((near <= high * high * (1 + SLACK) + error) & ~surely)
+        d = np.sqrt(np.maximum(near[row, to], 0))
+        place = np.clip(((d - low) / max((high - low) / bins, 1e-300)), 0, bins - 1).astype(int)
+        # Only a distance that rounding could put on the other side of an edge is taken exactly.
+        doubt = error / np.maximum(d, 1e-150) + 1e-12 * (d + top)
+        close = np.flatnonzero((d - edges[place] <= doubt) | (edges[place + 1] - d <= doubt))
+        d[close] = exact_at(v, w, row[close], to[close])
+        place[close] = np.clip(np.searchsorted(edges, d[close], "right") - 1, 0, bins - 1)
         below += int((d < low).sum())
-        d = d[(d >= low) & (d <= high)]
-        found = np.bincount(np.clip(np.searchsorted(edges, d, "right") - 1, 0, bins - 1), minlength=bins)
+        found = np.bincount(place[(d >= low) & (d <= high)], minlength=bins)
         used = np.flatnonzero(found)
         return pd.DataFrame({"bin": np.append(used, -1), "n": np.append(found[used], below)})
 
