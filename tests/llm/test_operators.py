@@ -459,6 +459,14 @@ def test_cross_entropy_contexts_against_brute_force(spark, docs, monkeypatch, co
             assert r[f"h_{name}"] == (None if want[r["doc_id"], name] is None else pytest.approx(want[r["doc_id"], name], abs=1e-3))
 
 
+def test_driver_is_released_between_stored_tables(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(common, "release", asked.append)
+    for _ in range(2 * common.RELEASE):
+        common.stored(spark.range(1))
+    assert len(asked) == 2
+
+
 def test_cross_entropy_order_of_words(spark, odd):
     """The query's models tell a text from the same words in another order."""
     texts_ = [(k, "the cat sat on the mat") for k in range(5)] + [(5, "mat the on sat cat the"), (6, None), (7, "")]

@@ -7,6 +7,8 @@ extra input columns cannot clash with them.
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 import uuid
 
@@ -32,10 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Stored tables from one release of the driver's memory to the next.
+RELEASE = 6
+_count = itertools.count(1)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees what the driver holds of finished steps: Spark's cleaner drops their broadcasts and shuffles when nothing refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and later reads take single columns."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_count) % RELEASE == 0:
+        release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
