@@ -144,6 +144,32 @@ def test_jaccard_join_needs_the_matrix(spark, monkeypatch):
     assert got == brute_components(rows, 3, 80)
 
 
+def test_jaccard_join_family_under_the_threshold(spark, monkeypatch):
+    """A family of near copies, most of which link with few others, asks each of its groups once a document, and has few groups."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 40)
+    # Text k has edits k and k + 1, so neighbours share one and come to 0.78; every tenth has one edit and links.
+    where, rows = np.random.default_rng(4).integers(0, 50, 241), {}
+    for k in range(240):
+        own = [f"w{j}" for j in range(50)]
+        for edit in (k,) if k % 10 == 9 else (k, k + 1):
+            own[where[edit]] = f"e{edit}"
+        rows[k] = " ".join(own)
+    seen, stored = [], common.stored
+
+    def counting(table):
+        out = stored(table)
+        if out.columns == ["v", "at"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "stored", counting)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(df, n=3, percent=80).collect()}
+    expected = brute_components(rows, 3, 80)
+    assert got == expected and 100 < len({c for _, c in expected.values()}) < 240
+    assert len(seen) == 1 and 240 < seen[0] <= 240 * (240 // 40)
+
+
 def test_one_id_with_two_texts(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     df = spark.createDataFrame([(7, a, "y"), (7, b, "x"), (3, a, "z"), (9, b, "w"), (7, b, "v"), (None, a, "u")], "doc_id long, text string, label string")

@@ -64,13 +64,13 @@ def discard(spark: SparkSession, path: str) -> None:
 BROADCAST_IDS = 1_000_000
 
 
-def matching(rows: DataFrame, key: str, ids: DataFrame, id_col: str, keep: list[str] | None = None, how: str | None = None) -> DataFrame:
+def matching(rows: DataFrame, key: str, ids: DataFrame, id_col: str, keep: list[str] | None = None, how: str | None = None, count: int | None = None) -> DataFrame:
     """Rows whose ``key`` is an id of ``ids`` (``how="left_anti"``: is none; ``how="left"``: all rows), with the columns ``keep`` of ids.
 
-    ids are distinct and already stored. They are broadcast up to ``BROADCAST_IDS``.
+    ids are distinct and already stored. They are broadcast up to ``BROADCAST_IDS``; ``count`` is their number, if it is known.
     """
     ids = ids.select(F.col(id_col).alias("__match"), *(keep or []))
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if (ids.limit(BROADCAST_IDS + 1).count() if count is None else count) <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     out = rows.join(ids, F.col(key).cast("long") == F.col("__match"), how or ("inner" if keep else "left_semi"))
     return out.drop("__match") if keep else out

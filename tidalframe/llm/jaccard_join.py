@@ -14,18 +14,20 @@ A document's set holds its distinct word n-grams. Two documents link when
    of one key are cut into groups bounded in rows and tokens; each is clustered exactly by a
    matrix of token unions (``Chunk``). One leader of each cluster takes part in further passes,
    keyed by another hash and the first in turn, which connect clusters across groups.
-4. Token-group matrix. Stored as rows (token, group), it is the union of the head tokens of each
-   group's members. A link that is still open joins two clusters, so tokens that one cluster
+4. Token-group matrix. A link that is still open joins two clusters, so tokens that one cluster
    alone has are no part of it, and documents that have too few others drop out, again and
-   again. Each document left queries the matrix with its rarest tokens (all but the overlap
-   needed, less one), as a group that none of them is in cannot reach the overlap. It meets the
-   groups found in bounded blocks, where its overlap with the unions of their parts bounds the
-   overlap with every member, and only parts that reach the needed overlap are opened. Of two
-   clusters the one with fewer members asks.
-
-Pairs are never listed as rows; documents meet in bounded blocks. A passage that many documents
-share makes no candidates unless it is most of them, and nothing is left out: steps 2 and 4
-drop only what cannot link.
+   again. The documents left are laid out by keys that similar ones share (``_layout``) and cut
+   into groups of bounded size; the members of a group are compared with one another. The matrix
+   of rows (token, group) is the union of the head tokens of each group's members. Each document
+   queries it with its rarest tokens (all but the overlap needed, less one), as a group that none
+   of them is in cannot reach the overlap. It meets the groups found in bounded blocks, where its
+   overlap with the unions of their parts bounds the overlap with every member, and only parts
+   that reach the needed overlap are opened. Of two clusters the one with fewer members asks.
+
+Pairs are never listed as rows; documents meet in bounded blocks. A family of k near copies is
+about k / ``CHUNK_ROWS`` groups, each of which a document of the family enters once, however many
+tokens lead there. A passage that many documents share makes no candidates unless it is most of
+them, and nothing is left out: steps 2 and 4 drop only what cannot link.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words than n make one token of
 the whole sequence; null, empty and white-space texts have an empty set and link with nothing.
@@ -44,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, ranges
 from .components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -120,11 +122,12 @@ class Chunk:
 
     A row of the matrix is the union of a group's tokens. A set's overlap with it bounds the
     overlap with every member, and only groups that reach the needed overlap are opened. With
-    ``asking``, those sets are compared with the others only, and the others not at all.
+    ``asking``, those sets are compared with the others only, and the others with one another
+    unless ``met`` says that this was done elsewhere.
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int, asking: np.ndarray | None = None):
-        self.sets, self.percent, self.asking = sets, percent, asking
+    def __init__(self, sets: list[np.ndarray], percent: int, asking: np.ndarray | None = None, met: bool = False):
+        self.sets, self.percent, self.asking, self.met = sets, percent, asking, met
         self.parent = list(range(len(sets)))
 
     def find(self, k: int) -> int:
@@ -154,7 +157,7 @@ class Chunk:
                 continue
             need = -(-percent * size // 100)
             bound = matrix[: len(groups), own[q]].sum(axis=1) if groups else np.empty(0, int)
-            if asking is None or asking[q]:
+            if not self.met or asking[q]:
                 mark[own[q]] = True
                 for g in np.flatnonzero(bound >= need):
                     both, lengths = groups[g].overlaps(own, mark)
@@ -338,12 +341,12 @@ def _groups(alive: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _open(percent: int):
-    """(v, leader) of one block of a group: its members, and the documents that asked for it."""
+    """(v, leader) of one block of a group: its members, who meet in its first block, and documents that asked for it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("v", kind="stable")
         v = rows["v"].to_numpy(np.int64)
-        chunk, first = Chunk([np.asarray(t, np.int64).view(np.uint64) for t in rows["tokens"]], percent, rows["asks"].to_numpy(bool)), {}
+        chunk, first = Chunk([np.asarray(t, np.int64).view(np.uint64) for t in rows["tokens"]], percent, rows["asks"].to_numpy(bool), bool(rows["block"].iloc[0])), {}
         for k, label in enumerate(rows["label"].to_numpy(np.int64)):
             chunk.join(k, first.setdefault(label, k))
         return pd.DataFrame({"v": v, "leader": v[chunk.run()]})
@@ -352,17 +355,44 @@ def _open(percent: int):
 
 
 def _foreign(rows: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(v, token) of rows (v, label, token) whose token other labels have too, and the documents that have enough of them."""
+    """(v, token) of rows (v, label, token) whose token other labels have too, and the documents that have enough of them (stored)."""
     foreign = rows.groupBy("token").agg(F.min("label").alias("__a"), F.max("label").alias("__z")).filter("__a < __z")
-    foreign = common.stored(foreign.select("token"))
-    shared = rows.select("v", "token").join(foreign, "token", "left_semi")
+    shared = rows.select("v", "token").join(foreign.select("token"), "token", "left_semi")
     counts = shared.groupBy("v").agg(F.count(F.lit(1)).alias("__c"))
     needs = needs.groupBy("v").agg(F.min("need").alias("__n"))
     return shared, common.stored(counts.join(needs, "v").filter("__c >= __n").select("v"))
 
 
-def _across(alive: DataFrame, groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
-    """Links (v, leader) between groups, found over the token-group matrix; None without any candidate.
+def _layout(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with ``at``, the group of each: runs of about ``CHUNK_ROWS`` members or ``CHUNK_TOKENS`` tokens at most.
+
+    Members are in the order of two keys. A key is the token of smallest hash, where tokens that
+    many of ``rows`` (v, token) have count as many times: most of a family have the same.
+    """
+    times = rows.groupBy("token").agg(F.count(F.lit(1)).alias("__t"))
+    drawn = lambda seed: F.min(F.struct((-F.log((F.pmod(F.xxhash64(F.lit(seed), "token"), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("__t")).alias("e"), "token"))["token"]
+    keys = rows.join(times, "token").groupBy("v").agg(drawn(1).alias("__k1"), drawn(2).alias("__k2"))
+    order = [F.col("__k1"), F.col("__k2"), F.col("v")]
+    dealt = ranges.by_ranges(members.join(keys, "v"), *order)
+    placed = ranges.running(dealt, F.greatest("n", F.lit(CHUNK_TOKENS // CHUNK_ROWS)), order)
+    return common.stored(placed.select("v", "label", "n", "need", "rank", F.floor(F.col("__before") / CHUNK_TOKENS).alias("at")))
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """(v, at): the groups, other than its own, that each document of rows (v, at, rank, need, token) asks."""
+    matrix = rows.groupBy("token", "at").agg(F.max("rank").alias("top"))
+    # One row a token: the groups that have it, with the largest cluster that has it there.
+    matrix = common.stored(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.collect_list(F.struct("at", "top")).alias("places")))
+    whole = Window.partitionBy("v")
+    rare = rows.join(matrix.select("token", "groups"), "token").withColumn("__r", F.row_number().over(whole.orderBy("groups", "token"))).withColumn("__c", F.count(F.lit(1)).over(whole))
+    rare = rare.filter("__r <= __c - need + 1").select("token", "v", F.col("at").alias("__own"), "rank")
+    found = F.transform(F.filter("places", lambda p: (p["at"] != F.col("__own")) & (F.col("rank") < p["top"])), lambda p: p["at"])
+    asks = rare.join(matrix.select("token", "places"), "token").select("v", found.alias("__f")).filter(F.size("__f") > 0)
+    return asks.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("__f"))).alias("__f")).select("v", F.explode("__f").alias("at"))
+
+
+def _across(alive: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """Links (v, leader) between clusters, found over the token-group matrix; None without any candidate.
 
     ``labels`` names the cluster that a document is known to belong to.
     """
@@ -381,28 +411,23 @@ def _across(alive: DataFrame, groups: DataFrame, labels: DataFrame, percent: int
         if halves == 1 and before is not None and now > 0.9 * before:
             break
         before = now if halves is None or before is not None else None
-        named = common.matching(named, "v", enough, "v")
+        named = common.matching(named, "v", enough, "v", count=now)
     needs = needs.groupBy("v").agg(F.min("need").alias("need"))
     named = named.groupBy("v", "label").agg(F.max("n").alias("n")).join(enough, "v").join(needs, "v")
     sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = common.stored(named.join(sizes, "label").join(groups.withColumnRenamed("v", "__v"), F.col("v") == F.col("__v"), "left").select("v", "label", F.coalesce("chunk", "v").alias("chunk"), "n", "need", F.struct("size", "label").alias("rank")))
-    # The matrix: each group's union of tokens, with the largest cluster that has the token there.
-    rows = common.stored(shared.select("v", "token").join(members, "v").select("v", "chunk", "rank", "need", "token"))
-    matrix = common.stored(rows.groupBy("token", "chunk").agg(F.max("rank").alias("top")))
-    rarity = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
-    whole = Window.partitionBy("v")
-    asked = rows.join(rarity, "token").withColumn("__r", F.row_number().over(whole.orderBy("groups", "token"))).withColumn("__c", F.count(F.lit(1)).over(whole))
-    asked = asked.filter("__r <= __c - need + 1").select("token", "v", F.col("chunk").alias("__own"), "rank")
-    candidates = matrix.select("token", F.col("chunk").alias("at"), "top")
-    queries = common.stored(asked.join(candidates, "token").filter((F.col("__own") != F.col("at")) & (F.col("rank") < F.col("top"))).select("v", "at").distinct())
+    members = named.join(sizes, "label").select("v", "label", "n", "need", F.struct("size", "label").alias("rank"))
+    shared = common.stored(shared.join(enough, "v", "left_semi"))
+    members = _layout(shared, members)
+    queries = common.stored(_asked(shared.join(members, "v").select("v", "at", "rank", "need", "token")))
     load = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS), F.least(F.count(F.lit(1)), F.ceil(F.sum("n") / CHUNK_TOKENS)))
     blocks = common.stored(queries.join(members.select("v", "n"), "v").groupBy("at").agg(load.alias("blocks")))
-    inside = members.select("v", "label", F.col("chunk").alias("at")).join(blocks, "at")
-    inside = inside.select("v", "label", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"))
+    inside = members.select("v", "label", "at").join(blocks, "at", "left")
+    last = F.coalesce("blocks", F.lit(1)).cast("long") - 1
+    inside = inside.select("v", "label", "at", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), F.lit(False).alias("asks"))
     outside = queries.join(members.select("v", "label"), "v").join(blocks, "at")
     outside = outside.select("v", "label", "at", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), F.lit(True).alias("asks"))
     blocks = common.stored(inside.unionByName(outside))
-    opened = blocks.join(common.matching(alive.select("v", "tokens"), "v", common.stored(blocks.select("v").distinct()), "v"), "v")
+    opened = blocks.join(common.matching(alive.select("v", "tokens"), "v", members.select("v"), "v", count=now), "v")
     return common.stored(opened.groupBy("at", "block").applyInPandas(_open(percent), "v long, leader long").filter("v != leader").distinct())
 
 
@@ -411,9 +436,9 @@ def link_classes(rows: DataFrame, classes: DataFrame, n: int, percent: int) -> D
     screened = common.stored(_screen(rows, classes, n, percent))
     texts = common.matching(rows.select(F.col("__id").alias("v"), F.col("__text").alias("text")), "v", screened, "v", keep=["key1", "key2"])
     alive = common.stored(texts.mapInPandas(_tokens(n), "v long, key1 long, key2 long, n long, tokens array<long>"))
-    edges, groups = _groups(alive, percent)
+    edges, _ = _groups(alive, percent)
     labels = components(edges)
-    late = _across(alive, groups, labels, percent)
+    late = _across(alive, labels, percent)
     found = labels.select(F.col("v").alias("a"), F.col("root").alias("b"))
     return found if late is None else found.unionByName(late.select(F.col("v").alias("a"), F.col("leader").alias("b")))
 
