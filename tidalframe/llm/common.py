@@ -20,8 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Characters of a plan's text that the driver keeps.
+PLAN_CHARS = 4000
+
+
 def tune(spark: SparkSession, rows: int = 500) -> None:
-    """Small Arrow and Parquet batches: a batch holds whole texts or sets, and they can be very long."""
+    """Small Arrow and Parquet batches: a batch holds whole texts or sets, and they can be very long.
+
+    The driver keeps the plans of a thousand finished queries as text, which is cut.
+    """
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
@@ -35,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Stored tables from one release of the driver's memory to the next.
-RELEASE = 6
+RELEASE = 3
 _count = itertools.count(1)
 
 
