@@ -493,6 +493,20 @@ def test_driver_is_released_between_stored_tables(spark, monkeypatch):
     assert len(asked) == 2
 
 
+def test_driver_forgets_long_parses(spark):
+    """The SQL text of surrogates is 100 KB long; what the parser learns from it does not stay (673,103 objects before)."""
+    import shutil
+    import subprocess
+
+    if not shutil.which("jcmd"):
+        pytest.skip("the JVM's objects are counted by jcmd")
+    df = spark.createDataFrame([(1, "Mail a.b@example.com", 20)], "doc_id long, text string, n_chars long")
+    pii.replace_in_place(df)
+    counts = subprocess.run(["jcmd", str(spark._jvm.java.lang.ProcessHandle.current().pid()), "GC.class_histogram"], capture_output=True, text=True, check=True).stdout
+    rows = [line.split() for line in counts.splitlines()]
+    assert sum(int(r[1]) for r in rows if len(r) > 3 and r[3].endswith(".ATNConfig")) < 100_000
+
+
 def test_cross_entropy_order_of_words(spark, odd):
     """The query's models tell a text from the same words in another order."""
     texts_ = [(k, "the cat sat on the mat") for k in range(5)] + [(5, "mat the on sat cat the"), (6, None), (7, "")]

@@ -30,6 +30,8 @@ other columns pass through. Only DataFrame and SQL functions run.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget_parses
+
 # Given names by gender and script, titles by gender.
 GIVEN = {
     ("m", "latin"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Paul Andrew Peter Hans Jürgen Klaus Stefan Wolfgang Pierre Jean Jacques Michel Philippe José Juan Carlos Luis Miguel Javier".split(),
@@ -244,6 +246,7 @@ def collision_free_width(docs: DataFrame, text_col: str = "text", key: str = KEY
 
 def with_surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY, widths: dict[str, int] | None = None) -> DataFrame:
     """Adds ``__new`` (the text with surrogates) and ``__kinds`` (types in order of place)."""
+    forget_parses(docs.sparkSession)
     widths = collision_free_width(docs, text_col, key) if widths is None else widths
     text = f"`{text_col}`"
     found = docs.withColumn("__found", occurrences(text))
