@@ -395,6 +395,17 @@ def test_centralities_by_joins(spark):
     assert set(table["role"]) == {0, 1, 2} and means[0] < means[2]
 
 
+def test_ranks_take_few_rounds(spark, monkeypatch):
+    """A hundred steps are ten rounds (25 before), and a step has no window over its graph."""
+    from tidalframe.operators import networks, roles
+
+    edges, nodes, _ = random_graphs(spark, 5)
+    asked, plain = [], roles.stored
+    monkeypatch.setattr(roles, "stored", lambda df: asked.append(df._jdf.queryExecution().optimizedPlan().toString().count("Window ")) or plain(df))
+    roles.ranks(plain(networks.both_ends(networks.simple(edges))), plain(roles._all_nodes(nodes)))
+    assert len(asked) <= 12 and max(asked) == 1
+
+
 def test_sight_sends_bounded_frames(monkeypatch):
     """A task holds some edges at a time, not those of a whole batch of blocks."""
     import numpy as np

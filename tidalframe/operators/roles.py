@@ -16,7 +16,7 @@ from ..stages import stored
 from .networks import both_ends, simple, triangles_of, upward
 
 FEATURES = ["degree", "clustering", "pagerank", "eigenvector", "core", "betweenness", "closeness"]
-DAMPING, STEPS, AT_ONCE, TOLERANCE = 0.85, 100, 4, 1e-9
+DAMPING, STEPS, AT_ONCE, TOLERANCE = 0.85, 100, 10, 1e-9
 
 
 def _all_nodes(nodes: DataFrame) -> DataFrame:
@@ -38,24 +38,32 @@ def core_numbers(along: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def ranks(along: DataFrame, every: DataFrame) -> DataFrame:
-    """(g, u, pagerank, eigenvector): both powers in the same rounds, until neither moves or after ``STEPS``."""
+    """(g, u, pagerank, eigenvector): both powers in the same rounds, until neither moves or after ``STEPS``.
+
+    A step is one exchange: what lone nodes pass on follows from their number, as all of them have
+    the same rank, so each node carries it; vectors are scaled once a round.
+    """
     degree = along.groupBy("g", "u").agg(F.count(F.lit(1)).alias("d"))
-    state = stored(every.join(degree, ["g", "u"], "left").na.fill(0, ["d"]).select("g", "u", "n", "d", (1 / F.col("n")).alias("r"), (1 / F.sqrt("n")).alias("e")))
+    start = every.join(degree, ["g", "u"], "left").na.fill(0, ["d"]).withColumn("lone", F.sum((F.col("d") == 0).cast("long")).over(Window.partitionBy("g")))
+    state = stored(start.select("g", "u", "n", "d", "lone", (F.col("lone") / F.col("n")).alias("alone"), (1 / F.col("n")).alias("r"), (1 / F.sqrt("n")).alias("e")))
     # A node also sends its state to itself, so that a round reads the rows of the one before once.
     ways = stored(along.withColumn("own", F.lit(False)).unionByName(every.select("g", "u", F.col("u").alias("v"), F.lit(True).alias("own"))))
-    sent = lambda c: F.coalesce(F.sum(F.when(~F.col("own"), F.col(c))), F.lit(0.0)).alias(c)
-    kept = lambda c, name: F.max(F.when(F.col("own"), F.col(c))).alias(name)
+    # The steps of a round are one statement, which is analysed once, not anew with each step on the last ones.
+    kept = lambda *names: ", ".join(f"max(if(own, {c}, null)) AS {c}" for c in names)
+    base = f"(({1 - DAMPING}D + {DAMPING}D * alone) / n)"
+    steps = ["s0 AS (SELECT *, r AS r0, e AS e0 FROM {state})"]
+    for k in range(1, AT_ONCE + 1):
+        steps.append(
+            f"m{k} AS (SELECT w.g, w.v AS u, {kept('n', 'd', 'lone', 'r0', 'e0', 'alone')}, coalesce(sum(if(own, null, r / nullif(d, 0))), 0D) AS a, sum(e) AS e FROM {{ways}} w JOIN s{k - 1} s ON w.g = s.g AND w.u = s.u GROUP BY w.g, w.v), "
+            f"s{k} AS (SELECT g, u, n, d, lone, r0, e0, lone * {base} AS alone, {base} + {DAMPING}D * a AS r, e FROM m{k})"
+        )
+    text = f"WITH {', '.join(steps)} SELECT * FROM s{AT_ONCE}"
     for _ in range(STEPS // AT_ONCE):
-        rows = state
-        for _ in range(AT_ONCE):
-            alone = F.sum(F.when(F.col("d") == 0, F.col("r")).otherwise(0.0)).over(Window.partitionBy("g"))
-            out = rows.select("g", "u", "n", "d", (F.col("r") / F.nullif("d", F.lit(0))).alias("a"), "e", alone.alias("alone"))
-            out = ways.join(out, ["g", "u"]).groupBy("g", F.col("v").alias("u")).agg(kept("n", "n"), kept("d", "d"), kept("alone", "alone"), kept("e", "stay"), sent("a"), sent("e"))
-            rows = out.select("g", "u", "n", "d", ((1 - DAMPING) / F.col("n") + DAMPING * (F.col("a") + F.col("alone") / F.col("n"))).alias("r"), (F.col("stay") + F.col("e")).alias("e"))
+        rows = along.sparkSession.sql(text, state=state, ways=ways)
         norm = F.sqrt(F.sum(F.col("e") * F.col("e")).over(Window.partitionBy("g")))
         rows = stored(rows.withColumn("e", F.col("e") / norm))
-        step = rows.join(state.select("g", "u", F.col("r").alias("r0"), F.col("e").alias("e0")), ["g", "u"]).agg(F.max(F.greatest(F.abs(F.col("r") - F.col("r0")), F.abs(F.col("e") - F.col("e0"))))).first()[0]
-        state = rows
+        step = rows.agg(F.max(F.greatest(F.abs(F.col("r") - F.col("r0")), F.abs(F.col("e") - F.col("e0"))))).first()[0]
+        state = rows.drop("r0", "e0")
         if step is None or step < TOLERANCE:
             break
     return state.select("g", "u", F.col("r").alias("pagerank"), F.col("e").alias("eigenvector"))
