@@ -439,3 +439,60 @@ def test_nearest_looks_at_distances_once(monkeypatch):
             order = [k for k in np.lexsort((other, want[i])) if want[i, k] <= tau[i]][:3]
             assert got[got["i"] == i]["j"].tolist() == other[order].tolist()
     assert sum(asked) < 40 * 302
+
+
+def noise(spark, n: int, dimension: int, kind: str = "float"):
+    """Vectors whose distances tell nothing, thirty of them equal, and all distances."""
+    x = np.random.default_rng(12).normal(size=(n, dimension)).astype("f4").astype(float) + 3.0
+    x[40:70] = x[40]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], f"id long, vec array<{kind}>")
+    x = np.array(df.orderBy("id").toPandas()["vec"].tolist(), dtype=float)
+    return df, np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+
+
+def count_copies(monkeypatch) -> list[int]:
+    """How many copies of queries are stored, call by call."""
+    copies, plain = [], neighbours.asked
+
+    def asked(*args):
+        out = plain(*args)
+        copies.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "asked", asked)
+    return copies
+
+
+@pytest.mark.parametrize("q", [1.0, 60.0])
+def test_pairs_within_copy_no_queries(spark, monkeypatch, q):
+    """The graph within a percentile of vectors that no bound parts: boxes meet, nothing is stored for pairs of boxes, and a pair is looked at once."""
+    df, d = noise(spark, 500, 24, "float" if q == 1.0 else "double")
+    copies = count_copies(monkeypatch)
+    epsilon, index = neighbours.percentile(df, "id", "vec", q, box_rows=40)
+    assert (index.count > 0).sum() > 10
+    upper = d[np.triu_indices(len(d), 1)]
+    assert epsilon == pytest.approx(np.percentile(upper, q), rel=1e-12)
+    got = neighbours.pairs_within(index, epsilon).toPandas()
+    assert sorted(zip(got["i"], got["j"], strict=True)) == sorted((i, j) for i in range(500) for j in range(i + 1, 500) if d[i, j] <= epsilon)
+    assert np.allclose(got["d"], d[got["i"], got["j"]])
+    assert sum(copies) <= neighbours.COPIES * 500
+
+
+def test_percentile_of_equal_distances(spark):
+    """Corners of a simplex and two copies of each: two distances in all, and the percentile lies between them."""
+    x = np.repeat(np.eye(60), 3, axis=0)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
+    upper = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))[np.triu_indices(180, 1)]
+    for q in (0.0, 100 * (180 - 0.5) / (len(upper) - 1), 50.0):
+        assert neighbours.percentile(df, "id", "vec", q, box_rows=40)[0] == pytest.approx(np.percentile(upper, q), abs=1e-12)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e-15, 1e15])
+def test_squares_keep_their_bound(scale):
+    """Products in single precision stay within the error that they tell, far from the origin as well."""
+    rng = np.random.default_rng(7)
+    a, b = (rng.normal(size=(n, 30)) * scale + 50 * scale for n in (300, 200))
+    a[:20] = b[:20]
+    want = ((a[:, None] - b[None]) ** 2).sum(2)
+    for part, near, error in neighbours.squares(a, b):
+        assert (np.abs(near.astype(float) - want[part]) <= error).all() and error < 1e-3 * want.max()

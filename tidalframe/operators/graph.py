@@ -214,8 +214,10 @@ def net_enn(vectors: DataFrame, id_col: str, vector_col: str, epsilon: float | N
         if percentile is None:
             raise ValidationError("epsilon or percentile is needed")
         epsilon, index = neighbours.percentile(vectors, id_col, vector_col, percentile)
-    near = neighbours.within(vectors, id_col, vector_col, 0.0 if epsilon is None else epsilon, index=index)
-    return enn(near, 0.0 if epsilon is None else epsilon, weighted)
+    epsilon = 0.0 if epsilon is None else epsilon
+    index = index or neighbours.build(vectors, id_col, vector_col)
+    near = vectors.sparkSession.createDataFrame([], neighbours.PAIRS) if index is None else neighbours.pairs_within(index, epsilon)
+    return enn(near, epsilon, weighted)
 
 
 def in_windows(df: DataFrame, width: int, step: int = 1) -> DataFrame:

@@ -25,10 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again: lineage ends there."""
+def stored(df: DataFrame, **options) -> DataFrame:
+    """``df`` written as Parquet, with the writer's options, and read again: lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
