@@ -496,3 +496,25 @@ def test_squares_keep_their_bound(scale):
     want = ((a[:, None] - b[None]) ** 2).sum(2)
     for part, near, error in neighbours.squares(a, b):
         assert (np.abs(near.astype(float) - want[part]) <= error).all() and error < 1e-3 * want.max()
+
+
+def test_nearest_copies_no_queries(spark, monkeypatch):
+    """Nearest vectors where no bound parts them: a copy of a query for its home box and no more; of equal vectors the smaller ids."""
+    df, d = noise(spark, 500, 24)
+    np.fill_diagonal(d, np.inf)
+    copies = count_copies(monkeypatch)
+    got = neighbours.nearest(df, "id", "vec", 4, box_rows=40).toPandas().sort_values(["i", "d", "j"])
+    want = [np.lexsort((np.arange(500), row))[:4].tolist() for row in d]
+    assert got["j"].to_numpy().reshape(-1, 4).tolist() == want
+    assert sum(copies) <= (1 + neighbours.COPIES) * 500
+
+
+def test_nearest_compares_few_copies(monkeypatch):
+    """Two thousand equal vectors: a query looks at a few of them, those with the smallest ids."""
+    asked, plain = [], neighbours.exact
+    monkeypatch.setattr(neighbours, "exact", lambda a, b: asked.append(len(a)) or plain(a, b))
+    v = np.vstack([np.ones((2000, 5)), np.random.default_rng(3).normal(size=(100, 5))])
+    ids = np.arange(2100)
+    got = neighbours._nearest(3)(ids[:200], v[:200], np.full(200, np.inf), ids, v)
+    assert got.groupby("i")["j"].apply(list).tolist() == [[j for j in range(4) if j != i][:3] for i in range(200)]
+    assert sum(asked) < 20 * 200

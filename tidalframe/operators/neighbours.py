@@ -349,11 +349,23 @@ def _best(found: pd.DataFrame, k: int) -> tuple[pd.DataFrame, np.ndarray]:
     return pd.DataFrame({"i": i[keep], "j": j[keep], "d": d[keep]}), rank[keep]
 
 
+def _without_copies(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest ids of each vector: no other can be among the nearest."""
+    if len(np.unique((v * v).sum(axis=1))) > len(v) - k:
+        return ids, v
+    _, same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+    first = np.searchsorted(same[order], same[order])
+    keep = np.sort(order[np.arange(len(order)) - first < k])
+    return ids[keep], v[keep]
+
+
 def _nearest(k: int):
     """The k nearest other rows, at tau or nearer; of equal distances the smaller id is nearer."""
 
     def answer(ids, v, tau, other, w, own=None) -> pd.DataFrame:
         tau, found = tau.copy(), []
+        other, w = _without_copies(other, w, k + 1)
         for part, near, error in squares(v, w):
             # Only a query that knows no bound yet looks for one: k rows and itself.
             new = part.start + np.flatnonzero(np.isinf(tau[part]))
@@ -366,6 +378,19 @@ def _nearest(k: int):
     return answer
 
 
+def _nearest_so_far(k: int) -> Fold:
+    """The k nearest of all boxes met, and the taus that they give."""
+
+    def fold(found: pd.DataFrame, ids: np.ndarray, tau: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        best, rank = _best(found, k)
+        last = best[rank == k - 1]
+        tau, at = tau.copy(), np.searchsorted(ids, last["i"].to_numpy())
+        tau[at] = np.minimum(tau[at], last["d"].to_numpy())
+        return best, tau
+
+    return fold
+
+
 def _asking(index: Index, queries: DataFrame | None, id_col: str, vector_col: str) -> DataFrame:
     """(id, v, box) of the queries: the index's own rows, or those of a table in boxes by a hash."""
     if queries is None:
@@ -395,7 +420,10 @@ def nearest(table: DataFrame, id_col: str, vector_col: str, k: int, queries: Dat
         return (low <= limit[:, None]) & np.isfinite(low) & (np.arange(low.shape[1])[None] != up.argmin(axis=1)[:, None])
 
     index_count, free = index.count, known.drop("box")
-    every = first.unionByName(answered(index, asked(index, free, rest), _nearest(k), PAIRS))
+    if few(index, free, rest):
+        every = first.unionByName(answered(index, asked(index, free, rest), _nearest(k), PAIRS))
+    else:
+        every = met(index, known, _nearest(k), PAIRS, fold=_nearest_so_far(k))
     return every.withColumn("__r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("__r") <= k).drop("__r")
 
 
